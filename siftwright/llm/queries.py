@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwright.llm import perspectives
 from siftwright.llm.common import read_documents
 
 
@@ -33,5 +34,23 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op6_simhash_neardup, op10_mix_sources)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.perspectives import rotate_perspectives
+
+    return rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.telephony import audio_digests
+
+    return audio_digests(read_documents(spark, sf_dir))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.decontaminate import contaminated
+
+    return contaminated(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_chat_perspectives, op6_simhash_neardup, op7_telephony_audio, op8_decontaminate, op10_mix_sources)}
+ORACLE_SQL: dict[str, str] = {"op4_chat_perspectives": perspectives.ORACLE}
