@@ -28,6 +28,12 @@ def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_documents(spark, sf_dir))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.repeats import repeat_digests
+
+    return repeat_digests(read_documents(spark, sf_dir))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwright.llm.mixing import mix_sources
 
@@ -52,5 +58,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_chat_perspectives, op6_simhash_neardup, op7_telephony_audio, op8_decontaminate, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_chat_perspectives, op6_simhash_neardup, op7_telephony_audio, op8_decontaminate, op9_suffix_repeats, op10_mix_sources)}
 ORACLE_SQL: dict[str, str] = {"op4_chat_perspectives": perspectives.ORACLE}
