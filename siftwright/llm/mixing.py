@@ -45,19 +45,20 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, ranges: int = RANGES, keep: list[Column] | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, plus the columns in keep) for every row of docs."""
     keep = keep or []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("key"), *keep)
-    rows = rows.withColumn("range", F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(ranges) / F.lit(1 << 32)).withColumn("range", F.floor("range").cast("int"))
-    rows = rows.withColumn("key", F.shiftrightunsigned("key", 1))
-    sums = stage_table(rows.groupBy("source", "range").agg(F.sum("size").alias("words")), "mix-ranges")
-    targets = stage_table(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"))), "mix-targets")
+    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    place = F.floor(F.shiftrightunsigned(key, 32) * F.lit(ranges) / F.lit(1 << 32)).cast("int")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("size"), key.alias("_key"), place.alias("_range"), *keep)
+    kept = rows.columns[5:]
+    sums = rows.groupBy(F.col("_source").alias("source"), F.col("_range").alias("range")).agg(F.sum("size").alias("words"))
+    sums = stage_table(sums, "mix-ranges")
+    targets = stage_table(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"))), "mix-targets").withColumnRenamed("source", "s")
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("words").over(ahead), F.lit(0))).join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "words")
-    inside = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    starts = starts.select(F.col("source").alias("s"), F.col("range").alias("r"), "start", "source_size", "target")
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    starts = sums.withColumn("_start", F.coalesce(F.sum("words").over(ahead), F.lit(0))).join(targets, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("_s"), F.col("range").alias("_r"), "_start", "source_size", "target")
+    inside = Window.partitionBy("_source", "_range").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - epochs * F.col("source_size") - F.col("start") - F.col("within")
+    rest = budget - epochs * F.col("source_size") - F.col("_start") - F.col("_within")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[k for k in (docs.select(*keep).columns if keep else [])])
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *kept)

@@ -13,6 +13,16 @@ from siftwright.llm.common import read_documents
 
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.toxicity import THRESHOLD, fit, labelled_sample, score_documents
+
+    docs, labels = read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    network = fit(*labelled_sample(docs.filter(~held_out), labels))
+    scored = score_documents(docs, network)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwright.llm.langid import detect_languages, fit_filters
 
@@ -22,6 +32,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_languages(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.tokencount import count_with_edits
+
+    n = F.length("text")
+    edit = lambda start, end, text: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(text).alias("text"))
+    middle, quarter = F.floor(n / 2), F.floor(n / 4)
+    edits = F.array(edit(middle, middle + 16, "edited 2024 text"), edit(quarter, quarter, " an inserted remark, "), edit(n - F.floor(n / 8), n, ""))
+    return count_with_edits(read_documents(spark, sf_dir), edits)
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwright.llm.simhash import simhash_components
 
@@ -40,6 +60,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_documents(spark, sf_dir))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.secrets import example_findings, scan_secrets, train_forest
+
+    return scan_secrets(read_documents(spark, sf_dir), train_forest(example_findings(spark)))
+
+
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwright.llm.perspectives import rotate_perspectives
 
@@ -58,5 +84,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_chat_perspectives, op6_simhash_neardup, op7_telephony_audio, op8_decontaminate, op9_suffix_repeats, op10_mix_sources)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_language_id, op3_secret_scan, op4_chat_perspectives, op5_token_counts, op6_simhash_neardup, op7_telephony_audio, op8_decontaminate, op9_suffix_repeats, op10_mix_sources)
+}
 ORACLE_SQL: dict[str, str] = {"op4_chat_perspectives": perspectives.ORACLE}
