@@ -404,13 +404,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """Texts and labels of at most `most` rows of each class (clean, toxic), the first by a hash of id and text."""
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_label in (0, 1)").distinct()
     rows = docs.filter(F.length(text_col) <= MAX_TRAIN_CHARS).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    key = F.xxhash64(F.lit(3), "_id", F.col("_text"))
-    chosen = []
-    for label in (0, 1):
-        ids = rows.join(marks.filter(F.col("_label") == label), "_id").select("_id", key.alias("_key")).orderBy("_key").limit(most[label])
-        chosen.append(ids.withColumn("_label", F.lit(label)))
-    picked = chosen[0].unionByName(chosen[1])
-    got = rows.withColumn("_key", key).join(F.broadcast(picked), ["_id", "_key"]).select("_key", "_label", "_text").toPandas()
+    rows = rows.withColumn("_key", F.xxhash64(F.lit(3), "_id", F.col("_text")))
+    keys = rows.select("_id", "_key")  # texts stay behind until the sample is known
+    picked = [keys.join(marks.filter(F.col("_label") == label), "_id").select("_id", "_key", "_label").orderBy("_key").limit(most[label]) for label in (0, 1)]
+    got = rows.join(F.broadcast(picked[0].unionByName(picked[1])), ["_id", "_key"]).select("_key", "_label", "_text").toPandas()
     got = got.sort_values(["_label", "_key"], kind="stable")
     return got["_text"].tolist(), got["_label"].to_numpy()
 
