@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from siftwright.plans import corpus, decisions, evaluation, relational
+from siftwright.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+for part in (corpus.CATALOG, evaluation.CATALOG, decisions.CATALOG, relational.CATALOG):
+    QUERIES |= part.queries
+    ORACLE_SQL |= part.sql
