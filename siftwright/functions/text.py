@@ -8,11 +8,12 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from siftwright.functions import constants as K
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
