@@ -114,17 +114,21 @@ def defects(src: Column, out: Column, keep: Column, low: float = 0.3, high: floa
 
 def top_repeat(values: Column) -> Column:
     """Struct (n, item) of the most frequent element of an array; of equals the one that comes first."""
+    first = lambda v: F.struct(F.least(F.size(v), F.lit(1)).alias("n"), F.get(v, F.lit(0)).alias("item"))
+    return T.let(values, lambda v: F.when(T.repeats(v) == 0, first(v)).otherwise(_top_run(v)))
+
+
+def _top_run(values: Column) -> Column:
+    """As top_repeat, by one fold over the sorted elements."""
     placed = F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
-    start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).alias("best"), F.lit(None).cast("string").alias("item"), F.lit(0).alias("first"))
+    entry = lambda n, before, item: F.struct(n.alias("n"), before.alias("before"), item.alias("item"))
+    start = F.struct(F.lit(None).cast("string").alias("v"), entry(F.lit(0), F.lit(0), F.lit(None).cast("string")).alias("run"), entry(F.lit(0), F.lit(0), F.lit(None).cast("string")).alias("best"))
 
     def step(s, x):
-        same = s["v"].eqNullSafe(x["v"])
-        n = F.when(same, s["n"] + 1).otherwise(1)
-        at = F.when(same, s["at"]).otherwise(x["i"])
-        wins = (n > s["best"]) | ((n == s["best"]) & (at < s["first"]))
-        return F.struct(x["v"].alias("v"), n.alias("n"), at.alias("at"), F.when(wins, n).otherwise(s["best"]).alias("best"), F.when(wins, x["v"]).otherwise(s["item"]).alias("item"), F.when(wins, at).otherwise(s["first"]).alias("first"))
+        run = F.when(s["v"] == x["v"], entry(s["run"]["n"] + 1, s["run"]["before"], x["v"])).otherwise(entry(F.lit(1), -x["i"], x["v"]))
+        return F.struct(x["v"].alias("v"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
-    return F.aggregate(placed, start, step, lambda s: F.struct(s["best"].alias("n"), s["item"].alias("item")))
+    return F.aggregate(placed, start, step, lambda s: F.struct(s["best"]["n"].alias("n"), s["best"]["item"].alias("item")))
 
 
 def loop_stats(text: Column, least: int = 12) -> Column:
