@@ -207,3 +207,13 @@ def pack_by_length(items: DataFrame, length: str = "length", key: str = "id", bu
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", batch int"
     return kept.groupBy(*keys).applyInPandas(pack, schema).drop("_all")
+
+
+def taken_by_domain(taken: DataFrame, registry: DataFrame) -> DataFrame:
+    """(src_lang, tgt_lang, domain, n): rows taken of each domain."""
+    return taken.join(F.broadcast(registry.select("corpus", "domain")), "corpus").groupBy("src_lang", "tgt_lang", "domain").agg(F.count("*").alias("n"))
+
+
+def replay_share(records: DataFrame, is_replay: Column) -> DataFrame:
+    """One row (train, replay, pct): the share of replay records."""
+    return records.agg(F.count_if(~is_replay).alias("train"), F.count_if(is_replay).alias("replay"), (F.avg(is_replay.cast("double")) * 100).alias("pct"))

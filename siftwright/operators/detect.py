@@ -204,3 +204,15 @@ def both_orientations(pairs: DataFrame, a: str = "a", b: str = "b", lang_a: str
     rest = [c for c in pairs.columns if c not in (a, b, lang_a, lang_b)]
     one = pairs.select(*rest, F.col(a).alias("src"), F.col(b).alias("tgt"), F.col(lang_b).alias("tgt_lang"))
     return one.unionByName(pairs.select(*rest, F.col(b).alias("src"), F.col(a).alias("tgt"), F.col(lang_a).alias("tgt_lang")))
+
+
+def defect_summary(rows: DataFrame, found: str = "found", keep: str = "keep") -> DataFrame:
+    """One row of counts over graded outputs: cases, cases with defects, defects, each class, and the share of kept words."""
+    f = F.col(found)
+    some = lambda prefix: F.count_if(F.exists(f, lambda x: x.startswith(prefix)))
+    lost = F.sum(F.size(F.filter(f, lambda x: x.startswith("keep:"))))
+    asked = F.sum(F.size(F.coalesce(F.col(keep), F.array().cast("array<string>"))))
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(F.size(f) > 0).alias("with_defects"), F.sum(F.size(f)).alias("defects"), some("tag:").alias("labels"), lost.alias("lost_words"), some("year:").alias("ghost_years"),
+        some("lines").alias("lines"), some("loop").alias("loops"), some("len:").alias("lengths"), F.when(asked > 0, (asked - lost) * 100 / asked).alias("kept_pct"),
+    )

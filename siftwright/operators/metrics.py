@@ -210,3 +210,14 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def system_scores(segments: DataFrame, *by: str, score: str = "score") -> DataFrame:
+    """(by..., n, system_score): the mean segment score times a hundred."""
+    return segments.groupBy(*by).agg(F.count("*").alias("n"), (F.avg(score) * 100).alias("system_score"))
+
+
+def same_outputs(a: DataFrame, b: DataFrame, key: str = "seg_id", hyp: str = "hyp") -> DataFrame:
+    """(key, same): whether two runs gave the same text, by digest; a missing text is never the same."""
+    digest = lambda rows, name: rows.select(key, F.sha2(hyp, 256).alias(name))
+    return digest(a, "_a").join(digest(b, "_b"), key, "full").select(key, F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("same"))

@@ -80,3 +80,9 @@ def distinct_prompts(rows: DataFrame, order: Column, most: int | None = None, se
     if most is None:
         return firsts
     return hash_ranks(firsts, seed, F.col("prompt"), "lang", name="_n").filter(F.col("_n") <= most).drop("_n")
+
+
+def replay_counts(emitted: DataFrame) -> DataFrame:
+    """(lang, seen, kept, distinct_prompts): what emit kept, before and after equal prompts are folded."""
+    kept = F.col("reason") == "kept"
+    return emitted.groupBy("lang").agg(F.count("*").alias("seen"), F.count_if(kept).alias("kept"), F.countDistinct(F.when(kept, F.col("prompt"))).alias("distinct_prompts"))

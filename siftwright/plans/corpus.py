@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import constants as K
 from siftwright.functions import text as T
-from siftwright.operators import clean, convert, curate, metrics, replay
+from siftwright.operators import clean, config, convert, curate, metrics, replay
 from siftwright.plans.base import Catalog, h32_sql, table, values
 from siftwright.sources import readers
 
@@ -419,3 +419,41 @@ def leak_by_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of segments with a simplified-only character."""
     chars = convert.simplified_only({"龍": "龙"}, DICTIONARY | {"里": "裡"})
     return convert.leak_by_set(spark.createDataFrame(SCRIPTS, "id int, hyp string"), chars)
+
+
+@query("SELECT lang, count(*) AS seen, count(*) FILTER (WHERE length(trim(text)) BETWEEN 10 AND 4000) AS kept, count(DISTINCT CASE WHEN length(trim(text)) BETWEEN 10 AND 4000 THEN trim(text, ' ' || chr(10)) END) AS distinct_prompts FROM documents GROUP BY lang")
+def replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as prompts with a constant reply: seen, kept and different ones by language."""
+    rows = table(spark, sf_dir, "documents").select("lang", F.col("text").alias("prompt"), F.lit("a constant reply").alias("reply"))
+    return replay.replay_counts(replay.emit(rows))
+
+
+@query("SELECT 'en' AS src_lang, 'zhtw' AS tgt_lang, CASE source WHEN 'src0' THEN 'textbook' WHEN 'src1' THEN 'talk' END AS domain, count(*) AS n FROM documents WHERE source IN ('src0', 'src1') GROUP BY source")
+def taken_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows taken of each domain; two sources stand for two corpora."""
+    corpus = F.when(F.col("source") == "src0", "coct.en-zhtw.tsv").when(F.col("source") == "src1", "ted2020.en-zhtw.tsv")
+    rows = table(spark, sf_dir, "documents").select(F.lit("en").alias("src_lang"), F.lit("zhtw").alias("tgt_lang"), corpus.alias("corpus"))
+    return curate.taken_by_domain(rows, readers.corpora(spark))
+
+
+@query("SELECT count(*) FILTER (WHERE lang = 'en') AS train, count(*) FILTER (WHERE lang <> 'en') AS replay, round(100.0 * avg((lang <> 'en')::INT), 6) AS pct FROM documents")
+def replay_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of replay records; what is not English stands for them."""
+    return curate.replay_share(table(spark, sf_dir, "documents"), F.col("lang") != "en").withColumn("pct", F.round("pct", 6))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT corpus) AS n_corpora FROM (VALUES ('TED2020'), ('TED2020'), ('OpenSubtitles'), ('WikiMatrix'), ('WikiMatrix'), ('TED2020'), ('Tatoeba'), ('News-Commentary'), ('News-Commentary'), ('GlobalVoices'), ('GlobalVoices'), ('KDE4'), ('KDE4'), ('KFTT'), ('OpenSubtitles'), ('OpenSubtitles')) AS t(corpus)")
+def archive_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many archives of how many corpora there are to fetch."""
+    return config.archives(spark).agg(F.count("*").alias("n"), F.countDistinct("corpus").alias("n_corpora"))
+
+
+OPTIONS = [(i, lang, beams, grams, penalty) for i, beams, penalty in (("baseline_ship", 4.0, 1.2), ("greedy_ship_decode", 1.0, None), ("b4_lp1.0", 4.0, 1.0)) for lang, grams in (("ja", 5.0), ("en", 5.0), ("zhtw", 5.0))]
+
+
+@query(f"SELECT * FROM {values(OPTIONS, 'id, lang, num_beams, grams, length_penalty')}")
+def decode_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options of three candidates under a run that overrides one setting."""
+    o = F.col("options")
+    rows = config.resolved_options(config.search_grid(spark), {"no_repeat_ngram_size": 5}).filter(F.col("id").isin("baseline_ship", "greedy_ship_decode", "b4_lp1.0"))
+    return rows.select("id", "lang", o["num_beams"].alias("num_beams"), o["no_repeat_ngram_size"].alias("grams"), F.try_element_at(o, F.lit("length_penalty")).alias("length_penalty"))

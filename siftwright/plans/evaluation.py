@@ -402,3 +402,26 @@ def general_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers graded by the rules of the general panel."""
     answers = spark.createDataFrame([(i, rule, text) for i, (rule, text, _) in enumerate(KNOWN)], "id int, rule_id long, output string")
     return graders.grade(answers, graders.rules_table(spark, GENERAL)).select("id", "passed")
+
+
+@query("SELECT 7 AS n, 6 AS with_defects, 7 AS defects, 1 AS labels, 1 AS lost_words, 1 AS ghost_years, 1 AS lines, 1 AS loops, 0 AS lengths, round(200.0 / 3, 6) AS kept_pct")
+def defect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over the defect panel's fixture, by hand on the SQL side."""
+    rows = spark.createDataFrame(OUTPUTS, "id int, src string, out string, keep array<string>")
+    out = detect.defect_summary(rows.withColumn("found", detect.defects(F.col("src"), F.col("out"), F.col("keep"))))
+    return out.withColumn("kept_pct", F.round("kept_pct", 6))
+
+
+@query("SELECT l.quality, count(*) AS n, round(avg(d.n_chars / 1000.0) * 100, 6) AS system_score FROM labels l JOIN documents d USING (doc_id) GROUP BY l.quality")
+def system_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of segment scores (made from lengths) by group."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") / 1000.0).alias("score")), "doc_id")
+    return metrics.system_scores(rows, "quality").withColumn("system_score", F.round("system_score", 6))
+
+
+@query("SELECT doc_id AS seg_id, lang = 'en' AS same FROM documents WHERE upper(lang) <> ''")
+def same_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two runs gave the same text; the second changes what is not English."""
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seg_id"), F.col("text").alias("hyp"), "lang")
+    b = a.withColumn("hyp", F.when(F.col("lang") == "en", F.col("hyp")).otherwise(F.concat("hyp", F.lit("!"))))
+    return metrics.same_outputs(a, b)
