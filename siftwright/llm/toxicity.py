@@ -35,6 +35,8 @@ SEEDING = 1 << 20
 MAX_LABELLED = (4000, 1500)
 MAX_TRAIN_CHARS = 200_000
 KNOWN_TOKENS = 150_000
+#: Windows that the first training passes visit, epochs times windows.
+VISITS = 14_000
 BATCH = 2048
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
@@ -205,20 +207,33 @@ class _Sample:
         known: dict[str, int] = {}
         self.docs = [np.array([known.setdefault(normal(t), len(known)) for t in (text or "").split()], np.int32) for text in texts]
         self.labels = labels
-        self.words, self.grams, self.starts = features(list(known)) if known else (np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        self.many = np.diff(np.append(self.starts, len(self.grams)))
+        names, parts = list(known), []
+        for at in range(0, len(names), 20_000):  # in pieces: the working arrays are many times the tokens
+            parts.append(features(names[at : at + 20_000]))
+        self.words = np.concatenate([np.zeros(0, np.uint32), *[w for w, *_ in parts]])
+        self.grams = np.concatenate([np.zeros(0, np.uint32), *[g for _, g, _ in parts]])
+        self.many = np.concatenate([np.zeros(0, np.int64), *[np.diff(np.append(s, len(g))) for _, g, s in parts]])
+        self.starts = np.cumsum(self.many) - self.many
+
+    def grams_of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The grams of some tokens, where each token's start among them, and how many each has."""
+        many = self.many[tokens]
+        offsets = np.cumsum(many) - many
+        return self.grams[np.repeat(self.starts[tokens] - offsets, many) + np.arange(many.sum())], offsets, many
 
     def token_evidence(self) -> np.ndarray:
         """For each token the highest log odds of its word and grams, from document frequencies."""
         toxic = self.labels.sum()
         found = np.zeros((2, SEEDING), np.float32)
-        own = [np.concatenate([[w], self.grams[s : s + n]]) for w, s, n in zip(self.words, self.starts, self.many, strict=True)]
         for doc, label in zip(self.docs, self.labels, strict=True):
             if len(doc):
-                found[label, np.unique(np.concatenate([own[t] for t in np.unique(doc)]) % SEEDING)] += 1
+                tokens = np.unique(doc)
+                found[label, np.unique(np.concatenate([self.words[tokens], self.grams_of(tokens)[0]]) % SEEDING)] += 1
         p, q = (found[1] + 0.05) / (toxic + 0.1), (found[0] + 0.5) / (len(self.labels) - toxic + 1)
         odds = np.log(p / q) * np.minimum(found[1], 3) / 3
-        return np.array([odds[o % SEEDING].max() for o in own], np.float32)
+        if not len(self.words):
+            return np.zeros(0, np.float32)
+        return np.maximum(odds[self.words % SEEDING], np.maximum.reduceat(odds[self.grams % SEEDING], self.starts))
 
     def window(self, doc: int, start: int) -> np.ndarray:
         return self.docs[doc][start : start + WINDOW]
@@ -228,9 +243,7 @@ def _batch(network: Network, sample: _Sample, windows: list[np.ndarray]):
     """Inputs of a batch of windows, and what is needed to carry gradients back to the embeddings."""
     lengths = np.array([len(w) for w in windows])
     tokens, back = np.unique(np.concatenate(windows), return_inverse=True)
-    starts, many = sample.starts[tokens], sample.many[tokens]
-    offsets = np.cumsum(many) - many
-    grams = sample.grams[np.repeat(starts - offsets, many) + np.arange(many.sum())]
+    grams, offsets, many = sample.grams_of(tokens)
     vectors = network.embed(sample.words[tokens], grams, offsets)
     table = np.concatenate([network.project(vectors), np.zeros((1, 6 * HIDDEN), np.float32)])
     index = np.full((len(windows), WINDOW), len(tokens))
@@ -271,18 +284,12 @@ def _train(network: Network, sample: _Sample, windows: list[np.ndarray], labels:
 
 def _highest(network: Network, sample: _Sample) -> tuple[np.ndarray, np.ndarray]:
     """For each document its highest window logit and that window's first token."""
-    vectors = [network.project(network.embed(sample.words[a : a + 20_000], sample.grams[sample.starts[a] : sample.starts[a + 20_000] if a + 20_000 < len(sample.starts) else None], sample.starts[a : a + 20_000] - sample.starts[a])) for a in range(0, len(sample.words), 20_000)]
-    table = np.concatenate([*vectors, np.zeros((1, 6 * HIDDEN), np.float32)])
     best, spot = np.full(len(sample.docs), -np.inf), np.zeros(len(sample.docs), np.int64)
     pairs = [(d, int(s)) for d, doc in enumerate(sample.docs) for s in window_starts(len(doc))]
-    for at in range(0, len(pairs), BATCH):
-        part = pairs[at : at + BATCH]
-        index = np.full((len(part), WINDOW), len(table) - 1)
-        lengths = np.empty(len(part), np.int64)
-        for i, (d, s) in enumerate(part):
-            w = sample.window(d, s)
-            index[i, : len(w)], lengths[i] = w, max(1, len(w))
-        for (d, s), logit in zip(part, network.forward(table[index], lengths).tolist(), strict=True):
+    for at in range(0, len(pairs), BATCH // 2):
+        part = pairs[at : at + BATCH // 2]
+        inputs, lengths, _ = _batch(network, sample, [sample.window(d, s) for d, s in part])
+        for (d, s), logit in zip(part, network.forward(inputs, lengths).tolist(), strict=True):
             if logit > best[d]:
                 best[d], spot[d] = logit, s
     return best, spot
@@ -316,13 +323,13 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Network:
             windows.append(sample.window(d, rng.choice(starts)))
             marks.append(0)
     marks = np.array(marks)
-    epochs = int(np.clip(24_000 // len(windows), 4, 40))
+    epochs = int(np.clip(VISITS // len(windows), 1, 40))
     _train(network, sample, windows, marks, epochs, 4e-3, rng)
-    for _ in range(3):
+    for _ in range(2):
         _, spots = _highest(network, sample)
         windows += [sample.window(d, s) for d, s in enumerate(spots)]
         marks = np.concatenate([marks, labels])
-        _train(network, sample, windows, marks, max(1, epochs // 3), 2e-3, rng)
+        _train(network, sample, windows, marks, max(1, epochs // 4), 2e-3, rng)
     best, _ = _highest(network, sample)
     x, y = np.clip(best, -12, 12), labels
     a, b = 1.0, 0.0
