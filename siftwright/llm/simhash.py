@@ -164,7 +164,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = simhash_components(docs, id_col, text_col).filter(F.col("doc_id") == F.col("component_id"))
     keep = stage_table(found.groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_copies")), "simhash-keep")
-    key = F.col(id_col).cast("long") == F.col("_keep")
-    single = docs.join(keep.filter("_copies = 1"), key, "left_semi")
-    repeated = docs.join(keep.filter("_copies > 1"), key, "left_semi").dropDuplicates([id_col, text_col])
+    once, more = keep.filter("_copies = 1"), keep.filter("_copies > 1")
+    single = docs.join(once, docs[id_col].cast("long") == once["_keep"], "left_semi")
+    repeated = docs.join(more, docs[id_col].cast("long") == more["_keep"], "left_semi").dropDuplicates([id_col, text_col])
     return single.unionByName(repeated).unionByName(docs.filter(F.col(id_col).isNull()))
