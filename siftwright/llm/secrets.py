@@ -20,6 +20,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwright.llm.common import stage_table
+
 CANDIDATE = r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]{0,511}[0-9])[A-Za-z0-9_][A-Za-z0-9+/_.-]{6,510}[A-Za-z0-9_]={0,2}"
 BEFORE, AFTER = 32, 16
 THRESHOLD = 0.5
@@ -146,6 +148,7 @@ class Forest:
 def train_forest(findings: DataFrame, trees: int = 16, depth: int = 6, seed: int = 11) -> Forest:
     """A forest from labelled findings; their number is a bound of the caller's."""
     rows = findings.filter("candidate <> '' and label in (0, 1)").select(F.col("label").cast("double").alias("label"), describe(F.col("candidate"), F.col("before"), F.col("after")).alias("f")).select("label", "f.*")
+    rows = stage_table(rows, "secret-findings")  # else each of the fit's jobs describes them again
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(ready)
 
@@ -182,7 +185,9 @@ def scan_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_c
 def redact_secrets(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """docs with every secret in the text replaced by the mask; all rows and columns stay."""
     text = F.col(text_col)
-    scored = F.transform(find_candidates(text), lambda x: F.struct(x["start"].alias("start"), F.length(x["candidate"]).alias("n"), forest.score(describe(x["candidate"], x["before"], x["after"])).alias("score")))
+    # two steps: the trees name fields of the described candidate, so the plan holds each feature's expression once
+    described = F.transform(find_candidates(text), lambda x: F.struct(x["start"].alias("start"), F.length(x["candidate"]).alias("n"), describe(x["candidate"], x["before"], x["after"]).alias("f")))
+    scored = F.transform(described, lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), forest.score(x["f"]).alias("score")))
     empty = F.struct(F.lit(1).alias("next"), F.lit("").alias("out"))
 
     def step(state, x):
