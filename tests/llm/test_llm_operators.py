@@ -108,6 +108,16 @@ def test_simhash_of_repeated_and_missing_ids(spark, empty):
     assert keep_one_per_group(empty).columns == empty.columns
 
 
+def test_keeping_one_of_a_group_with_clashing_columns(spark):
+    from siftwright.llm.simhash import keep_one_per_group
+
+    rows = [(1, "a b c d e", 7, 1), (2, "a b c d e", 1, 2), (3, "quite another text of words", 2, 3), (3, "quite another text of words", 2, 3), (None, None, 9, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _keep long, _copies long")
+    kept = keep_one_per_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[3]) == [rows[0], rows[2], rows[4]]
+
+
 # --- language identification ---
 def test_languages_held_out(spark, empty):
     from siftwright.llm.langid import detect_languages, fit_filters
