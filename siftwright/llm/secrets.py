@@ -9,8 +9,7 @@ The trained trees become nested CASE expressions over these features, so scoring
 of text that only look like them (addresses, hashes of commits, versions, identifiers, numbers, paths, placeholders).
 Any table of (before, candidate, after, label) can replace it.
 
-Defined cases: null and empty texts have no candidates; a candidate longer than 512 characters is taken in pieces of
-that length; rows that repeat are scanned each; null ids stay null; ties of a tree's split go to the left branch.
+Defined cases: null and empty texts have no candidates; a candidate is taken whole, however long it is; rows that repeat are scanned each; null ids stay null; ties of a tree's split go to the left branch.
 """
 
 from __future__ import annotations
@@ -22,8 +21,10 @@ from pyspark.sql import functions as F
 
 from siftwright.llm.common import stage_table
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]{0,511}[0-9])[A-Za-z0-9_][A-Za-z0-9+/_.-]{6,510}[A-Za-z0-9_]={0,2}"
-BEFORE, AFTER = 32, 16
+CANDIDATE = r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_][A-Za-z0-9+/_.-]{6,}[A-Za-z0-9_]={0,2}"
+#: From the end of the last match on: the text between (1), a candidate (2) and what follows it (3).
+PLACED = rf"(?s)\G(.*?)({CANDIDATE})(?=(.{{0,16}}))"
+BEFORE = 32
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
@@ -57,7 +58,7 @@ def describe(candidate: Column, before: Column, after: Column) -> Column:
         "upper_share": share("[A-Z]"),
         "symbol_share": share("[^A-Za-z0-9]"),
         "vowel_share": share("[aeiouAEIOU]"),
-        "different_share": F.size(F.array_distinct(F.split(candidate, ""))) / n,
+        "different_share": F.size(F.array_distinct(F.split(candidate, ""))) / F.least(n, F.lit(64)),  # longer ones repeat their letters
         "covered": share("(?i)(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"),
         "is_hex": yes(candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "is_digits_marks": yes(candidate.rlike("^[0-9./_+-]+$")),
@@ -81,6 +82,7 @@ def example_findings(spark: SparkSession, rows: int = 6000, seed: int = 11) -> D
     b64 = lambda salt: F.translate(F.base64(F.unhex(bits(salt))), "\n", "")
     plain = lambda salt, n: F.substring(F.translate(F.concat(b64(salt), b64(salt + "x")), "+/=", ""), 1, n)
     hexa = lambda salt, n: F.substring(F.concat(bits(salt), bits(salt + "x")), 1, n)
+    long = lambda salt: F.translate(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4) + F.pmod("id", F.lit(40))), lambda i: F.base64(F.unhex(F.sha2(F.concat_ws("|", bits(salt), i), 256)))), ""), "\n=", "")
     word = lambda salt: pick(salt, "river", "hand", "ciudad", "maison", "Haus", "over", "then", "onth", "ering", "monde", "zwischen", "table", "garden")
     prose = F.concat(word("w1"), F.lit(" "), word("w2"), F.lit(" "))
     key = lambda *names: F.concat(prose, pick("name", *names), pick("sign", " = \"", "=", ": ", "='", " := \"", "=\""))
@@ -97,6 +99,9 @@ def example_findings(spark: SparkSession, rows: int = 6000, seed: int = 11) -> D
         (key("secret", "secret_key", "private_key"), b64("j"), 1),
         (prose, plain("k", 40), 1),
         (key("token", "secret"), hexa("l", 32), 1),
+        (key("token", "private_key", "secret"), long("la"), 1),
+        (F.concat(prose, F.lit("Authorization: Bearer ")), F.concat(F.lit("eyJ"), plain("lb", 30), F.lit("."), long("lc"), F.lit("."), plain("ld", 40)), 1),
+        (prose, F.repeat(pick("lrep", "1a", "xx0", "abc1", "00", "a1b2"), 300), 0),
         (prose, F.concat_ws(".", number("n1", 256), number("n2", 256), number("n3", 256), number("n4", 256)), 0),
         (F.concat(prose, pick("ipw", "host ", "ip ", "from ")), F.concat_ws(".", number("n1", 256), number("n2", 256), number("n3", 256), number("n4", 256)), 0),
         (F.concat(prose, F.lit("(")), F.concat_ws("-", number("n5", 900), number("n6", 900), number("n7", 9000)), 0),
@@ -162,17 +167,18 @@ def train_forest(findings: DataFrame, trees: int = 16, depth: int = 6, seed: int
 
 
 def find_candidates(text: Column) -> Column:
-    """Array of structs (start, candidate, before, after), start counted from 1, in order."""
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    empty = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<start:int,candidate:string>>").alias("found"))
+    """Array of structs (start, gap, candidate, before, after), start counted from 1, in order; gap is the text since the last."""
+    part = lambda group: F.regexp_extract_all(text, F.lit(PLACED), F.lit(group))
+    found = F.arrays_zip(part(1).alias("gap"), part(2).alias("candidate"), part(3).alias("after"))
+    empty = F.struct(F.lit(1).alias("next"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,gap:string,candidate:string,before:string,after:string>>").alias("found"))
 
-    def step(state, candidate):
-        at = F.call_function("locate", candidate, text, state["next"])
-        return F.struct((at + F.length(candidate)).alias("next"), F.concat(state["found"], F.array(F.struct(at.alias("start"), candidate.alias("candidate")))).alias("found"))
+    def step(state, x):
+        at = state["next"] + F.length(x["gap"])
+        before = F.right(F.concat(state["tail"], x["gap"]), F.lit(BEFORE))
+        placed = F.struct(at.alias("start"), x["gap"].alias("gap"), x["candidate"].alias("candidate"), before.alias("before"), x["after"].alias("after"))
+        return F.struct((at + F.length(x["candidate"])).alias("next"), F.right(F.concat(before, x["candidate"]), F.lit(BEFORE)).alias("tail"), F.concat(state["found"], F.array(placed)).alias("found"))
 
-    placed = F.aggregate(found, empty, step, lambda s: s["found"])
-    start = lambda x: F.greatest(F.lit(1), x["start"] - BEFORE)
-    return F.transform(placed, lambda x: F.struct(x["start"].alias("start"), x["candidate"].alias("candidate"), F.substring(text, start(x), x["start"] - start(x)).alias("before"), F.substring(text, x["start"] + F.length(x["candidate"]), F.lit(AFTER)).alias("after")))
+    return F.aggregate(found, empty, step, lambda s: s["found"])
 
 
 def scan_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -186,12 +192,8 @@ def redact_secrets(docs: DataFrame, forest: Forest, text_col: str = "text", thre
     """docs with every secret in the text replaced by the mask; all rows and columns stay."""
     text = F.col(text_col)
     # two steps: the trees name fields of the described candidate, so the plan holds each feature's expression once
-    described = F.transform(find_candidates(text), lambda x: F.struct(x["start"].alias("start"), F.length(x["candidate"]).alias("n"), describe(x["candidate"], x["before"], x["after"]).alias("f")))
-    scored = F.transform(described, lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), forest.score(x["f"]).alias("score")))
-    empty = F.struct(F.lit(1).alias("next"), F.lit("").alias("out"))
-
-    def step(state, x):
-        return F.struct((x["start"] + x["n"]).alias("next"), F.concat(state["out"], F.substring(text, state["next"], x["start"] - state["next"]), F.lit(mask)).alias("out"))
-
-    clean = F.aggregate(F.filter(scored, lambda x: x["score"] >= threshold), empty, step, lambda s: F.concat(s["out"], F.substring(text, s["next"], F.length(text))))
+    described = F.transform(find_candidates(text), lambda x: F.struct(x["gap"].alias("gap"), x["candidate"].alias("candidate"), describe(x["candidate"], x["before"], x["after"]).alias("f")))
+    scored = F.transform(described, lambda x: F.struct((F.length(x["gap"]) + F.length(x["candidate"])).alias("n"), F.concat(x["gap"], F.when(forest.score(x["f"]) >= threshold, F.lit(mask)).otherwise(x["candidate"])).alias("out")))
+    joined = F.transform(F.array(scored), lambda found: F.concat(F.array_join(found["out"], ""), F.substring(text, F.aggregate(found["n"], F.lit(1), lambda at, n: at + n), F.length(text))))
+    clean = F.element_at(joined, 1)
     return docs.withColumn(text_col, F.when(text.rlike(CANDIDATE), clean).otherwise(text))

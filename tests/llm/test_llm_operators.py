@@ -231,6 +231,19 @@ def test_secrets_are_found_and_lookalikes_are_not(spark, empty, forest):
     assert scan_secrets(empty, forest).count() == 0 and redact_secrets(empty, forest).columns == empty.columns
 
 
+@pytest.mark.parametrize("n", [600, 2_000])
+def test_long_secrets_are_masked_whole(spark, forest, n):
+    import base64
+
+    from siftwright.llm.secrets import redact_secrets, scan_secrets
+
+    key = base64.b64encode(random.Random(n).randbytes(2 * n)).decode().translate({ord(c): None for c in "+/="})[:n]
+    docs = docs_of(spark, [f'é😀 token = "{key}" more'])
+    assert [r["text"] for r in redact_secrets(docs, forest).collect()] == ['é😀 token = "[SECRET]" more']
+    row = scan_secrets(docs, forest).filter("is_secret").first()
+    assert (row["start"], row["end"]) == (12, 12 + n)
+
+
 def test_forest_expression_is_plain(spark, forest):
     from siftwright.llm.secrets import scan_secrets
 
