@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame operations alone.
 
-A pattern proposes candidates: runs of letters, digits and a few marks, of eight characters or more with a digit among
-them. Each is described by its length, the transitions between its characters' classes, how much of it dictionary
+A pattern proposes candidates: all runs of letters, digits and a few marks (+ / . _ -) of eight characters or more,
+without the points at their end; what is no secret among them is the forest's to reject. Each is described by its length, the transitions between its characters' classes, how much of it dictionary
 words cover, its likeness to a path, and the words and marks beside it; a forest trained on labelled findings decides.
 The trained trees become nested CASE expressions over these features, so scoring runs inside the query plan.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from siftwright.llm.common import stage_table
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_][A-Za-z0-9+/_.-]{6,}[A-Za-z0-9_]={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]{7,}[A-Za-z0-9_+/-]={0,2}"
 #: From the end of the last match on: the text between (1), a candidate (2) and what follows it (3).
 PLACED = rf"(?s)\G(.*?)({CANDIDATE})(?=(.{{0,16}}))"
 BEFORE = 32
@@ -38,9 +38,11 @@ DICTIONARY = (
     "system table task temp template test text that the this time title token tool type update upload user util utils value version video view web week west windows with word "
     "work world www year your"
 ).split()
+#: Any of them, the longest first, grouped by first letter.
+COVER = "(?i)(?:" + "|".join(c + "(?:" + "|".join(w[1:] for w in sorted(DICTIONARY, key=lambda w: (-len(w), w)) if w[0] == c) + ")" for c in sorted({w[0] for w in DICTIONARY})) + ")"
 SECRET_WORDS = r"(?i)(token|secret|passw(or)?d|pwd|credentials?|api.?key|access.?key|private.?key|auth\w*|bearer)\W{0,6}$"
 OTHER_WORDS = r"(?i)(commit|revision|sha-?\d*|md5|checksum|digest|hash|etag|uuid|guid|id|version|release|build|phone|tel|fax|isbn|order|ip|host|file|page|path|see|on|at)\W{0,3}$"
-PREFIXES = r"^(AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|sk_|pk_|rk_|sk-|eyJ|SG\.)"
+PREFIXES = r"^[+/._-]*(AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|sk_|pk_|rk_|sk-|eyJ|SG\.)"
 FEATURES = ("length", "transitions", "digit_share", "upper_share", "symbol_share", "vowel_share", "different_share", "covered", "is_hex", "is_digits_marks", "segments", "short_segments", "ends_like_name", "prefix", "secret_word", "other_word", "assigned", "quoted")
 
 
@@ -59,7 +61,7 @@ def describe(candidate: Column, before: Column, after: Column) -> Column:
         "symbol_share": share("[^A-Za-z0-9]"),
         "vowel_share": share("[aeiouAEIOU]"),
         "different_share": F.size(F.array_distinct(F.split(candidate, ""))) / F.least(n, F.lit(64)),  # longer ones repeat their letters
-        "covered": share("(?i)(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"),
+        "covered": share(COVER),
         "is_hex": yes(candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "is_digits_marks": yes(candidate.rlike("^[0-9./_+-]+$")),
         "segments": F.size(F.split(candidate, "[./_-]")),
@@ -84,6 +86,9 @@ def example_findings(spark: SparkSession, rows: int = 6000, seed: int = 11) -> D
     hexa = lambda salt, n: F.substring(F.concat(bits(salt), bits(salt + "x")), 1, n)
     long = lambda salt: F.translate(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4) + F.pmod("id", F.lit(40))), lambda i: F.base64(F.unhex(F.sha2(F.concat_ws("|", bits(salt), i), 256)))), ""), "\n=", "")
     word = lambda salt: pick(salt, "river", "hand", "ciudad", "maison", "Haus", "over", "then", "onth", "ering", "monde", "zwischen", "table", "garden")
+    syllable = lambda salt: pick(salt, "ba", "cen", "di", "fer", "gu", "hin", "ja", "kel", "lo", "men", "ni", "por", "qui", "ra", "schen", "ti", "un", "ver", "wa", "zu", "tion", "eau", "ing", "ent", "th", "sch", "bert", "wh", "ly", "nd")
+    made_up = lambda salt: F.concat(*[syllable(f"{salt}{i}") for i in range(3)], F.when(F.pmod("id", F.lit(2)) == 0, syllable(salt + "x")).otherwise(""))
+    phrase = lambda salt: F.concat(made_up(salt), F.initcap(word(salt + "y")), F.initcap(made_up(salt + "z")))
     prose = F.concat(word("w1"), F.lit(" "), word("w2"), F.lit(" "))
     key = lambda *names: F.concat(prose, pick("name", *names), pick("sign", " = \"", "=", ": ", "='", " := \"", "=\""))
     kinds: list[tuple[Column, Column, int]] = [
@@ -102,6 +107,28 @@ def example_findings(spark: SparkSession, rows: int = 6000, seed: int = 11) -> D
         (key("token", "private_key", "secret"), long("la"), 1),
         (F.concat(prose, F.lit("Authorization: Bearer ")), F.concat(F.lit("eyJ"), plain("lb", 30), F.lit("."), long("lc"), F.lit("."), plain("ld", 40)), 1),
         (prose, F.repeat(pick("lrep", "1a", "xx0", "abc1", "00", "a1b2"), 300), 0),
+        (key("password", "passwd", "pwd", "secret", "db_password"), phrase("pa"), 1),
+        (key("password", "passwd", "pwd", "secret"), F.concat(made_up("pb"), pick("pbs", "", "-", "_", "."), made_up("pc")), 1),
+        (key("secret", "secret_key", "token"), F.concat(pick("lead", "/", "+"), F.substring(b64("pd"), 2, 39)), 1),
+        (F.concat(prose, F.lit("https:")), F.concat(pick("hook", "//hooks.slack.com/services/T", "//hooks.example.com/services/T", "//discord.com/api/webhooks/"), F.upper(plain("pe", 9)), F.lit("/B"), F.upper(plain("pf", 9)), F.lit("/"), plain("pg", 24)), 1),
+        (F.concat(prose, pick("db", "mysql ", "mysql -u root ", "mysqldump -u admin ")), F.concat(F.lit("-p"), plain("ph2", 14)), 1),
+        (prose, F.concat(F.lit("AKIA"), F.translate(F.upper(plain("pi", 60)).substr(1, 16), "0123456789", "QXZJKVWPYB")), 1),
+        (prose, made_up("na"), 0),
+        (prose, F.initcap(made_up("nb")), 0),
+        (F.concat(prose, pick("nbq", "(", "\"", "'", "")), F.upper(made_up("nc")), 0),
+        (F.concat(F.upper(prose), pick("ncm", "", "!! ", ". ")), F.upper(F.concat(made_up("ncu"), syllable("ncv"))), 0),
+        (F.upper(prose), F.upper(F.concat(made_up("ncw"), made_up("ncx"))), 0),
+        (prose, phrase("nd"), 0),
+        (prose, F.concat_ws("-", word("ne"), made_up("nf"), word("ng")), 0),
+        (prose, F.concat(made_up("nh"), pick("nhs", ".", "/", "_"), made_up("ni")), 0),
+        (F.concat(prose, pick("njs", "secret ", "the password ", "token ", "authentic ", "credentials, ", "auth ")), F.concat(made_up("nj"), pick("njx", "", "-", "s")), 0),
+        (F.concat(prose, pick("nks", "name = \"", "title: ", "class=\"", "lang=", "author: ")), made_up("nk"), 0),
+        (prose, F.repeat(pick("rule", "-", ".-", "_", "+-", "/", "--"), 9), 0),
+        (prose, F.repeat(pick("rule2", "x", "ab", "ha", "A"), 200), 0),
+        (F.concat(prose, pick("scheme", "https:", "http:", "")), F.concat(F.lit("//"), pick("sub", "www.", "docs.", ""), word("nl"), pick("tld3", ".com", ".org", ".fr", ".io"), F.lit("/"), made_up("nm"), pick("deep", "/", "/page/", "/2023/", "/v1/"), made_up("nn"), pick("nnx", "", ".html", "-12")), 0),
+        (prose, F.concat_ws("/", F.lit(""), pick("np", "usr", "home", "var", "opt"), made_up("nq"), F.concat(word("nr"), number("nrn", 99)), F.concat(made_up("ns"), pick("nsx", "", ".py", ".so", ".log"))), 0),
+        (prose, F.concat(F.lit("--"), word("nt"), F.lit("-"), made_up("nu")), 0),
+        (prose, F.concat(pick("sign2", "-", "+", "..", "/"), number("nv", 99999999), pick("nvx", ".5", "-7", "/12"), number("nw", 9999)), 0),
         (prose, F.concat_ws(".", number("n1", 256), number("n2", 256), number("n3", 256), number("n4", 256)), 0),
         (F.concat(prose, pick("ipw", "host ", "ip ", "from ")), F.concat_ws(".", number("n1", 256), number("n2", 256), number("n3", 256), number("n4", 256)), 0),
         (F.concat(prose, F.lit("(")), F.concat_ws("-", number("n5", 900), number("n6", 900), number("n7", 9000)), 0),
