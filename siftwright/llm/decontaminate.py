@@ -11,7 +11,7 @@ Words are split at white space, lower-cased, and stripped of what is neither let
 are five words; items with fewer words have one shingle, the whole item. A match has similarity 0.8 or more.
 
 Defined cases: null or blank texts and items match nothing; an item that occurs more often in a document is reported
-once, at its most similar (then first) window; items that repeat under several ids are reported under each; null item
+once, at its most similar (then first) window; a text with fewer words than an item is one window as a whole; items that repeat under several ids are reported under each; null item
 ids are reported as null; very long texts are scanned whole.
 """
 
@@ -201,23 +201,24 @@ class ItemIndex:
             sums = None
             for n, spots in starts_of.items():
                 spots = np.array(spots)
-                last = len(hashes) - n
-                if last < 0:
+                size = min(n, len(hashes))  # a text shorter than the item is its own one window
+                last = len(hashes) - size
+                if size - k + 1 < SIMILARITY * (n - k + 1):
                     continue
-                starts = np.unique((spots[:, None] - np.arange(n - k + 1)[None, :]).ravel())
+                starts = np.unique((spots[:, None] - np.arange(size - k + 1)[None, :]).ravel())
                 starts = starts[(starts >= 0) & (starts <= last)]
                 if sums is None:
                     sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(shingles), axis=0, dtype=np.int32)])
                 for a in range(0, len(starts), 2048):
                     part = starts[a : a + 2048]
-                    prints = _simhash(sums[part + n - k + 1] - sums[part])
+                    prints = _simhash(sums[part + size - k + 1] - sums[part])
                     for w, j, d in zip(*map(np.ndarray.tolist, self._candidates(k, n, prints)), strict=True):
                         s = int(part[w])
-                        own = Counter(shingles[s : s + n - k + 1].tolist())
+                        own = Counter(shingles[s : s + size - k + 1].tolist())
                         shared = sum((own & self.counts[j]).values())
-                        like = shared / (2 * (n - k + 1) - shared)
+                        like = shared / (n + size - 2 * (k - 1) - shared)
                         if like >= SIMILARITY and (-like, s) < best.get(j, (0, 0))[:2]:
-                            best[j] = (-like, s, n, d)
+                            best[j] = (-like, s, size, d)
         return [{"item_id": self.items[j][0], "similarity": -like, "start_word": s, "n_words": n, "distance": d} for j, (like, s, n, d) in sorted(best.items())]
 
 

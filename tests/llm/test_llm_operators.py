@@ -548,3 +548,14 @@ def test_pipeline_stages(spark, empty):
         assert stage(spark, empty, sf).count() == 0
     out = pipeline.run(spark, sf)
     assert 0 < out.count() <= clean.count() and {"doc_id", "text", "taken"} <= set(out.columns)
+
+
+def test_items_in_texts_shorter_than_the_item(spark):
+    from siftwright.llm.decontaminate import contaminated, decontaminate
+
+    words = [f"w{i}" for i in range(59)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = docs_of(spark, [" ".join(words[:57]), " ".join(words[1:]), " ".join(words[:48]), " ".join(words[:47]), " ".join(words[:20]), "w0"])
+    got = {r["doc_id"]: (r["similarity"], r["start_word"], r["n_words"]) for r in contaminated(docs, bench).collect()}
+    assert got == {0: (53 / 55, 0, 57), 1: (54 / 55, 0, 58), 2: (44 / 55, 0, 48)}
+    assert {r["doc_id"] for r in decontaminate(docs, bench).collect()} == {3, 4, 5}
