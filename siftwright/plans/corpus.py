@@ -137,17 +137,29 @@ def restore_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contaminated_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain a whole benchmark item: items meet documents by their first words, then as a whole.
+    """Documents that contain a whole benchmark item."""
+    return containing(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")))
 
-    An item's first four words are a key, so this is an equi join and not a pairing of all with all.
+
+def containing(docs: DataFrame, items: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
+    """(doc_id, item_id) of documents (doc_id, text) that contain an item (item_id, item): they meet by words, then as a whole.
+
+    An item's first and last word can touch other characters in a document; up to four words after the first stand
+    there as they are and are a key, so this is an equi join. Items without such a word are searched in all documents,
+    in broadcast blocks of about block_bytes.
     """
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    first = lambda c: F.regexp_extract(c, r"^\S+(?:\s+\S+){0,3}", 0)
-    keyed = items.withColumn("key", first(F.col("item")))
-    sizes = [r["n"] for r in keyed.select(F.regexp_count("key", F.lit(r"\S+")).alias("n")).distinct().collect()]  # one to four
-    runs = [F.regexp_extract_all("text", F.lit(rf"(?<!\S)(?=(\S+(?:\s+\S+){{{n - 1}}}))"), F.lit(1)) for n in sizes if n]
+    keyed = items.withColumn("key", F.regexp_extract("item", r"^\s*\S+\s+(\S+(?:\s+\S+){0,3})\s+\S", 1))
+    long, short = keyed.filter("key <> ''"), keyed.filter("key = ''").select("item_id", "item")
+    sizes = [r["n"] for r in long.select(F.regexp_count("key", F.lit(r"\S+")).alias("n")).distinct().collect()]  # one to four
+    runs = [F.regexp_extract_all("text", F.lit(rf"(?<!\S)(?=(\S+(?:\s+\S+){{{n - 1}}}))"), F.lit(1)) for n in sizes] or [F.array().cast("array<string>")]
     windows = docs.select("doc_id", "text", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("key"))
-    return windows.join(keyed, "key").filter(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+    out = windows.join(long, "key").filter(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    total = short.agg(F.sum(F.octet_length("item") + 16)).first()[0] or 0
+    blocks = -(-total // block_bytes)
+    for i in range(blocks):
+        block = F.broadcast(short.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == i))
+        out = out.unionByName(docs.join(block, F.col("text").contains(F.col("item"))).select("doc_id", "item_id"))
+    return out
 
 
 @query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")

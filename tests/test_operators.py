@@ -309,3 +309,16 @@ def test_stream_keeps_each_pair_once(spark, tmp_path):
     run = clean_stream(stream).writeStream.format("memory").queryName("kept").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert spark.table("kept").count() == 1
+
+
+def test_containing_finds_items_beside_other_characters(spark):
+    from siftwright.plans.corpus import containing
+
+    items = [(1, "As it was in the beginning"), (2, "it was"), (3, " as it  was then"), (4, "ginning of all things"), (5, ""), (6, None), (7, "one two three"), (8, "日本")]
+    texts = ['"As it was in the beginning"', "(As it was in the beginning, of all", "x as it  was then.", "beginning of all things!", "one two three, four", "-one two threefold", "in 日本語", "", None, "As it was in", '"As it was in the beginning"']
+    rows = [(i % 10, t) for i, t in enumerate(texts)]
+    expected = sorted((d, i) for d, t in rows for i, item in items if t is not None and item is not None and item in t)
+    docs, bench = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, item string")
+    for block_bytes in (16 << 20, 20):
+        assert sorted(map(tuple, containing(docs, bench, block_bytes).collect())) == expected
+    assert containing(docs, bench.filter("false")).count() == 0
