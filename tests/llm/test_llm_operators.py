@@ -559,3 +559,36 @@ def test_items_in_texts_shorter_than_the_item(spark):
     got = {r["doc_id"]: (r["similarity"], r["start_word"], r["n_words"]) for r in contaminated(docs, bench).collect()}
     assert got == {0: (53 / 55, 0, 57), 1: (54 / 55, 0, 58), 2: (44 / 55, 0, 48)}
     assert {r["doc_id"] for r in decontaminate(docs, bench).collect()} == {3, 4, 5}
+
+
+def test_stage_keeps_one_of_similar_sets(spark, empty):
+    from corpus_pipeline import drop_near_duplicates
+
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [None, "", " \n", "one two", "ONE  two", "one three"]
+    for _ in range(12):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([8, 60, 200]))]
+        for changes in (0, 0, 1, 2, 4, 9, 15):
+            copy = list(words)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy[: rng.choice([len(copy), len(copy) - 2])]))
+    rng.shuffle(texts)
+
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [grams(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    expected = sorted(min(i for i, x in enumerate(label) if x == part) for part in set(label))
+    kept = drop_near_duplicates(spark, docs_of(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == expected
+    rows = docs_of(spark, ["a b c d e", "a b c d e", "other text entirely here now", "a b c d e", None], [7, 7, 3, None, None])
+    assert sorted(str(r["doc_id"]) for r in drop_near_duplicates(spark, rows, "").collect()) == ["3", "7", "None", "None"]
+    assert drop_near_duplicates(spark, empty, "").columns == empty.columns
