@@ -1,19 +1,19 @@
 """Mixing sources to target weights by distributed prefix sums, in DataFrame operations alone.
 
-Every document gets a hash-random key. Within each source the keys are cut into ranges, the word counts of each range
-are summed, and a prefix sum over the ranges gives every range its starting point; a second prefix sum inside the
-range gives every document its place. A source's budget is met exactly: whole epochs over the source, then documents
-in key order until the rest of the budget is used up, the last of them in part. No step sees more than one range of
-one source at a time, so a source with a third of all rows spreads over as many tasks as it has ranges.
+Every document gets a hash-random key of its id and text. Within each source the keys are cut into ranges, the word
+counts of each range are summed, and a prefix sum over the ranges tells in which of them the source's budget ends.
+Only that range has to be sorted: a prefix sum over its keys finds the exact cut. A source takes whole epochs, then
+the documents before the cut, and of the document at the cut what is left of the budget. The rows themselves never
+move: each compares its key with its source's cut, so a source with a third of all rows needs no task of its own.
 
 Targets: sources in code-point order (null last) have the weights 5, 2, 1, repeating, and share all words; a target
 stops at three times its source's words and the excess is shared again by weight among the others. The fixed point of
 that is computed in closed form: with sources sorted by cap / weight, a source is capped exactly if its cap is under
-its weight times the level that the sources after it would share.
+its weight times the level that the sources after it would share. This step ranks one row for each source in one task.
 
 Defined cases: null texts have size 0; a source without words has target 0; a document of size 0 takes 0; rows that
-repeat an id get the same key and are ordered by size, so which of two equal rows comes first changes no result row;
-an empty table gives no rows.
+repeat both id and text are copies with one key: where the cut falls on them they share the rest evenly, and of their
+source less than one word a copy stays untaken; an empty table gives no rows; columns in `keep` may have any names.
 """
 
 from __future__ import annotations
@@ -23,42 +23,88 @@ from pyspark.sql import functions as F
 
 from siftwright.llm.common import stage_table, word_count
 
-WEIGHTS = (5.0, 2.0, 1.0)
+WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-RANGES = 1024
+SEED = 17
+#: Keys are the first 60 bits of a digest; ranges are their first RANGE_BITS bits.
+KEY_BITS, RANGE_BITS = 60, 14
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row for each source."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size").cast("double") * max_epochs)
+    ranked = ranked.withColumn("cap", F.col("source_size") * max_epochs)
     order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
+    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(after)
     found = ranked.withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("w") * F.col("level"))
     # the first source that is not capped sets the level of all that follow
     shared = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("w"), F.col("source").isNull(), F.col("source"), F.col("level")))).over(Window.partitionBy())
-    return found.withColumn("shared", shared["level"]).select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("w") * F.col("shared")).alias("target"))
+    return found.withColumn("shared", shared["level"]).select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("shared")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, ranges: int = RANGES, keep: list[Column] | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, plus the columns in keep) for every row of docs."""
-    keep = keep or []
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
-    place = F.floor(F.shiftrightunsigned(key, 32) * F.lit(ranges) / F.lit(1 << 32)).cast("int")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("size"), key.alias("_key"), place.alias("_range"), *keep)
-    kept = rows.columns[5:]
-    sums = rows.groupBy(F.col("_source").alias("source"), F.col("_range").alias("range")).agg(F.sum("size").alias("words"))
-    sums = stage_table(sums, "mix-ranges")
-    targets = stage_table(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"))), "mix-targets").withColumnRenamed("source", "s")
-    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("words").over(ahead), F.lit(0))).join(targets, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("_s"), F.col("range").alias("_r"), "_start", "source_size", "target")
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+def source_cuts(rows: DataFrame) -> DataFrame:
+    """(s, source_size, target, epochs, cut, share) for each source of rows (source, key, text).
+
+    `epochs` whole passes, then every key below `cut`, and `share` words of each row with the key `cut`.
+    """
+    shift = KEY_BITS - RANGE_BITS
+    ranges = rows.groupBy("source", F.shiftright("key", shift).alias("range")).agg(F.sum(word_count(F.col("text"))).alias("words"))
+    ranges = stage_table(ranges, "mix-ranges")
+    targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")))
     budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - epochs * F.col("source_size") - F.col("_start") - F.col("_within")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *kept)
+    epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
+    targets = targets.withColumn("epochs", epochs).select(F.col("source").alias("s"), "source_size", "target", "epochs", (budget - F.col("epochs") * F.col("source_size")).alias("rest"))
+    targets = stage_table(targets, "mix-targets")
+    ahead = lambda *by: Window.partitionBy(by[0]).orderBy(by[1]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.withColumn("start", F.coalesce(F.sum("words").over(ahead("source", "range")), F.lit(0)))
+    starts = starts.join(targets, F.col("source").eqNullSafe(F.col("s"))).withColumn("rest", F.col("rest") - F.col("start"))
+    ends = stage_table(starts.filter("rest >= 0 and rest < words").select("s", F.col("range").alias("r"), "rest"), "mix-ends")
+    inside = rows.withColumn("range", F.shiftright("key", shift)).join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    keys = inside.groupBy("s", "rest", "key").agg(F.sum(word_count(F.col("text"))).alias("words"), F.count("*").alias("copies"))
+    keys = keys.withColumn("rest", F.col("rest") - F.coalesce(F.sum("words").over(ahead("s", "key")), F.lit(0)))
+    cuts = keys.filter("rest >= 0 and rest < words").select(F.col("s").alias("cut_s"), F.col("key").alias("cut"), F.expr("rest div copies").alias("share"))
+    found = targets.join(cuts, F.col("s").eqNullSafe(F.col("cut_s")), "left")
+    return stage_table(found.select("s", "source_size", "target", "epochs", F.coalesce("cut", F.lit(0)).alias("cut"), F.coalesce("share", F.lit(0)).alias("share")), "mix-cuts")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, keep: list[Column] | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, plus the columns in keep) for every row of docs."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
+    key = F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
+    source = F.col(source_col).cast("string")
+    cuts = source_cuts(docs.select(source.alias("source"), key.alias("key"), F.col(text_col).alias("text")))
+    names = keep or []
+    rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("_source"), word_count(F.col(text_col)).alias("size"), key.alias("_key"), F.struct(F.lit(0).alias("_"), *names).alias("_keep"))
+    kept = [f"_keep.`{f}`" for f in rows.schema["_keep"].dataType.names[1:]]
+    placed = rows.join(cuts, F.col("_source").eqNullSafe(F.col("s")))
+    rest = F.when(F.col("_key") < F.col("cut"), F.col("size")).when(F.col("_key") == F.col("cut"), F.least("share", "size")).otherwise(0)
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + rest).cast("long").alias("taken"), *kept)
+
+
+ORACLE = f"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    CAST('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, {KEY_BITS // 4}) AS BIGINT) AS key
+  FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
+ranked AS (
+  SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, source_size * {MAX_EPOCHS} AS cap FROM sizes),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM ranked),
+targets AS (
+  SELECT source, source_size, CASE WHEN cap <= w * level THEN cap::DOUBLE
+    ELSE w * (SELECT arg_min(level, (cap / w, source IS NULL, source)) FROM levels WHERE cap > w * level) END AS target FROM levels),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM targets),
+placed AS (
+  SELECT r.*, b.source_size, b.target, b.epochs, CAST(floor(b.target) AS BIGINT) - b.epochs * b.source_size
+    - coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    count(*) OVER (PARTITION BY r.source, key) AS copies
+  FROM rows r JOIN budgets b ON r.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, CAST(rest AS BIGINT) // copies)) AS BIGINT) AS taken
+FROM placed
+"""

@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import perspectives
+from siftwright.llm import mixing, perspectives
 from siftwright.llm.common import read_documents
 
 
-
-
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwright.llm.toxicity import THRESHOLD, fit, labelled_sample, score_documents
 
@@ -88,4 +84,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_language_id, op3_secret_scan, op4_chat_perspectives, op5_token_counts, op6_simhash_neardup, op7_telephony_audio, op8_decontaminate, op9_suffix_repeats, op10_mix_sources)
 }
-ORACLE_SQL: dict[str, str] = {"op4_chat_perspectives": perspectives.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_chat_perspectives": perspectives.ORACLE, "op10_mix_sources": mixing.ORACLE}

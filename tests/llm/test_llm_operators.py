@@ -530,12 +530,37 @@ def test_mix_meets_targets(spark, empty):
         sizes[s], taken[s], target[s] = sizes.get(s, 0) + r["size"], taken.get(s, 0) + r["taken"], r["target"]
         assert 0 <= r["taken"] <= 3 * r["size"]
     assert {s: pytest.approx(t) for s, t in slow_targets(sizes).items()} == target
-    assert all(taken[s] == int(target[s] + 1e-9) for s in sizes)
+    copies = {}
+    for r in rows:
+        copies[r] = copies.get(r, 0) + 1
+    assert all(0 <= int(target[s] + 1e-9) - taken[s] < max(copies.values()) for s in sizes)
     again = sorted(map(str, mix_sources(docs.repartition(7)).collect()))
     assert again == sorted(map(str, mix_sources(docs).collect()))
     assert mix_sources(empty).count() == 0
 
 
+def test_cut_falls_on_copies(spark):
+    from siftwright.llm.mixing import mix_sources
+
+    docs = spark.createDataFrame([(7, "w " * 10, None, "a", None)] * 9 + [(None, "v " * 10, None, "b", None)] * 90 + [(8, "u", None, "c", None)], DOC)
+    got = mix_sources(docs).groupBy("doc_id", "size", "target").agg(F.sum("taken").alias("taken"), F.countDistinct("taken").alias("kinds"), F.count("*").alias("n")).collect()
+    assert all(0 <= int(r["target"]) - r["taken"] < r["n"] and r["kinds"] == 1 for r in got)
+
+
+@pytest.mark.parametrize("name", ["op4_chat_perspectives", "op10_mix_sources"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from siftwright.llm.queries import ORACLE_SQL, QUERIES
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    expected = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in expected.description]
+    assert sorted(map(str, expected.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in QUERIES[name](spark, sf).collect())
+
+
 # --- pipeline ---
 def test_pipeline_stages(spark, empty):
     import corpus_pipeline as pipeline
