@@ -1,9 +1,15 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame operations alone.
 
-A pattern proposes candidates: all runs of letters, digits and a few marks (+ / . _ -) of eight characters or more,
-without the points at their end; what is no secret among them is the forest's to reject. Each is described by its length, the transitions between its characters' classes, how much of it dictionary
-words cover, its likeness to a path, and the words and marks beside it; a forest trained on labelled findings decides.
-The trained trees become nested CASE expressions over these features, so scoring runs inside the query plan.
+A pattern proposes candidates: whole runs, eight characters or more, of letters, digits and a few marks (+ / . _ -)
+without the points at their end, that hold a digit, a capital after a small letter, 24 characters or more, a known
+prefix, or stand behind a word such as `password`. What is no secret among them is the forest's to reject; a plain
+word of one case without any of these marks cannot be told from prose and is none. Each candidate is described by its
+length, the transitions between its characters' classes, how much of it dictionary words cover, its likeness to a
+path, and the words and marks beside it; a forest trained on labelled findings decides. The trained trees become
+nested CASE expressions over these features, so scoring runs inside the query plan.
+
+The text is split at the pattern, so a candidate's place is where it matched; running sums of the parts' lengths give
+offsets, in blocks, so that the work stays near linear in the number of candidates of a text.
 
 `example_findings` makes labelled findings from rules: kinds of credentials in the places where they stand, and kinds
 of text that only look like them (addresses, hashes of commits, versions, identifiers, numbers, paths, placeholders).
@@ -14,6 +20,8 @@ Defined cases: null and empty texts have no candidates; a candidate is taken who
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +29,15 @@ from pyspark.sql import functions as F
 
 from siftwright.llm.common import stage_table
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]{7,}[A-Za-z0-9_+/-]={0,2}"
-#: From the end of the last match on: the text between (1), a candidate (2) and what follows it (3).
-PLACED = rf"(?s)\G(.*?)({CANDIDATE})(?=(.{{0,16}}))"
+RUN = "[A-Za-z0-9_+/.-]"
+PREFIX = "[+/._-]*(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|sk_|pk_|rk_|sk-|eyJ|SG\\.)"
+#: Words that secrets follow. Fixed values.
+NAMES = "tokens?|secrets?|passw(?:or)?ds?|passphrase|pwd|pass|credentials?|api.?key|access.?key|private.?key|auth[a-z]{0,13}|bearer"
+CANDIDATE = rf"(?<!{RUN})(?={RUN}{{8}})(?:(?={RUN}*[0-9])|(?={RUN}*[a-z][A-Z])|(?={RUN}{{24}})|(?={PREFIX})|(?<=(?i:{NAMES})[^A-Za-z0-9]{{1,6}})){RUN}{{7,}}[A-Za-z0-9_+/-]={{0,2}}"
+#: Parts of which running sums are taken at once.
+BLOCK = 256
+#: Columns of random numbers that the examples are made of.
+DRAWS = 32
 BEFORE = 32
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -40,9 +54,9 @@ DICTIONARY = (
 ).split()
 #: Any of them, the longest first, grouped by first letter.
 COVER = "(?i)(?:" + "|".join(c + "(?:" + "|".join(w[1:] for w in sorted(DICTIONARY, key=lambda w: (-len(w), w)) if w[0] == c) + ")" for c in sorted({w[0] for w in DICTIONARY})) + ")"
-SECRET_WORDS = r"(?i)(token|secret|passw(or)?d|pwd|credentials?|api.?key|access.?key|private.?key|auth\w*|bearer)\W{0,6}$"
+SECRET_WORDS = rf"(?i)({NAMES})\W{{0,6}}$"
 OTHER_WORDS = r"(?i)(commit|revision|sha-?\d*|md5|checksum|digest|hash|etag|uuid|guid|id|version|release|build|phone|tel|fax|isbn|order|ip|host|file|page|path|see|on|at)\W{0,3}$"
-PREFIXES = r"^[+/._-]*(AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|sk_|pk_|rk_|sk-|eyJ|SG\.)"
+PREFIXES = "^" + PREFIX
 FEATURES = ("length", "transitions", "digit_share", "upper_share", "symbol_share", "vowel_share", "different_share", "covered", "is_hex", "is_digits_marks", "segments", "short_segments", "ends_like_name", "prefix", "secret_word", "other_word", "assigned", "quoted")
 
 
@@ -78,9 +92,11 @@ def describe(candidate: Column, before: Column, after: Column) -> Column:
 
 def example_findings(spark: SparkSession, rows: int = 6000, seed: int = 11) -> DataFrame:
     """Labelled findings (before, candidate, after, label), the same for the same seed."""
-    bits = lambda salt: F.sha2(F.concat_ws("|", F.lit(seed), F.lit(salt), F.col("id")), 256)
-    pick = lambda salt, *of: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(len(of))) + 1).cast("int"))
-    number = lambda salt, most: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(most)).cast("string")
+    # a row is of one kind, so all kinds draw from the same columns of random numbers
+    slot = lambda salt: zlib.crc32(salt.encode()) % DRAWS
+    bits = lambda salt: F.col(f"bits{slot(salt)}")
+    pick = lambda salt, *of: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.col(f"draw{slot(salt)}"), F.lit(len(of))) + 1).cast("int"))
+    number = lambda salt, most: F.pmod(F.col(f"draw{slot(salt)}"), F.lit(most)).cast("string")
     b64 = lambda salt: F.translate(F.base64(F.unhex(bits(salt))), "\n", "")
     plain = lambda salt, n: F.substring(F.translate(F.concat(b64(salt), b64(salt + "x")), "+/=", ""), 1, n)
     hexa = lambda salt, n: F.substring(F.concat(bits(salt), bits(salt + "x")), 1, n)
@@ -147,13 +163,19 @@ def example_findings(spark: SparkSession, rows: int = 6000, seed: int = 11) -> D
         (prose, F.repeat(pick("rep", "1a", "xx0", "abc1", "00", "a1b2"), 8), 0),
         (prose, F.concat(word("ha"), F.lit("-"), word("hb"), F.lit("-"), number("n24", 999)), 0),
     ]
-    before = F.array(*[b for b, _, _ in kinds])
-    candidate = F.array(*[c for _, c, _ in kinds])
-    label = F.array(*[F.lit(x) for *_, x in kinds])
-    at = (F.pmod(F.col("id"), F.lit(len(kinds))) + 1).cast("int")
-    made = spark.range(0, rows, 1, 4).select("id", F.element_at(before, at).alias("before"), F.element_at(candidate, at).alias("candidate"), F.element_at(label, at).alias("label"))
+    kind = F.pmod(F.col("id"), F.lit(len(kinds)))
+
+    def of_kind(values: list) -> Column:
+        """The value of the row's kind; no other kind's is computed."""
+        out = F.when(kind == 0, values[0])
+        for i, value in enumerate(values[1:], 1):
+            out = out.when(kind == i, value)
+        return out
+
+    drawn = spark.range(0, rows, 1, 4).select("id", *[F.xxhash64(F.lit(seed), F.lit(i), "id").alias(f"draw{i}") for i in range(DRAWS)], *[F.sha2(F.concat_ws("|", F.lit(seed), F.lit(i), F.col("id")), 256).alias(f"bits{i}") for i in range(DRAWS)])
+    made = stage_table(drawn, "secret-draws").select("id", of_kind([b for b, _, _ in kinds]).alias("before"), of_kind([c for _, c, _ in kinds]).alias("candidate"), of_kind([F.lit(x) for *_, x in kinds]).alias("label"), word("after").alias("next"))
     quote = F.regexp_extract("before", "[\"']$", 0)
-    return made.select("before", "candidate", F.concat(quote, F.lit(" "), word("after")).alias("after"), "label").filter(F.length("candidate") >= 8)
+    return made.select("before", "candidate", F.concat(quote, F.lit(" "), F.col("next")).alias("after"), "label").filter(F.length("candidate") >= 8)
 
 
 class Forest:
@@ -193,34 +215,57 @@ def train_forest(findings: DataFrame, trees: int = 16, depth: int = 6, seed: int
     return Forest([read(t._java_obj.rootNode()) for t in model.trees])
 
 
+def running_sums(lengths: Column) -> Column:
+    """For each of an array's numbers the sum of those before it."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+    inner = F.transform(blocks, lambda block: F.aggregate(block, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["sums"], F.array(s["at"])).alias("sums"))))
+    return F.aggregate(inner, start, lambda s, x: F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["sums"], F.transform(x["sums"], lambda n: n + s["at"])).alias("sums")), lambda s: s["sums"])
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _parts(text: Column) -> Column:
+    """Struct of the candidates of a text and of the gaps around them, one gap more than candidates."""
+    return F.struct(F.split(text, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"))
+
+
+def _placed(parts: Column) -> Column:
+    """Array of (candidate, before, after); before holds the candidate and the gap in front of it at most."""
+    gap = lambda i: F.get(parts["gaps"], i)
+    last = lambda i: F.coalesce(F.right(F.get(parts["found"], i - 1), F.lit(BEFORE)), F.lit(""))
+    return F.transform(parts["found"], lambda c, i: F.struct(c.alias("candidate"), F.right(F.concat(last(i), F.right(gap(i), F.lit(BEFORE))), F.lit(BEFORE)).alias("before"), F.left(gap(i + 1), F.lit(16)).alias("after")))
+
+
 def find_candidates(text: Column) -> Column:
-    """Array of structs (start, gap, candidate, before, after), start counted from 1, in order; gap is the text since the last."""
-    part = lambda group: F.regexp_extract_all(text, F.lit(PLACED), F.lit(group))
-    found = F.arrays_zip(part(1).alias("gap"), part(2).alias("candidate"), part(3).alias("after"))
-    empty = F.struct(F.lit(1).alias("next"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,gap:string,candidate:string,before:string,after:string>>").alias("found"))
+    """Array of structs (start, candidate, before, after), start counted from 0, in order."""
 
-    def step(state, x):
-        at = state["next"] + F.length(x["gap"])
-        before = F.right(F.concat(state["tail"], x["gap"]), F.lit(BEFORE))
-        placed = F.struct(at.alias("start"), x["gap"].alias("gap"), x["candidate"].alias("candidate"), before.alias("before"), x["after"].alias("after"))
-        return F.struct((at + F.length(x["candidate"])).alias("next"), F.right(F.concat(before, x["candidate"]), F.lit(BEFORE)).alias("tail"), F.concat(state["found"], F.array(placed)).alias("found"))
+    def located(parts: Column) -> Column:
+        lengths = F.transform(parts["found"], lambda c, i: F.length(F.get(parts["gaps"], i)) + F.length(c))
+        sums = _bound(lengths, running_sums)
+        return F.zip_with(sums, F.transform(_placed(parts), lambda x, i: F.struct(F.length(F.get(parts["gaps"], i)).alias("gap"), x.alias("x"))), lambda at, p: F.struct((at + p["gap"]).alias("start"), p["x"]["candidate"].alias("candidate"), p["x"]["before"].alias("before"), p["x"]["after"].alias("after")))
 
-    return F.aggregate(found, empty, step, lambda s: s["found"])
+    return _bound(_parts(text), located)
 
 
 def scan_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, start, end, candidate_sha256, preview, score, is_secret): a row for each candidate; offsets from 0."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(find_candidates(F.col(text_col))).alias("c")).select("doc_id", "c.*")
     rows = rows.withColumn("f", describe(F.col("candidate"), F.col("before"), F.col("after"))).withColumn("score", forest.score(F.col("f")))
-    return rows.select("doc_id", (F.col("start") - 1).cast("long").alias("start"), (F.col("start") - 1 + F.length("candidate")).cast("long").alias("end"), F.sha2("candidate", 256).alias("candidate_sha256"), F.concat(F.substring("candidate", 1, 4), F.lit("...")).alias("preview"), "score", (F.col("score") >= threshold).alias("is_secret"))
+    start = F.col("start").cast("long")
+    return rows.select("doc_id", start.alias("start"), (start + F.length("candidate")).alias("end"), F.sha2("candidate", 256).alias("candidate_sha256"), F.concat(F.substring("candidate", 1, 4), F.lit("...")).alias("preview"), "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
 def redact_secrets(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """docs with every secret in the text replaced by the mask; all rows and columns stay."""
-    text = F.col(text_col)
-    # two steps: the trees name fields of the described candidate, so the plan holds each feature's expression once
-    described = F.transform(find_candidates(text), lambda x: F.struct(x["gap"].alias("gap"), x["candidate"].alias("candidate"), describe(x["candidate"], x["before"], x["after"]).alias("f")))
-    scored = F.transform(described, lambda x: F.struct((F.length(x["gap"]) + F.length(x["candidate"])).alias("n"), F.concat(x["gap"], F.when(forest.score(x["f"]) >= threshold, F.lit(mask)).otherwise(x["candidate"])).alias("out")))
-    joined = F.transform(F.array(scored), lambda found: F.concat(F.array_join(found["out"], ""), F.substring(text, F.aggregate(found["n"], F.lit(1), lambda at, n: at + n), F.length(text))))
-    clean = F.element_at(joined, 1)
-    return docs.withColumn(text_col, F.when(text.rlike(CANDIDATE), clean).otherwise(text))
+
+    def masked(parts: Column) -> Column:
+        # the trees name fields of the described candidate, so the plan holds each feature's expression once
+        described = F.transform(_placed(parts), lambda x: F.struct(x["candidate"].alias("candidate"), describe(x["candidate"], x["before"], x["after"]).alias("f")))
+        kept = F.transform(described, lambda x, i: F.concat(F.get(parts["gaps"], i), F.when(forest.score(x["f"]) >= threshold, F.lit(mask)).otherwise(x["candidate"])))
+        return F.concat(F.array_join(kept, ""), F.element_at(parts["gaps"], -1))
+
+    return docs.withColumn(text_col, _bound(_parts(F.col(text_col)), masked))
