@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return. Everything else is part of a word.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
+#: Scripts that put no blanks between words: Thai to Lao, Burmese, Khmer, Kana, Han.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; an own one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; an own one only in local mode, where all run here."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siftwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,7 +44,16 @@ def stage_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     schema = df.schema
     del df
     gc.collect()
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.stage_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of stage_table that no plan reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stage_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(col):
@@ -54,3 +68,13 @@ def word_count(col):
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def type_of(df: DataFrame, column: str) -> str:
+    """Name and type of a column, as a schema string needs them."""
+    return f"`{column}` {df.schema[column].dataType.simpleString()}"
+
+
+def spaced(text: str) -> str:
+    """The text with blanks around every character of a script that has none, so that splitting gives short tokens."""
+    return text if text.isascii() or not UNSPACED.search(text) else UNSPACED.sub(r" \1 ", text)

@@ -3,32 +3,39 @@
 Every text becomes a 64-bit fingerprint. The 64 bits are cut into three segments; two fingerprints within four bits
 differ by at most one bit in some segment, so each fingerprint probes the ball of radius one around each of its
 segments, the segment tables return the fingerprints that match a probe, and the whole distance is verified.
-Equal fingerprints are folded into one class first, so that a group of exact copies is one node. A segment value
-that many different fingerprints share is resolved inside its bucket by a breadth-first search that returns one
-star per connected part, never all pairs. Parts are joined by alternating large-star and small-star steps.
+Equal fingerprints are folded into one class first, so that a group of exact copies is one node.
+
+A segment value that more than `DENSE_BUCKET` different fingerprints share is not probed. What could be lost by that
+lies between fingerprints that both hold such a value; these go to finer tables: of eight segments four are equal if
+at most four bits differ, so the tables' keys are all choices of four. Fingerprints that crowd there as well are
+linked by midpoints: two of them lie within four bits if and only if some point is within two bits of both. A point
+has 2,081 others within two bits, so no group of this step can be larger, whatever the data. No step forms all pairs
+of a group of unbounded size, and the links stay exact. Parts are joined by large-star and small-star steps.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero and link like any other; null
 doc_ids keep their row and are ignored when a component's smallest id is taken (null if it has no other); repeated
-rows are returned as often as they come; other columns of the input are not read.
+rows are returned as often as they come; other columns of the input are not read; ids may be of any type that has an
+order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import stage_table
+from siftwright.llm.common import release, stage_table, type_of
 
 SEED = 42
-#: Fingerprints in one segment bucket from which it is resolved as a whole instead of by pairs.
-DENSE_BUCKET = 24
-#: Classes from which two segments of 32 bits (balls of radius two) are more selective than three.
-WIDE_CLASSES = 1 << 24
+#: Different fingerprints in one bucket of a table up to which its members are compared directly.
+DENSE_BUCKET = 64
+#: Segments of the finer tables.
+FINE = 8
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -53,7 +60,7 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id long, fp long): one row per row of docs; fp holds the fingerprint's bits."""
+    """(doc_id, fp long): one row per row of docs; fp holds the fingerprint's bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +68,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = pa.array(np.array(values, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"{type_of(rows, 'doc_id')}, fp long")
 
 
 def _segments(parts: int) -> list[tuple[int, int]]:
@@ -71,52 +79,55 @@ def _segments(parts: int) -> list[tuple[int, int]]:
 
 
 def _ball(width: int, radius: int) -> list[int]:
-    masks = [0]
-    if radius >= 1:
-        masks += [1 << i for i in range(width)]
-    if radius >= 2:
-        masks += [1 << i | 1 << j for i in range(width) for j in range(i)]
-    if radius > 2:
-        raise ValueError("a ball beyond radius 2 per segment is not enumerated; take more segments")
-    return masks
-
-
-def bucket_stars(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A star (value, centre) for each connected part of different fingerprints under Hamming distance <= radius."""
-    left = values.view(np.uint64).copy()
-    out: list[tuple[int, int]] = []
-    while len(left):
-        centre, frontier, left = int(left[:1].view(np.int64)[0]), left[:1], left[1:]
-        while len(frontier) and len(left):
-            found = np.zeros(len(left), bool)
-            for f in frontier:
-                if found.all():
-                    break
-                found |= np.bitwise_count(left ^ f) <= radius
-            frontier, left = left[found], left[~found]
-            out += [(v, centre) for v in frontier.view(np.int64).tolist()]
-    return out
+    """Masks of at most `radius` bits."""
+    return [sum(1 << i for i in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
 
 
-def links(classes: DataFrame, radius: int = 4, parts: int = 3, dense: int = DENSE_BUCKET) -> DataFrame:
-    """Edges (u, v), u > v, that connect whatever fingerprints (column fp, all different) lie within the radius."""
-    segments, each = _segments(parts), radius // parts
-    value = lambda shift, width: F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1))
-    table = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), value(*s).alias("key")) for i, s in enumerate(segments)])).alias("t")).select("fp", "t.*")
-    sizes = table.groupBy("seg", "key").agg(F.count("*").alias("n"))
-    heavy = stage_table(sizes.filter(F.col("n") > dense).select("seg", "key"), "simhash-heavy")
-    probes = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), value(*s).bitwiseXOR(F.lit(m)).alias("key")) for i, s in enumerate(segments) for m in _ball(s[1], each)])).alias("t")).select(F.col("fp").alias("other"), "t.*")
-    light = table.join(heavy, ["seg", "key"], "left_anti")
+def _longs(values: list[int]) -> Column:
+    """A constant array of 64-bit numbers."""
+    return F.split(F.lit(",".join(str(v - (1 << 64) if v >> 63 else v) for v in values)), ",").cast("array<long>")
+
+
+def _lookup(table: DataFrame, probes: DataFrame, radius: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (u, v) within the radius that meet in a bucket of at most `dense`, fingerprints (fp) of larger buckets)."""
+    by = ["seg", "key"]
+    heavy = stage_table(table.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(*by), "simhash-heavy")
     near = (F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
-    pairs = probes.join(light, ["seg", "key"]).filter(near).select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")).distinct()
+    pairs = probes.join(table.join(heavy, by, "left_anti"), by).filter(near).select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")).distinct()
+    return pairs, table.join(heavy, by, "left_semi").select("fp").distinct()
 
-    def stars(pdf):
-        import pandas as pd
 
-        return pd.DataFrame([(max(a, b), min(a, b)) for a, b in bucket_stars(np.unique(pdf["other"].to_numpy()), radius)], columns=["u", "v"]).astype("int64")
+def midpoint_stars(points: DataFrame, radius: int) -> DataFrame:
+    """Edges (u, v) that connect all fingerprints of points (column fp, all different) within the radius, and no others."""
+    low, high = radius // 2, radius - radius // 2
+    near = points.select("fp", F.explode(_longs(_ball(64, high))).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("mid"), (F.bit_count("mask") <= low).alias("close"))
+    # at most as many fingerprints as the ball has points stand around one midpoint; all are within the radius of a close one
+    met = near.groupBy("mid").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("centre"), F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
+    edges = met.select("centre", F.explode("all").alias("fp")).filter(F.col("fp") != F.col("centre"))
+    return edges.select(F.greatest("fp", "centre").alias("u"), F.least("fp", "centre").alias("v")).distinct()
 
-    crowded = probes.join(heavy, ["seg", "key"], "left_semi").groupBy("seg", "key").applyInPandas(stars, "u long, v long")
-    return pairs.unionByName(crowded)
+
+def links(classes: DataFrame, radius: int = 4, parts: int = 3, dense: int = DENSE_BUCKET) -> DataFrame:
+    """Edges (u, v), u > v, that connect whatever fingerprints (column fp, all different) lie within the radius."""
+    segments, each = _segments(parts), radius // parts
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = classes.select("fp").repartition(tasks, "fp")  # each row becomes many
+    value = lambda shift, width: F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1))
+    each_of = lambda *entries: F.explode(F.array(*entries)).alias("t")
+    entry = lambda i, key: F.struct(F.lit(i).alias("seg"), key.alias("key"))
+    table = own.select("fp", each_of(*[entry(i, value(*s)) for i, s in enumerate(segments)])).select("fp", "t.*")
+    probes = own.select("fp", each_of(*[F.struct(F.lit(i).alias("seg"), value(*s).alias("value"), _longs(_ball(s[1], each)).alias("ball")) for i, s in enumerate(segments)]))
+    probes = probes.select(F.col("fp").alias("other"), "t.seg", "t.value", F.explode("t.ball").alias("mask")).select("other", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("key"))
+    found, crowd = _lookup(table, probes, radius, dense)
+    crowd = stage_table(crowd, "simhash-crowd")
+    if crowd.isEmpty():
+        return found
+    sums = [sum((1 << w) - 1 << s for s, w in chosen) for chosen in combinations(_segments(FINE), FINE - radius)]
+    fine = crowd.repartition(tasks, "fp").select("fp", F.posexplode(_longs(sums)).alias("seg", "mask")).select("fp", "seg", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    more, rest = _lookup(fine, fine.withColumnRenamed("fp", "other"), radius, dense)
+    rest = stage_table(rest, "simhash-rest")
+    found = found.unionByName(more)
+    return found if rest.isEmpty() else found.unionByName(midpoint_stars(rest.repartition(tasks, "fp"), radius))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -131,25 +142,25 @@ def connected(edges: DataFrame) -> DataFrame:
     now = stage_table(edges.filter("u > v").distinct(), "edges")
     seen = mark(now)
     while seen[0]:
+        # the least neighbours are written first, so that a join may split a node that very many others neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u > v").distinct()
-        now = stage_table(small, "edges")
-        mark_now = mark(now)
+        least = stage_table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = stage_table(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large-star")
+        first = stage_table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(first, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u > v").distinct()
+        then = stage_table(small, "edges")
+        release(now, least, large, first)
+        now, mark_now = then, mark(then)
         if mark_now == seen:
             break
         seen = mark_now
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, parts: int | None = None) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, parts: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs; fingerprint is 16 hex digits."""
     rows = stage_table(fingerprints(docs, id_col, text_col, shingle), "simhash-rows")
     classes = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes")
-    if parts is None:
-        parts = 3 if classes.count() <= WIDE_CLASSES else 2
     roots = connected(links(classes, radius, parts)).withColumnRenamed("node", "fp")
     of = classes.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -157,14 +168,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest; of rows that repeat such an id and text, one stays.
+def text_digest(text: Column) -> Column:
+    """128 bits that name a text; null is empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of groups (c, root): c is the digest of a text, root names the group it is in.
 
-    Rows without an id stay: no id can name them as a group's other members.
+    The row with the smallest id stays, rows without an id come last; of several with that id the least digest; of
+    rows that agree in both, any one.
     """
-    found = simhash_components(docs, id_col, text_col).filter(F.col("doc_id") == F.col("component_id"))
-    keep = stage_table(found.groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_copies")), "simhash-keep")
-    once, more = keep.filter("_copies = 1"), keep.filter("_copies > 1")
-    single = docs.join(once, docs[id_col].cast("long") == once["_keep"], "left_semi")
-    repeated = docs.join(more, docs[id_col].cast("long") == more["_keep"], "left_semi").dropDuplicates([id_col, text_col])
-    return single.unionByName(repeated).unionByName(docs.filter(F.col(id_col).isNull()))
+    digest = text_digest(F.col(text_col))
+    named = docs.select(F.col(id_col).alias("id"), digest.alias("c")).groupBy("id", "c").agg(F.count("*").alias("copies"))
+    first = named.join(groups, "c").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "c", "copies")).alias("f"))
+    keep = stage_table(first.select("f.id", "f.c", "f.copies"), "keep")
+    rows = docs.withColumn("_digest_of_text", digest)
+
+    def kept(which: DataFrame) -> DataFrame:
+        return rows.join(which, rows[id_col].eqNullSafe(which["id"]) & (rows["_digest_of_text"] == which["c"]), "left_semi")
+
+    more = kept(keep.filter("copies > 1")).dropDuplicates([id_col, "_digest_of_text"])
+    return kept(keep.filter("copies = 1")).unionByName(more).drop("_digest_of_text")
+
+
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """One row of docs, with all columns, for each group of texts whose fingerprints are linked; see keep_first."""
+    texts = docs.select(text_digest(F.col(text_col)).alias("c"), F.col(text_col).cast("string").alias("text")).groupBy("c").agg(F.first("text").alias("text"))
+    found = simhash_components(texts, "c", "text", shingle, radius)
+    return keep_first(docs, stage_table(found.select(F.col("doc_id").alias("c"), F.col("component_id").alias("root")), "simhash-groups"), id_col, text_col)
