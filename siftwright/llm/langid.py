@@ -7,11 +7,13 @@ that (may) contain it. A text's hits are popcounted per language and corrected f
 rate; the share of its n-grams that a language explains decides.
 
 An n-gram is typical of a language if its relative frequency there is at least `typical` times the highest among the
-languages and it was seen `least` times; at most `profile` n-grams a language and order are kept, by frequency.
-These bounds make the filter's size independent of the corpus; the counts themselves cover all training rows.
+languages; at most `profile` n-grams a language and order are kept, by frequency. A language without any typical
+n-gram keeps those that come nearest. These bounds make the filter's size independent of the corpus; the counts
+themselves cover all training rows. One slot holds 64 languages; more of them take further slot arrays.
 
-Defined cases: null texts and texts without a letter give `und` with score 0; ties go to the language that sorts
-first; rows with null lang train nothing; with no training rows at all every prediction is `und`.
+Defined cases: null texts and texts without a letter give `und` with score 0; a text whose n-grams no language holds,
+like any tie, goes to the language that sorts first; rows with null lang train nothing; with no training rows at all
+every prediction is `und`; texts are read in pieces of `CHUNK` characters, so memory does not grow with their length.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwright.llm.common import stage_table, type_of
+
 ORDERS = (1, 2, 3, 4)
 HASHES = 4
 CHUNK = 1 << 19
@@ -68,67 +72,97 @@ def _grams(points: np.ndarray, owner: np.ndarray, order: int) -> tuple[np.ndarra
     return h[whole], owner[:n][whole]
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK characters; one longer text stands alone."""
-    at, room = 0, 0
-    for i, t in enumerate(texts):
-        if i > at and room + len(t) > CHUNK:
-            yield at, i
-            at, room = i, 0
-        room += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+def _chunks(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Pieces of all texts, about CHUNK characters at a time, with the index of each piece's text."""
+    parts, of, room = [], [], 0
+    for i, text in enumerate(texts):
+        for a in range(0, max(1, len(text)), CHUNK):
+            part = text[a : a + CHUNK]
+            if parts and room + len(part) > CHUNK:
+                yield parts, np.array(of)
+                parts, of, room = [], [], 0
+            parts.append(part)
+            of.append(i)
+            room += len(part)
+    if parts:
+        yield parts, np.array(of)
 
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """slots: one integer for each Bloom position, with bit l set for language l."""
+    """slots: for every 64 languages an array with one integer for each Bloom position, bit l set for their language l."""
 
     languages: tuple[str, ...]
-    slots: np.ndarray
+    slots: tuple[np.ndarray, ...]
     false_rate: np.ndarray
 
-    def lookup(self, grams: np.ndarray) -> np.ndarray:
-        """The bitmask of languages for each n-gram hash."""
-        mask, size = None, np.uint64(len(self.slots))
+    def lookup(self, grams: np.ndarray, group: int = 0) -> np.ndarray:
+        """The bitmask of a group's languages for each n-gram hash."""
+        slots = self.slots[group]
+        mask, size = None, np.uint64(len(slots))
         step = (grams >> np.uint64(17)) | np.uint64(1)
         at = grams.copy()
         with np.errstate(over="ignore"):
             for _ in range(HASHES):
-                got = self.slots[(at % size).astype(np.int64)]
+                got = slots[(at % size).astype(np.int64)]
                 mask = got if mask is None else mask & got
                 at += step
         return mask
 
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(letters by text, n-grams by order and text, hits by order, text and language)."""
+        n = len(texts)
+        letters, total, hits = np.zeros(n, np.int64), np.zeros((len(ORDERS), n)), np.zeros((len(ORDERS), n, len(self.languages)))
+        for parts, of in _chunks(texts):
+            points, owner = _joined(parts)
+            letters += np.bincount(of[owner[points != 0]], minlength=n)
+            for k, order in enumerate(ORDERS):
+                grams, part = _grams(points, owner, order)
+                text = of[part]
+                total[k] += np.bincount(text, minlength=n)
+                for group in range(len(self.slots)):
+                    mask = self.lookup(grams, group)
+                    for l in range(group * GROUP, min(len(self.languages), (group + 1) * GROUP)):
+                        hits[k, :, l] += np.bincount(text[(mask >> np.array(l % GROUP, mask.dtype)) & 1 == 1], minlength=n)
+        return letters, total, hits
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return names, scores
-        known = [t or "" for t in texts]
-        for a, b in _chunks(known):
-            points, owner = _joined(known[a:b])
-            some = np.zeros(b - a, bool)
-            some[owner[points != 0]] = True
-            explained = np.zeros((b - a, len(self.languages)))
-            for order in ORDERS:
-                grams, of = _grams(points, owner, order)
-                total = np.bincount(of, minlength=b - a)
-                mask = self.lookup(grams)
-                for l in range(len(self.languages)):
-                    hits = np.bincount(of[(mask >> np.array(l, mask.dtype)) & 1 == 1], minlength=b - a)
-                    f = self.false_rate[l]
-                    true = np.maximum(hits - total * f, 0) / max(1e-9, 1 - f)
-                    explained[:, l] += order * true / np.maximum(total, 1)
-            best = explained.argmax(axis=1)
-            all_ = explained.sum(axis=1)
-            for i in range(b - a):
-                if some[i]:
-                    names[a + i] = self.languages[best[i]]
-                    scores[a + i] = explained[i, best[i]] / all_[i] if all_[i] > 0 else 0.0
+        letters, total, hits = self.counts([t or "" for t in texts])
+        f = self.false_rate
+        true = np.maximum(hits - total[:, :, None] * f, 0) / np.maximum(1e-9, 1 - f)
+        explained = (np.array(ORDERS)[:, None, None] * true / np.maximum(total, 1)[:, :, None]).sum(axis=0)
+        best, all_ = explained.argmax(axis=1), explained.sum(axis=1)
+        for i in np.flatnonzero(letters):
+            names[i] = self.languages[best[i]]
+            scores[i] = explained[i, best[i]] / all_[i] if all_[i] > 0 else 0.0
         return names, scores
 
 
-def fit_filters(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 5, typical: float = 0.5, profile: int = 20_000, bits: int = 18) -> LanguageFilters:
+def make_filters(grams: dict[str, np.ndarray], bits: int = 18) -> LanguageFilters:
+    """Filters that hold the given n-gram hashes of each language."""
+    languages, size = tuple(sorted(grams)), 1 << bits
+    while size < 12 * max(map(len, grams.values()), default=0):
+        size *= 2
+    slots, rates = [], []
+    for first in range(0, len(languages), GROUP):
+        own = languages[first : first + GROUP]
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(own) <= 8 * k().itemsize)
+        made = np.zeros(size, kind)
+        for l, lang in enumerate(own):
+            step, at = (grams[lang] >> np.uint64(17)) | np.uint64(1), grams[lang].copy()
+            with np.errstate(over="ignore"):
+                for _ in range(HASHES):
+                    made[(at % np.uint64(size)).astype(np.int64)] |= kind(1 << l)
+                    at += step
+        slots.append(made)
+        rates += [((made >> kind(l)) & kind(1)).mean() ** HASHES for l in range(len(own))]
+    return LanguageFilters(languages, tuple(slots), np.array(rates))
+
+
+def fit_filters(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", typical: float = 0.5, profile: int = 20_000, bits: int = 18) -> LanguageFilters:
     """Filters from all rows with a language. To the driver come at most `profile` n-grams a language and order."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,50 +172,37 @@ def fit_filters(rows: DataFrame, text_col: str = "text", lang_col: str = "lang",
             for lang, text in zip(langs, texts, strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, own in by.items():
-                parts: dict[int, list] = {o: [] for o in ORDERS}
-                for a, b in _chunks(own):
-                    points, owner = _joined(own[a:b])
+                found: dict[int, list] = {o: [] for o in ORDERS}
+                for parts, _ in _chunks(own):
+                    points, owner = _joined(parts)
                     for order in ORDERS:
-                        parts[order].append(np.unique(_grams(points, owner, order)[0], return_counts=True))
-                for order, found in parts.items():
-                    keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-                    n = np.bincount(back, weights=np.concatenate([c for _, c in found])).astype(np.int64)
+                        found[order].append(np.unique(_grams(points, owner, order)[0], return_counts=True))
+                for order, each in found.items():
+                    keys, back = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
+                    n = np.bincount(back, weights=np.concatenate([c for _, c in each])).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([order] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "ord", "gram", "n"])
 
     known = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    from siftwright.llm.common import stage_table
-
     counts = stage_table(known.mapInArrow(count, "lang string, ord int, gram long, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n")), "langid-counts")
     totals = counts.groupBy("lang", "ord").agg(F.sum("n").alias("total"))
-    share = counts.join(F.broadcast(totals), ["lang", "ord"]).withColumn("p", F.col("n") / F.col("total"))
+    share = counts.join(totals, ["lang", "ord"]).withColumn("p", F.col("n") / F.col("total"))
     peak = share.groupBy("ord", "gram").agg(F.max("p").alias("peak"))
-    chosen = share.filter(F.col("n") >= least).join(peak, ["ord", "gram"]).filter(F.col("p") >= typical * F.col("peak"))
-    from pyspark.sql import Window
-
-    # the top `profile` of each part first, so that no task sorts all of a language
-    salted = chosen.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(64)))
-    order = [F.desc("p"), F.col("gram")]
-    near = salted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "ord", "salt").orderBy(*order))).filter(F.col("r") <= profile)
-    top = near.withColumn("r", F.row_number().over(Window.partitionBy("lang", "ord").orderBy(*order))).filter(F.col("r") <= profile).select("lang", "gram")
-    found = top.toPandas()
-    languages = tuple(sorted(found["lang"].unique()))
-    kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint32 if len(languages) <= 32 else np.uint64
-    if len(languages) > GROUP:
-        raise ValueError("one slot holds at most 64 languages; split them over several filters")
-    size = 1 << bits
-    while size < 12 * found.groupby("lang").size().max() if len(found) else False:
-        size *= 2
-    slots = np.zeros(size, kind)
-    filters = LanguageFilters(languages, slots, np.zeros(len(languages)))
-    for l, lang in enumerate(languages):
-        grams = found.loc[found["lang"] == lang, "gram"].to_numpy().view(np.uint64)
-        step, at = (grams >> np.uint64(17)) | np.uint64(1), grams.copy()
-        with np.errstate(over="ignore"):
-            for _ in range(HASHES):
-                slots[(at % np.uint64(size)).astype(np.int64)] |= kind(1 << l)
-                at += step
-    fill = np.array([((slots >> kind(l)) & kind(1)).mean() for l in range(len(languages))])
-    return LanguageFilters(languages, slots, fill**HASHES)
+    near = share.join(peak, ["ord", "gram"]).withColumn("near", F.col("p") / F.col("peak"))
+
+    def first(chosen: DataFrame, by: str) -> list:
+        # the top `profile` of each part first, so that no task sorts all of a language
+        order = [F.desc(by), F.col("gram")]
+        salted = chosen.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(64)))
+        some = salted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "ord", "salt").orderBy(*order))).filter(F.col("r") <= profile)
+        return some.withColumn("r", F.row_number().over(Window.partitionBy("lang", "ord").orderBy(*order))).filter(F.col("r") <= profile).select("lang", "gram").toPandas()
+
+    found = first(near.filter(F.col("near") >= typical), "p")
+    grams = {lang: own.to_numpy().view(np.uint64) for lang, own in found.groupby("lang")["gram"]}
+    lost = [r["lang"] for r in totals.select("lang").distinct().collect() if r["lang"] not in grams]
+    if lost:
+        more = first(near.filter(F.col("lang").isin(lost)), "near")
+        grams |= {lang: own.to_numpy().view(np.uint64) for lang, own in more.groupby("lang")["gram"]}
+    return make_filters(grams, bits)
 
 
 def detect_languages(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,4 +215,5 @@ def detect_languages(docs: DataFrame, filters: LanguageFilters, id_col: str = "d
             names, scores = model.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"{type_of(rows, 'doc_id')}, lang_pred string, score double")
