@@ -10,10 +10,11 @@ and grams among the labelled rows point to the most telling window of each docum
 and on random windows of clean documents, then scores all windows of the sample, and is trained further on the highest
 of each document. A logistic scale on the sample's highest scores makes the result a probability.
 
-The training sample is bounded: `MAX_LABELLED` rows of the clean and the toxic class, chosen by a hash of id and text, texts of at most
-`MAX_TRAIN_CHARS` characters. Scores cover whole texts of any length.
+The training sample is bounded: `MAX_LABELLED` different rows of the clean and the toxic class, chosen by a hash of id
+and text; of a text longer than `MAX_TRAIN_CHARS` characters it takes so many from a hash-random place. Scores cover
+whole texts of any length. Tokens are split at white space; characters of scripts without blanks are tokens of their own.
 
-Defined cases: null and blank texts get the score of an empty window; without rows of both classes the score is the
+Defined cases: rows that repeat id and text are one row of the sample; null and blank texts get the score of an empty window; without rows of both classes the score is the
 share of toxic labels, or 0.5 without any; rows with a null label train nothing; a document with labels that differ
 counts once for each.
 """
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwright.llm.common import spaced
+
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 16, 16, 16
 BUCKETS = 1 << 13
@@ -205,7 +208,7 @@ class _Sample:
 
     def __init__(self, texts: list[str | None], labels: np.ndarray):
         known: dict[str, int] = {}
-        self.docs = [np.array([known.setdefault(normal(t), len(known)) for t in (text or "").split()], np.int32) for text in texts]
+        self.docs = [np.array([known.setdefault(normal(t), len(known)) for t in spaced(text or "").split()], np.int32) for text in texts]
         self.labels = labels
         names, parts = list(known), []
         for at in range(0, len(names), 20_000):  # in pieces: the working arrays are many times the tokens
@@ -376,7 +379,7 @@ class Scorer:
         best = np.full(len(texts), -np.inf)
         at, tokens, sizes, room = 0, [], [], 0
         for i, text in enumerate(texts):
-            own = text.split() if text else []
+            own = spaced(text).split() if text else []
             tokens += own
             sizes.append(len(own))
             room += len(own)
@@ -406,13 +409,15 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: tuple[int, int] = MAX_LABELLED) -> tuple[list[str | None], np.ndarray]:
-    """Texts and labels of at most `most` rows of each class (clean, toxic), the first by a hash of id and text."""
+    """Texts and labels of at most `most` different rows of each class (clean, toxic), the first by a hash of id and text."""
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_label in (0, 1)").distinct()
-    rows = docs.filter(F.length(text_col) <= MAX_TRAIN_CHARS).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = rows.withColumn("_key", F.xxhash64(F.lit(3), "_id", F.col("_text")))
-    keys = rows.select("_id", "_key")  # texts stay behind until the sample is known
-    picked = [keys.join(marks.filter(F.col("_label") == label), "_id").select("_id", "_key", "_label").orderBy("_key").limit(most[label]) for label in (0, 1)]
-    got = rows.join(F.broadcast(picked[0].unionByName(picked[1])), ["_id", "_key"]).select("_key", "_label", "_text").toPandas()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_key", F.xxhash64(F.lit(3), "_id", F.col("_text")))
+    keys = rows.select("_id", "_key").join(marks, "_id").distinct()  # texts stay behind until the sample is known
+    picked = [keys.filter(F.col("_label") == label).orderBy("_key").limit(most[label]) for label in (0, 1)]
+    place = F.pmod("_key", F.greatest(F.length("_text") - MAX_TRAIN_CHARS, F.lit(0)) + 1) + 1
+    rows = rows.withColumn("_text", F.when(F.length("_text") > MAX_TRAIN_CHARS, F.substring("_text", place, F.lit(MAX_TRAIN_CHARS))).otherwise(F.col("_text")))
+    # copies of a row are folded where they are read
+    got = rows.join(F.broadcast(picked[0].unionByName(picked[1])), ["_id", "_key"]).groupBy("_key", "_label").agg(F.first("_text").alias("_text")).toPandas()
     got = got.sort_values(["_label", "_key"], kind="stable")
     return got["_text"].tolist(), got["_label"].to_numpy()
 
