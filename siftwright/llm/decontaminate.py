@@ -1,44 +1,52 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-The benchmark is the stated query set: it is read in blocks of at most `BLOCK_WORDS` words, each block becomes an
-index of bounded size, and every document meets every block. For a document, windows as long as an item slide over
-its words; each window's SimHash is looked up in a multi-index Hamming table, whose blocks and balls return every
-item fingerprint within the radius, and exact weighted-shingle similarity (shared shingles with their counts, over
-all) verifies the candidates. Only windows that hold at least one of the item's shingles are fingerprinted: all
-others have similarity zero.
-
-Words are split at white space, lower-cased, and stripped of what is neither letter nor digit at both ends; shingles
-are five words; items with fewer words have one shingle, the whole item. A match has similarity 0.8 or more.
+The benchmark is the stated query set: it is read in blocks of about `BLOCK_WORDS` words, each block becomes an index
+of bounded size that is sent to the workers once, and every document meets every block. With several blocks each is a
+pass of its own, and the driver holds one at a time. For a document, windows as long as an item slide over its words;
+each window's SimHash is looked up in a multi-index Hamming table, whose blocks and balls return every item
+fingerprint within the radius, and exact weighted-shingle similarity (shared shingles with their counts, over all)
+verifies the candidates. Only windows that hold at least one of the item's shingles are fingerprinted: all others have
+similarity zero. Windows are worked off `SPAN` words at a time, so memory beside the text itself stays bounded.
+
+Words are split at white space, lower-cased, and stripped of what is neither letter nor digit at both ends; characters
+of scripts without blanks are words of their own. Shingles are five words; items with fewer words have one shingle,
+the whole item. A match has similarity 0.8 or more.
 
 Defined cases: null or blank texts and items match nothing; an item that occurs more often in a document is reported
-once, at its most similar (then first) window; a text with fewer words than an item is one window as a whole; items that repeat under several ids are reported under each; null item
-ids are reported as null; very long texts are scanned whole.
+once, at its most similar (then first) window; a text with fewer words than an item is one window as a whole; items
+that repeat under several ids are reported under each; null item ids are reported as null; ids keep their type; very
+long texts are scanned whole.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwright.llm.common import spaced, stage_table
+from siftwright.llm.simhash import text_digest
+
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
 SEGMENTS = 7
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
+SPAN = 1 << 15
 CACHED_WORDS = 400_000
-MATCHES = "array<struct<item_id:bigint,similarity:double,start_word:bigint,n_words:bigint,distance:int>>"
+MATCHES = "array<struct<item:bigint,similarity:double,start_word:bigint,n_words:bigint,distance:int>>"
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
 def normal_words(text: str) -> list[str]:
     """Words in lower case without what is neither letter nor digit at their ends."""
     out = []
-    for token in text.lower().split():
+    for token in spaced(text.lower()).split():
         if not (token[0].isalnum() and token[-1].isalnum()):
             a, b = 0, len(token)
             while a < b and not token[a].isalnum():
@@ -167,7 +175,7 @@ class ItemIndex:
             return []
         if self.seen is None:
             self.seen = _Seen(self.vocabulary)
-        tokens = text.split()
+        tokens = spaced(text).split()
         ids = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))
         ids = ids[ids >= 0]
         hit = {}
@@ -198,28 +206,30 @@ class ItemIndex:
             for p in at.tolist():
                 for n in {self.items[j][1] for j in self.owners[k].get(int(shingles[p]), ())}:
                     starts_of[n].append(p)
-            sums = None
             for n, spots in starts_of.items():
-                spots = np.array(spots)
                 size = min(n, len(hashes))  # a text shorter than the item is its own one window
-                last = len(hashes) - size
-                if size - k + 1 < SIMILARITY * (n - k + 1):
+                last, inside = len(hashes) - size, size - k + 1
+                if inside < SIMILARITY * (n - k + 1):
                     continue
-                starts = np.unique((spots[:, None] - np.arange(size - k + 1)[None, :]).ravel())
-                starts = starts[(starts >= 0) & (starts <= last)]
-                if sums is None:
-                    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(shingles), axis=0, dtype=np.int32)])
-                for a in range(0, len(starts), 2048):
-                    part = starts[a : a + 2048]
-                    prints = _simhash(sums[part + size - k + 1] - sums[part])
-                    for w, j, d in zip(*map(np.ndarray.tolist, self._candidates(k, n, prints)), strict=True):
-                        s = int(part[w])
-                        own = Counter(shingles[s : s + size - k + 1].tolist())
-                        shared = sum((own & self.counts[j]).values())
-                        like = shared / (n + size - 2 * (k - 1) - shared)
-                        if like >= SIMILARITY and (-like, s) < best.get(j, (0, 0))[:2]:
-                            best[j] = (-like, s, size, d)
-        return [{"item_id": self.items[j][0], "similarity": -like, "start_word": s, "n_words": n, "distance": d} for j, (like, s, n, d) in sorted(best.items())]
+                spots, edges = np.array(spots), np.zeros(last + 2, np.int32)
+                np.add.at(edges, np.clip(spots - inside + 1, 0, last + 1), 1)
+                np.add.at(edges, np.minimum(spots, last) + 1, -1)
+                starts = np.flatnonzero(np.cumsum(edges) > 0)
+                for part in np.split(starts, np.flatnonzero(np.diff(starts // SPAN)) + 1):
+                    for a in range(0, len(part), 2048):
+                        at_once = part[a : a + 2048]
+                        near = shingles[at_once[0] : at_once[-1] + inside]
+                        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(near), axis=0, dtype=np.int32)])
+                        spot = at_once - at_once[0]
+                        prints = _simhash(sums[spot + inside] - sums[spot])
+                        for w, j, d in zip(*map(np.ndarray.tolist, self._candidates(k, n, prints)), strict=True):
+                            s = int(at_once[w])
+                            own = Counter(shingles[s : s + inside].tolist())
+                            shared = sum((own & self.counts[j]).values())
+                            like = shared / (n - k + 1 + inside - shared)
+                            if like >= SIMILARITY and (-like, s) < best.get(j, (0, 0))[:2]:
+                                best[j] = (-like, s, size, d)
+        return [{"item": self.items[j][0], "similarity": -like, "start_word": s, "n_words": n, "distance": d} for j, (like, s, n, d) in sorted(best.items())]
 
 
 def _columns(runs: np.ndarray) -> np.ndarray:
@@ -235,41 +245,71 @@ def _columns(runs: np.ndarray) -> np.ndarray:
     return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> list[ItemIndex]:
-    """Indexes of all items, each of at most about block_words words; they come to the driver one block at a time."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).orderBy("item_id", "text")
-    made, block, room = [], [], 0
-    for row in rows.toLocalIterator():
-        size = len((row["text"] or "").split())
+def item_blocks(benchmark: DataFrame, text_col: str = "text", number_col: str = "_item", block_words: int = BLOCK_WORDS) -> Iterator[ItemIndex]:
+    """Indexes of all items, each of about block_words words or one item; one block at a time is in the driver."""
+    block, room = [], 0
+    for row in benchmark.select(F.col(number_col).alias("n"), F.col(text_col).cast("string").alias("text")).orderBy("n").toLocalIterator():
+        size = len(spaced(row["text"] or "").split())
         if block and room + size > block_words:
-            made.append(ItemIndex(block))
+            yield ItemIndex(block)
             block, room = [], 0
-        block.append((row["item_id"], row["text"]))
+        block.append((row["n"], row["text"]))
         room += size
-    return [*made, ItemIndex(block)] if block else made
+    if block:
+        yield ItemIndex(block)
+
+
+def numbered_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(_item, _item_id, text): the items with a number each; the ids themselves stay in the table."""
+    items = benchmark.select(F.col(id_col).alias("_item_id"), F.col(text_col).cast("string").alias("text"))
+    return stage_table(items.withColumn("_item", F.monotonically_increasing_id()), "benchmark-items")
 
 
-def matches(text: Column, blocks: list[ItemIndex]) -> Column:
-    """Array of the benchmark items that a text holds."""
+def matches(spark: SparkSession, text: Column, index: ItemIndex) -> Column:
+    """Array of the items of a block that a text holds."""
+    shared = spark.sparkContext.broadcast(index)
 
-    def one(index: ItemIndex):
-        @F.arrow_udf(MATCHES)
-        def run(texts: pa.Array) -> pa.Array:
-            return pa.array([index.search(t.as_py()) for t in texts], pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32())])))
+    @F.arrow_udf(MATCHES)
+    def run(texts: pa.Array) -> pa.Array:
+        fields = [("item", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32())]
+        return pa.array([shared.value.search(t.as_py()) for t in texts], pa.list_(pa.struct(fields)))
 
-        return run(text)
+    return run(text)
 
-    if not blocks:
-        return F.array().cast(MATCHES)
-    return F.concat(*[one(b) for b in blocks]) if len(blocks) > 1 else one(blocks[0])
 
+def _passes(items: DataFrame, block_words: int, work) -> DataFrame | None:
+    """work(index) of every block together; of several blocks each is written before the next is read."""
+    out, waiting = None, None
+    for index in item_blocks(items, block_words=block_words):
+        if waiting is not None:
+            made = stage_table(work(waiting), "decontamination-block")
+            out = made if out is None else out.unionByName(made)
+        waiting = index
+    if waiting is None:
+        return None
+    return work(waiting) if out is None else out.unionByName(stage_table(work(waiting), "decontamination-block"))
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, distance): a row for each item that a document holds."""
-    found = docs.select(F.col(id_col).alias("doc_id"), matches(F.col(text_col), item_blocks(benchmark)).alias("m"))
-    return found.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+    items = numbered_items(benchmark)
+
+    def work(index: ItemIndex | None) -> DataFrame:
+        found = F.array().cast(MATCHES) if index is None else matches(docs.sparkSession, F.col(text_col), index)
+        return docs.select(F.col(id_col).alias("doc_id"), found.alias("m")).select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+
+    found = _passes(items, block_words, work)
+    found = (work(None) if found is None else found).join(items.select("_item", "_item_id"), F.col("item") == F.col("_item"))
+    return found.select("doc_id", F.col("_item_id").alias("item_id"), "similarity", "start_word", "n_words", "distance")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that hold no benchmark item, with their columns."""
-    return docs.filter(F.size(matches(F.col(text_col), item_blocks(benchmark))) == 0)
+    items, spark = numbered_items(benchmark), docs.sparkSession
+    blocks = item_blocks(items, block_words=block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return docs if first is None else docs.filter(F.size(matches(spark, F.col(text_col), first)) == 0)
+    del blocks, first, second
+    held = _passes(items, block_words, lambda index: docs.filter(F.size(matches(spark, F.col(text_col), index)) > 0).select(text_digest(F.col(text_col)).alias("held")))
+    return docs.join(held.distinct(), text_digest(docs[text_col]) == F.col("held"), "left_anti")
