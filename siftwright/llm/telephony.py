@@ -2,25 +2,31 @@
 
 `store_audio` writes bytes as the samples (or ADPCM blocks) of a WAV file without changing them; `decode_audio` reads
 such files back: it expands mu-law and A-law by lookup tables, decodes ADPCM with numpy over all blocks of a batch at
-once (one step for each position inside a block), resamples to 16-bit PCM at twice the rate with a windowed-sinc
-half-band filter, and stores that as a WAV file too.
+once (one step for each position inside a block; blocks of one size together), resamples to 16-bit PCM at the wanted
+rate with a windowed-sinc filter, and stores that as a WAV file too. Files of several channels are taken apart and
+put together again; the channels of an ADPCM block are decoded as blocks of their own.
 
 Defined cases: null bytes count as empty; the payload is padded with bytes 255 to a positive multiple of 576, which is
-whole samples and whole ADPCM blocks (36 bytes); files that are no such WAV give null outputs; equal inputs give equal
-files; very long inputs are decoded in slices of whole files.
+whole samples and whole ADPCM blocks (36 bytes); files that are no such WAV, of an unknown format, or whose data are
+no whole blocks give null outputs; equal inputs give equal files; ids may be of any type; very long inputs are decoded
+in slices of whole files.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwright.llm.common import type_of
+
 UNIT = 576
 PAD = 255
 RATE = 8000
@@ -60,14 +66,14 @@ def alaw_table() -> np.ndarray:
 EXPAND = {MULAW: mulaw_table(), ALAW: alaw_table()}
 
 
-def adpcm_decode(data: np.ndarray) -> np.ndarray:
-    """PCM of IMA ADPCM blocks, (blocks, SAMPLES) int16; the loop runs over positions, numpy over blocks."""
-    blocks = data.reshape(-1, BLOCK)
+def adpcm_decode(data: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """PCM of one-channel IMA ADPCM blocks, (blocks, samples) int16; the loop runs over positions, numpy over blocks."""
+    blocks = data.reshape(-1, block)
     value = blocks[:, :2].copy().view("<i2").ravel().astype(np.int32)
     index = np.minimum(blocks[:, 2], 88).astype(np.int32)
-    codes = np.empty((SAMPLES - 1, len(blocks)), np.int32)
+    codes = np.empty((2 * (block - 4), len(blocks)), np.int32)
     codes[0::2], codes[1::2] = (blocks[:, 4:] & 15).T, (blocks[:, 4:] >> 4).T
-    out = np.empty((SAMPLES, len(blocks)), np.int16)
+    out = np.empty((len(codes) + 1, len(blocks)), np.int16)
     out[0] = value
     for i, code in enumerate(codes):
         step = STEPS[index]
@@ -100,6 +106,35 @@ def resample_double(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
+def resample(pcm: np.ndarray, rate: int, target: int, taps: int = 16) -> np.ndarray:
+    """PCM at another rate: a filter for each phase of the new samples between the old ones, low-passed where the rate falls."""
+    if target == rate or not len(pcm):
+        return pcm
+    if target == 2 * rate:
+        return resample_double(pcm)
+    common = math.gcd(rate, target)
+    up, down = target // common, rate // common
+    band = min(1.0, up / down)
+    half = math.ceil(taps / 2 / band)
+    padded = np.pad(pcm.astype(np.float32), half, "edge")
+    n, out = -(-len(pcm) * up // down), []
+    for a in range(0, n, 1 << 15):
+        place = np.arange(a, min(n, a + (1 << 15)), dtype=np.int64) * down
+        base, offset = place // up, (place % up) / up
+        at = np.arange(1 - half, half + 1)[None, :] - offset[:, None]
+        weights = np.sinc(band * at) * (0.5 + 0.5 * np.cos(np.pi * np.clip(at / half, -1, 1)))
+        weights /= weights.sum(axis=1, keepdims=True)
+        near = padded[np.minimum(base[:, None] + np.arange(1, 2 * half + 1)[None, :], len(padded) - 1)]
+        out.append(np.clip(np.rint((near * weights).sum(axis=1)), -32768, 32767).astype(np.int16))
+    return np.concatenate(out)
+
+
+def split_channels(data: bytes, channels: int, block: int) -> np.ndarray:
+    """The blocks of a file with several ADPCM channels as one-channel blocks, all channels of a block in a row."""
+    groups = np.frombuffer(data, np.uint8).reshape(len(data) // block, block // (4 * channels), channels, 4)
+    return groups.transpose(0, 2, 1, 3).reshape(-1)
+
+
 def pad_payload(data: bytes) -> bytes:
     return data + bytes([PAD]) * (-len(data) % UNIT if data else UNIT)
 
@@ -109,31 +144,50 @@ def codec_of(payload: bytes) -> int:
     return (MULAW, ALAW, IMA_ADPCM)[zlib.crc32(payload) % 3]
 
 
-def wav_file(data: bytes, codec: int, rate: int = RATE) -> bytes:
-    """A one-channel WAV file; codec 1 is 16-bit PCM."""
+def wav_file(data: bytes, codec: int, rate: int = RATE, channels: int = 1, block: int = BLOCK) -> bytes:
+    """A WAV file; codec 1 is 16-bit PCM, block the size of an ADPCM block."""
     if codec == IMA_ADPCM:
-        extra, align, bits, per_s, samples = struct.pack("<HH", 2, SAMPLES), BLOCK, 4, rate * BLOCK // SAMPLES, len(data) // BLOCK * SAMPLES
+        spoken = 2 * (block // channels - 4) + 1
+        extra, align, bits, per_s, samples = struct.pack("<HH", 2, spoken), block, 4, rate * block // spoken, len(data) // block * spoken
     else:
         width = 2 if codec == 1 else 1
-        extra, align, bits, per_s, samples = struct.pack("<H", 0), width, 8 * width, rate * width, len(data) // width
-    fmt = struct.pack("<HHIIHH", codec, 1, rate, per_s, align, bits) + extra
+        extra, align, bits, per_s, samples = struct.pack("<H", 0), width * channels, 8 * width, rate * width * channels, len(data) // (width * channels)
+    fmt = struct.pack("<HHIIHH", codec, channels, rate, per_s, align, bits) + extra
     body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, samples) + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_wav(media: bytes) -> tuple[int, int, bytes] | None:
-    """(codec, rate, data) of a WAV file, or None if it is none."""
+@dataclass(frozen=True)
+class Wav:
+    """A file of a known format whose data are whole blocks."""
+
+    codec: int
+    channels: int
+    rate: int
+    block: int
+    data: bytes
+
+
+def read_wav(media: bytes) -> Wav | None:
+    """The parts of a telephony WAV file, or None if it is none."""
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         return None
-    at, codec, rate = 12, None, None
+    at, form = 12, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if at + 8 + size > len(media):
             return None
         if name == b"fmt " and size >= 16:
-            codec, _, rate = struct.unpack_from("<HHI", media, at + 8)
+            form = struct.unpack_from("<HHIIHH", media, at + 8)
         if name == b"data":
-            return (codec, rate, media[at + 8 : at + 8 + size]) if codec is not None else None
+            if form is None or form[0] not in NAMES or not form[1] or not form[2] or not size:
+                return None
+            codec, channels, rate, _, block, bits = form
+            if codec == IMA_ADPCM:
+                whole = block > 4 * channels and block % (4 * channels) == 0 and bits == 4
+            else:
+                whole = block == channels and bits == 8
+            return Wav(codec, channels, rate, block, media[at + 8 : at + 8 + size]) if whole and size % block == 0 else None
         at += 8 + size + (size & 1)
     return None
 
@@ -155,7 +209,8 @@ def store_audio(rows: DataFrame, id_col: str = "doc_id", data_col: str = "text")
                     yield pa.RecordBatch.from_arrays([ids.slice(at, i + 1 - at), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
                     at, room, sizes, files = i + 1, 0, [], []
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(data_col).cast("binary").alias("data")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    own = rows.select(F.col(id_col).alias("doc_id"), F.col(data_col).cast("binary").alias("data"))
+    return own.mapInArrow(run, f"{type_of(own, 'doc_id')}, n_bytes long, media binary")
 
 
 def _features(codec: int, pcm: np.ndarray) -> str:
@@ -164,8 +219,30 @@ def _features(codec: int, pcm: np.ndarray) -> str:
     return f"{NAMES[codec]};samples={len(pcm)};mean={wide.mean():.3f};rms={np.sqrt((wide * wide).mean()):.3f};peak={int(np.abs(pcm.astype(np.int32)).max())};crossings={crossings}"
 
 
-def decode_audio(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """Columns of stored other than the media stay; payload, pcm (a WAV file at twice the rate) and feature are added."""
+def decode_files(files: list[Wav | None], target_rate: int) -> list[np.ndarray | None]:
+    """(samples, channels) of each file at the target rate; ADPCM blocks of one size are decoded together."""
+    by: dict[int, list[int]] = {}
+    for i, f in enumerate(files):
+        if f and f.codec == IMA_ADPCM:
+            by.setdefault(f.block // f.channels, []).append(i)
+    spoken: dict[int, np.ndarray] = {}
+    for block, own in by.items():
+        parts = [split_channels(files[i].data, files[i].channels, files[i].block) for i in own]
+        pcm = adpcm_decode(np.concatenate(parts), block)
+        for i, rows in zip(own, np.split(pcm, np.cumsum([len(p) // block for p in parts])[:-1]), strict=True):
+            spoken[i] = rows.reshape(-1, files[i].channels, pcm.shape[1]).transpose(1, 0, 2).reshape(files[i].channels, -1)
+    out = []
+    for i, f in enumerate(files):
+        if f is None:
+            out.append(None)
+            continue
+        each = spoken[i] if i in spoken else EXPAND[f.codec][np.frombuffer(f.data, np.uint8).reshape(-1, f.channels).T]
+        out.append(np.stack([resample(np.ascontiguousarray(c), f.rate, target_rate) for c in each], axis=1))
+    return out
+
+
+def decode_audio(stored: DataFrame, media_col: str = "media", target_rate: int = 2 * RATE) -> DataFrame:
+    """Columns of stored other than the media stay; payload, pcm (a WAV file at the target rate) and feature are added."""
     rest = [c for c in stored.columns if c != media_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,24 +253,13 @@ def decode_audio(stored: DataFrame, media_col: str = "media") -> DataFrame:
                 end, room, files = at, 0, []
                 while end < len(media) and (end == at or room < SLICE):
                     files.append(read_wav(media[end].as_buffer().to_pybytes()) if media[end].is_valid else None)
-                    room += len(files[-1][2]) if files[-1] else 0
+                    room += len(files[-1].data) if files[-1] else 0
                     end += 1
-                blocks = b"".join(f[2] for f in files if f and f[0] == IMA_ADPCM)
-                spoken = adpcm_decode(np.frombuffer(blocks, np.uint8)) if blocks else None
-                payload, pcm, feature, used = [], [], [], 0
-                for f in files:
-                    if f is None or f[0] not in NAMES or not f[2] or (f[0] == IMA_ADPCM and len(f[2]) % BLOCK):
-                        payload.append(None), pcm.append(None), feature.append(None)
-                        continue
-                    if f[0] == IMA_ADPCM:
-                        n = len(f[2]) // BLOCK
-                        samples, used = spoken[used : used + n].ravel(), used + n
-                    else:
-                        samples = EXPAND[f[0]][np.frombuffer(f[2], np.uint8)]
-                    double = resample_double(samples)
-                    payload.append(f[2])
-                    pcm.append(wav_file(double.astype("<i2").tobytes(), 1, 2 * f[1]))
-                    feature.append(_features(f[0], double))
+                payload, pcm, feature = [], [], []
+                for f, samples in zip(files, decode_files(files, target_rate), strict=True):
+                    payload.append(f and f.data)
+                    pcm.append(f and wav_file(samples.astype("<i2").tobytes(), 1, target_rate, f.channels))
+                    feature.append(f and _features(f.codec, samples.ravel()))
                 own = [batch.column(i).slice(at, end - at) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(payload, pa.binary()), pa.array(pcm, pa.binary()), pa.array(feature, pa.string())], names=[*rest, "payload", "pcm", "feature"])
                 at = end

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwright.llm.common import type_of
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-token pattern that belongs to the vocabulary. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -222,5 +224,5 @@ def count_with_edits(docs: DataFrame, edits: Column, id_col: str = "doc_id", tex
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "n_pieces", "n_tokens_edited", "n_chars_edited", "n_reencoded"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), edits.cast("array<struct<start:bigint,end:bigint,text:string>>").alias("edits"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_pieces long, n_tokens_edited long, n_chars_edited long, n_reencoded long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), edits.cast("array<struct<start:bigint,end:bigint,text:string>>").alias("edits"))
+    return rows.mapInArrow(run, f"{type_of(rows, 'doc_id')}, n_tokens long, n_pieces long, n_tokens_edited long, n_chars_edited long, n_reencoded long")
