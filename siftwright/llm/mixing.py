@@ -2,9 +2,10 @@
 
 Every document gets a hash-random key of its id and text. Within each source the keys are cut into ranges, the word
 counts of each range are summed, and a prefix sum over the ranges tells in which of them the source's budget ends.
-Only that range has to be sorted: a prefix sum over its keys finds the exact cut. A source takes whole epochs, then
-the documents before the cut, and of the document at the cut what is left of the budget. The rows themselves never
-move: each compares its key with its source's cut, so a source with a third of all rows needs no task of its own.
+Only that range is cut into finer ranges, and only the last of these is sorted by key: its prefix sum finds the exact
+cut. A source takes whole epochs, then the documents before the cut, and of the document at the cut what is left of
+the budget. The rows themselves never move: each compares its key with its source's cut, so a source with a third of
+all rows needs no task of its own.
 
 Targets: sources in code-point order (null last) have the weights 5, 2, 1, repeating, and share all words; a target
 stops at three times its source's words and the excess is shared again by weight among the others. The fixed point of
@@ -26,8 +27,9 @@ from siftwright.llm.common import stage_table, word_count
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
-#: Keys are the first 60 bits of a digest; ranges are their first RANGE_BITS bits.
-KEY_BITS, RANGE_BITS = 60, 14
+#: Keys are the first 60 bits of a digest; ranges are their first 10 bits, finer ones their first 20.
+KEY_BITS = 60
+RANGE_BITS, FINE_BITS = 10, 20
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -44,27 +46,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return found.withColumn("shared", shared["level"]).select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("shared")).alias("target"))
 
 
+def _ends(parts: DataFrame, rests: DataFrame) -> DataFrame:
+    """Of parts (source, part, words) the one of each source in which its rest (s, rest) ends, and what is left of the rest there."""
+    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("start", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+    placed = starts.join(rests.select("s", "rest"), F.col("source").eqNullSafe(F.col("s"))).withColumn("rest", F.col("rest") - F.col("start"))
+    return placed.filter("rest >= 0 and rest < words").select("s", "part", "rest")
+
+
 def source_cuts(rows: DataFrame) -> DataFrame:
     """(s, source_size, target, epochs, cut, share) for each source of rows (source, key, text).
 
     `epochs` whole passes, then every key below `cut`, and `share` words of each row with the key `cut`.
     """
-    shift = KEY_BITS - RANGE_BITS
-    ranges = rows.groupBy("source", F.shiftright("key", shift).alias("range")).agg(F.sum(word_count(F.col("text"))).alias("words"))
-    ranges = stage_table(ranges, "mix-ranges")
+    coarse, fine = F.shiftright("key", KEY_BITS - RANGE_BITS), F.shiftright("key", KEY_BITS - FINE_BITS)
+    words = F.sum(word_count(F.col("text"))).alias("words")
+    ranges = stage_table(rows.groupBy("source", coarse.alias("part")).agg(words), "mix-ranges")
     targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")))
-    budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
-    targets = targets.withColumn("epochs", epochs).select(F.col("source").alias("s"), "source_size", "target", "epochs", (budget - F.col("epochs") * F.col("source_size")).alias("rest"))
-    targets = stage_table(targets, "mix-targets")
-    ahead = lambda *by: Window.partitionBy(by[0]).orderBy(by[1]).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("start", F.coalesce(F.sum("words").over(ahead("source", "range")), F.lit(0)))
-    starts = starts.join(targets, F.col("source").eqNullSafe(F.col("s"))).withColumn("rest", F.col("rest") - F.col("start"))
-    ends = stage_table(starts.filter("rest >= 0 and rest < words").select("s", F.col("range").alias("r"), "rest"), "mix-ends")
-    inside = rows.withColumn("range", F.shiftright("key", shift)).join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    keys = inside.groupBy("s", "rest", "key").agg(F.sum(word_count(F.col("text"))).alias("words"), F.count("*").alias("copies"))
-    keys = keys.withColumn("rest", F.col("rest") - F.coalesce(F.sum("words").over(ahead("s", "key")), F.lit(0)))
-    cuts = keys.filter("rest >= 0 and rest < words").select(F.col("s").alias("cut_s"), F.col("key").alias("cut"), F.expr("rest div copies").alias("share"))
+    targets = targets.withColumn("epochs", F.expr("if(source_size > 0, floor(target) div source_size, 0)"))
+    targets = stage_table(targets.select(F.col("source").alias("s"), "source_size", "target", "epochs", (F.floor("target") - F.col("epochs") * F.col("source_size")).alias("rest")), "mix-targets")
+    ends = stage_table(_ends(ranges, targets), "mix-ends")
+    inside = lambda table, part: table.join(ends.select("s", "part"), F.col("source").eqNullSafe(F.col("s")) & (part == F.col("part")), "left_semi")
+    keys = stage_table(inside(rows, coarse).groupBy("source", "key").agg(words, F.count("*").alias("copies")), "mix-keys")
+    ends = stage_table(_ends(keys.groupBy("source", fine.alias("part")).agg(F.sum("words").alias("words")), ends), "mix-fine-ends")
+    last = _ends(inside(keys, fine).withColumn("part", F.col("key")), ends).withColumnRenamed("s", "source").join(keys.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("key")))
+    cuts = last.select(F.col("of").alias("cut_s"), F.col("key").alias("cut"), F.expr("rest div copies").alias("share"))
     found = targets.join(cuts, F.col("s").eqNullSafe(F.col("cut_s")), "left")
     return stage_table(found.select("s", "source_size", "target", "epochs", F.coalesce("cut", F.lit(0)).alias("cut"), F.coalesce("share", F.lit(0)).alias("share")), "mix-cuts")
 
