@@ -79,7 +79,7 @@ def test_simhash_matches_brute_force(spark):
     assert {i: got[i]["component_id"] for i in ids} == slow_components(ids, prints)
 
 
-@pytest.mark.parametrize("parts,dense", [(3, 0), (3, 10_000), (2, 3)])
+@pytest.mark.parametrize("parts,dense", [(3, 0), (3, 10_000), (2, 3), (3, 12)])
 def test_links_connect_what_lies_within_the_radius(spark, parts, dense):
     from siftwright.llm.simhash import connected, links
 
@@ -103,7 +103,11 @@ def test_simhash_of_repeated_and_missing_ids(spark, empty):
     rows = docs_of(spark, ["a b c d e", "a b c d e", "other text entirely here now", "a b c d e", None], [7, 7, 3, None, None])
     got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash_components(rows).collect())
     assert got == sorted([("7", "7"), ("7", "7"), ("3", "3"), ("None", "7"), ("None", "None")])
-    assert sorted(str(r["doc_id"]) for r in keep_one_per_group(rows).collect()) == ["3", "7", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in keep_one_per_group(rows).collect()) == ["3", "7", "None"]
+    clash = docs_of(spark, ["q w e r t y u", "a b c d e f g", "a b c d e f g"], [5, 5, 1])
+    assert sorted((r["doc_id"], r["text"]) for r in keep_one_per_group(clash).collect()) == [(1, "a b c d e f g"), (5, "q w e r t y u")]
+    named = rows.withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    assert {r["component_id"] for r in simhash_components(named).collect()} == {"id7", "id3", None}
     assert simhash_components(empty).count() == 0
     assert keep_one_per_group(empty).columns == empty.columns
 
@@ -118,6 +122,26 @@ def test_keeping_one_of_a_group_with_clashing_columns(spark):
     assert sorted(map(tuple, kept.collect()), key=lambda r: r[3]) == [rows[0], rows[2], rows[4]]
 
 
+def test_midpoints_bound_their_groups(spark):
+    from siftwright.llm.simhash import midpoint_stars
+
+    rng = random.Random(3)
+    prints = {0, (1 << 63) - 1} | {sum(1 << b for b in rng.sample(range(63), rng.randrange(7))) for _ in range(200)}
+    for radius in (2, 3, 4):
+        points = spark.createDataFrame([(p,) for p in prints], "fp long")
+        edges = {(r["u"], r["v"]) for r in midpoint_stars(points, radius).collect()}
+        assert all((u ^ v).bit_count() <= radius and u > v for u, v in edges)
+        near = {(u, v) for u in prints for v in prints if u > v and (u ^ v).bit_count() <= radius}
+        label = {p: p for p in prints}
+        find = lambda p, of: p if of[p] == p else find(of[p], of)
+        other = dict(label)
+        for links_, of in ((edges, label), (near, other)):
+            for u, v in links_:
+                a, b = find(u, of), find(v, of)
+                of[max(a, b)] = min(a, b)
+        assert {p: find(p, label) for p in prints} == {p: find(p, other) for p in prints}
+
+
 # --- language identification ---
 def test_languages_held_out(spark, empty):
     from siftwright.llm.langid import detect_languages, fit_filters
@@ -145,6 +169,41 @@ def test_filters_have_no_false_negatives(spark):
     assert ((mask >> filters.languages.index("aa")) & 1).all()
 
 
+def test_every_language_is_learned(spark):
+    from siftwright.llm.langid import detect_languages, fit_filters
+
+    two = fit_filters(spark.createDataFrame([("aa", "alpha beta"), ("bb", "omega psi")], "lang string, text string"))
+    got = {r["doc_id"]: r["lang_pred"] for r in detect_languages(docs_of(spark, ["alpha beta", "psi", "zzz", "12"]), two).collect()}
+    assert two.languages == ("aa", "bb") and got == {0: "aa", 1: "bb", 2: "aa", 3: "und"}
+    mixed = fit_filters(spark.createDataFrame([("aa", "mim mim"), ("bb", "non non"), ("cc", "sus sus"), ("dd", "mim non sus")], "lang string, text string"))
+    assert mixed.languages == ("aa", "bb", "cc", "dd")
+    words = [f"{a}{b}{c}" * 3 for a in "bdfgk" for b in "aeiou" for c in "lmn"][:70]
+    many = fit_filters(spark.createDataFrame([(f"l{i:02d}", w) for i, w in enumerate(words)], "lang string, text string"))
+    docs = docs_of(spark, words).withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    assert len(many.languages) == 70 and len(many.slots) == 2
+    assert {r["doc_id"]: r["lang_pred"] for r in detect_languages(docs, many).collect()} == {f"n{i}": f"l{i:02d}" for i in range(70)}
+
+
+def test_popcounts_match_sets(monkeypatch):
+    from siftwright.llm import langid
+
+    monkeypatch.setattr(langid, "CHUNK", 50)
+    rng = random.Random(8)
+    known = {lang: "".join(rng.choice("abcdefgh ") for _ in range(80)) for lang in ("x", "y", "z")}
+    grams = {lang: np.unique(np.concatenate([langid._grams(*langid._joined([t]), o)[0] for o in langid.ORDERS])) for lang, t in known.items()}
+    filters = langid.make_filters(grams)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (0, 3, 40)]
+    letters, total, hits = filters.counts(texts)
+    for i, text in enumerate(texts):
+        for k, order in enumerate(langid.ORDERS):
+            own = langid._grams(*langid._joined([text]), order)[0].tolist()
+            assert total[k, i] == len(own)
+            for l, lang in enumerate(filters.languages):
+                true = sum(g in set(grams[lang].tolist()) for g in own)
+                assert true <= hits[k, i, l] <= true + 0.02 * len(own) + 1
+        assert letters[i] == sum(c != " " for c in text)
+
+
 # --- toxicity ---
 def test_gradients_match_differences():
     from siftwright.llm.toxicity import HIDDEN, Network
@@ -204,6 +263,44 @@ def test_toxicity_learns_words_and_stems(spark, empty):
     assert sorted(marks.tolist()) in ([0, 1], [1]) and len(texts) == len(marks)
 
 
+def test_sample_is_bounded_and_takes_long_texts(spark, monkeypatch):
+    from siftwright.llm import toxicity
+
+    docs = docs_of(spark, ["same text"] * 10_000 + [f"text {i}" for i in range(50)] + ["long " * 60_000], [1] * 10_000 + list(range(2, 53)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 53)] + [(1, 1)] * 100, "doc_id long, toxic int")
+    texts, marks = toxicity.labelled_sample(docs, labels, most=(20, 30))
+    assert len(texts) == (marks == 0).sum() + (marks == 1).sum() and (marks == 0).sum() == 20 and (marks == 1).sum() <= 30
+    assert texts.count("same text") <= 1 and max(map(len, texts)) <= toxicity.MAX_TRAIN_CHARS
+    texts, _ = toxicity.labelled_sample(docs, labels)
+    assert len(texts) == 52 and max(map(len, texts)) == toxicity.MAX_TRAIN_CHARS
+
+
+def test_forward_pass_matches_plain_loops():
+    from siftwright.llm.toxicity import HIDDEN, Network, _sigmoid
+
+    net, rng, h = Network(1), np.random.default_rng(2), HIDDEN
+    inputs, lengths = rng.normal(0, 1, (3, 6, 6 * h)).astype(np.float32), np.array([6, 4, 1])
+    got = net.forward(inputs, lengths)
+    for i, n in enumerate(lengths):
+        states = np.zeros((n, 2, h))
+        for d, order in ((0, range(n)), (1, range(n - 1, -1, -1))):
+            state = np.zeros(h)
+            for t in order:
+                x, a = inputs[i, t, 3 * h * d : 3 * h * (d + 1)], state @ net.w["u"][d]
+                z, r = _sigmoid(x[:h] + a[:h]), _sigmoid(x[h : 2 * h] + a[h : 2 * h])
+                new = np.tanh(x[2 * h :] + r * a[2 * h :])
+                states[t, d] = state = (1 - z) * new + z * state
+        flat = states.reshape(n, 2 * h)
+        weights = np.exp(flat @ net.w["attend"])
+        assert got[i] == pytest.approx(weights / weights.sum() @ flat @ net.w["out"] + net.w["bias"][0], abs=1e-4)
+
+
+def test_unspaced_scripts_are_split():
+    from siftwright.llm.common import spaced
+
+    assert spaced("plain é text") == "plain é text" and spaced("日本x ไท").split() == ["日", "本", "x", "ไ", "ท"]
+
+
 # --- secrets ---
 @pytest.fixture(scope="module")
 def forest(spark):
@@ -283,6 +380,18 @@ def test_perspectives(spark):
     assert rotate_perspectives(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_parts_carry_their_context(spark):
+    from siftwright.llm.perspectives import rotate_perspectives
+
+    rows = [(1, 0, "system", "rules")] + [(1, t, "ann" if t % 2 else "bob", f"m{t}") for t in range(1, 140)]
+    got = sorted((r for r in rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r["perspective"] == "ann"), key=lambda r: r["part"])
+    assert [(r["n_turns"], r["n_context"]) for r in got] == [(64, 0), (64, 9), (12, 9)]
+    said = [[x.split("|>\n")[1].removesuffix("<|end|>") for x in r["rendered"].split("\n<|")] for r in got]
+    assert said[1][:10] == ["rules", *[f"m{t}" for t in range(56, 64)], "m64"] and said[2][0] == "rules"
+    trained = [r["rendered"][int(a) : int(b)].removesuffix("<|end|>") for r in got for a, b in (x.split("-") for x in r["mask"].split(","))]
+    assert trained == [f"m{t}" for t in range(1, 140, 2)]
+
+
 # --- token counts ---
 def test_token_trees_follow_edits():
     from siftwright.llm.tokencount import Counter, TokenTree
@@ -344,10 +453,34 @@ def test_codecs():
     flat = np.full(50, 1000, np.int16)
     assert (t.resample_double(flat) == 1000).all() and len(t.resample_double(flat)) == 100
     for codec in (t.ALAW, t.MULAW, t.IMA_ADPCM):
-        assert t.read_wav(t.wav_file(data.tobytes(), codec)) == (codec, 8000, data.tobytes())
+        assert t.read_wav(t.wav_file(data.tobytes(), codec)) == t.Wav(codec, 1, 8000, 36 if codec == t.IMA_ADPCM else 1, data.tobytes())
     assert t.read_wav(b"no file") is None
 
 
+def test_channels_block_sizes_and_rates():
+    from siftwright.llm import telephony as t
+
+    rng = random.Random(7)
+    data = rng.randbytes(256 * 3)
+    file = t.read_wav(t.wav_file(data, t.IMA_ADPCM, channels=2, block=256))
+    assert (file.channels, file.block) == (2, 256)
+    left = b"".join(data[b + g : b + g + 4] for b in range(0, len(data), 256) for g in range(0, 256, 8))
+    right = b"".join(data[b + g : b + g + 4] for b in range(0, len(data), 256) for g in range(4, 256, 8))
+    other = t.read_wav(t.wav_file(rng.randbytes(36 * 4), t.IMA_ADPCM))
+    law = t.read_wav(t.wav_file(bytes(range(256)), t.MULAW, channels=2))
+    got = t.decode_files([file, None, other, law], 8000)
+    for c, own in enumerate((left, right)):
+        assert got[0][:, c].tolist() == [x for b in range(0, len(own), 128) for x in slow_ima(own[b : b + 128])]
+    assert got[1] is None and got[2][:, 0].tolist() == [x for b in range(0, 144, 36) for x in slow_ima(other.data[b : b + 36])]
+    assert got[3][:, 1].tolist() == t.mulaw_table()[1::2].tolist()
+    assert t.read_wav(t.wav_file(b"abc", t.ALAW, channels=2)) is None and t.read_wav(t.wav_file(data[:100], t.IMA_ADPCM, block=256)) is None
+    tone = (10_000 * np.sin(np.arange(4000) * 2 * np.pi * 300 / 8000)).astype(np.int16)
+    for rate in (6000, 11025, 16000, 44100):
+        out = t.resample(tone, 8000, rate)
+        expected = 10_000 * np.sin(np.arange(len(out)) * 2 * np.pi * 300 / rate)
+        assert len(out) == -(-4000 * rate // 8000) and np.abs(out[200:-200] - expected[200:-200]).max() < 300
+
+
 def test_audio_round_trip(spark, empty):
     from siftwright.llm.telephony import audio_digests, decode_audio, store_audio
 
@@ -419,12 +552,42 @@ def test_decontamination_matches_brute_force(spark, empty):
 
 
 def test_blocks_of_items_give_the_same(spark):
-    from siftwright.llm.decontaminate import item_blocks, matches
+    from siftwright.llm.decontaminate import contaminated, decontaminate, item_blocks, numbered_items
+
+    items = spark.createDataFrame([(f"i{i}", f"alpha beta gamma delta item{i} eta theta") for i in range(6)], "item_id string, text string")
+    assert len(list(item_blocks(numbered_items(items), block_words=10))) == 6
+    docs = docs_of(spark, ["x alpha beta gamma delta item3 eta theta y", "clean", None, "alpha beta gamma delta item5 eta theta"])
+    for words in (10, 20, 1000):
+        assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items, block_words=words).collect()} == {(0, "i3"), (3, "i5")}
+        assert {r["doc_id"] for r in decontaminate(docs, items, block_words=words).collect()} == {1, 2}
+
+
+def test_windows_of_exactly_the_similarity_are_found():
+    from siftwright.llm.decontaminate import ItemIndex
+
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [[rng.choice(vocabulary) for _ in range(49)] for _ in range(300)]  # 45 shingles
+    index, missed, planted = ItemIndex([(i, " ".join(w)) for i, w in enumerate(items)]), 0, 0
+    for i, words in enumerate(items):
+        for _ in range(3):
+            copy = list(words)
+            copy[rng.randrange(4, 45)] = "other"  # changes five shingles: 40 of 50
+            text = " ".join([rng.choice(vocabulary) for _ in range(20)] + copy + [rng.choice(vocabulary) for _ in range(20)])
+            found = {m["item"]: m["similarity"] for m in index.search(text)}
+            missed += found.get(i) != pytest.approx(0.8)
+            planted += 1
+    assert missed <= 0.01 * planted
+
+
+def test_very_long_and_unspaced_texts_are_searched(spark):
+    from siftwright.llm.decontaminate import contaminated
 
-    items = spark.createDataFrame([(i, f"alpha beta gamma delta item{i} eta theta") for i in range(6)], "item_id long, text string")
-    blocks = item_blocks(items, block_words=10)
-    row = docs_of(spark, ["x alpha beta gamma delta item3 eta theta y"]).select(matches(F.col("text"), blocks).alias("m")).first()
-    assert len(blocks) > 1 and [m["item_id"] for m in row["m"]] == [3]
+    item = " ".join(f"q{i}" for i in range(40))
+    long = "alpha beta " * 300_000 + item + " gamma" * 300_000
+    docs = docs_of(spark, [long, "前の文章。日本語の項目はここにあります。次の文章。", "日本語の別の文"])
+    bench = spark.createDataFrame([(1, item), (2, "日本語の項目はここにあります")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["start_word"]) for r in contaminated(docs, bench).collect()} == {(0, 1, 600_000), (1, 2, 4)}
 
 
 # --- repeats ---
@@ -615,5 +778,22 @@ def test_stage_keeps_one_of_similar_sets(spark, empty):
     kept = drop_near_duplicates(spark, docs_of(spark, texts), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == expected
     rows = docs_of(spark, ["a b c d e", "a b c d e", "other text entirely here now", "a b c d e", None], [7, 7, 3, None, None])
-    assert sorted(str(r["doc_id"]) for r in drop_near_duplicates(spark, rows, "").collect()) == ["3", "7", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in drop_near_duplicates(spark, rows, "").collect()) == ["3", "7", "None"]
     assert drop_near_duplicates(spark, empty, "").columns == empty.columns
+
+
+def test_crowded_buckets_find_the_groups(spark):
+    from siftwright.llm.shinglesets import keep_one_per_set
+
+    rng = random.Random(15)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for _ in range(400):  # near copies, nearly all of them alike
+        copy = list(base)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(200)] = f"c{rng.randrange(10_000)}"
+        texts.append(" ".join(copy))
+    for i in range(100):  # a common passage that makes no near copy
+        texts.append(" ".join(base[:60] + [f"x{i}_{k}" for k in range(140)]))
+    texts += [t.replace("x7_3 ", "") for t in texts[400:] if "x7_3 " in t]
+    kept = keep_one_per_set(docs_of(spark, texts), crowd=8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(400, 500)]
