@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions import constants as K
+from siftwright.functions import grams as G
 from siftwright.functions import text as T
 
 
@@ -137,7 +138,7 @@ def loop_stats(text: Column, least: int = 12) -> Column:
     lines = F.filter(F.split(text, r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"), lambda x: T.strip(x) != "")
     found = F.struct(
         top_repeat(sentences).alias("sentence"),
-        top_repeat(T.character_grams(text, 20)).alias("window"),
+        G.top_window(text, 20).alias("window"),
         F.size(lines).alias("lines"),
         T.repeats(lines).alias("again"),
     )
@@ -167,7 +168,7 @@ def loop_stats(text: Column, least: int = 12) -> Column:
 
 def repeat_ratio(text: Column, n: int = 8) -> Column:
     """Share of character n-grams that repeat an earlier one."""
-    return T.let(T.character_grams(text, n), lambda g: F.when(F.size(g) == 0, 0.0).otherwise(T.repeats(g) / F.size(g)))
+    return G.repeated_share(text, n)
 
 
 def mere_translation(prompt: Column, answer: Column) -> Column:

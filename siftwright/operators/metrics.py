@@ -5,25 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwright.functions import grams as G
 from siftwright.functions import text as T
 
 #: Marks that stand apart from words in chrF++ word n-grams. Fixed value.
 PUNCTUATION = r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 
 
-def shared_grams(hyp: Column, ref: Column) -> Column:
-    """Size of the multiset intersection of two arrays: both sorted together, then one fold over equal neighbours."""
-    side = lambda grams, ours: F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(ours).alias("ours")))
-    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("h"), F.lit(0).alias("r"), F.lit(0).cast("long").alias("sum"))
-
-    def step(s, x):
-        same = s["g"].eqNullSafe(x["g"])
-        count = lambda c, one: F.when(same, s[c] + one).otherwise(one)
-        return F.struct(x["g"].alias("g"), count("h", F.when(x["ours"], 1).otherwise(0)).alias("h"), count("r", F.when(x["ours"], 0).otherwise(1)).alias("r"), F.when(same, s["sum"]).otherwise(s["sum"] + F.least(s["h"], s["r"])).alias("sum"))
-
-    return F.aggregate(F.sort_array(F.concat(side(hyp, True), side(ref, False))), start, step, lambda s: s["sum"] + F.least(s["h"], s["r"]))
-
-
 def character_stream(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 
@@ -35,31 +23,21 @@ def chrf_words(text: Column) -> Column:
     return F.flatten(F.transform(tokens, apart))
 
 
-def word_grams(words: Column, n: int) -> Column:
-    """Runs of n words, joined by blanks."""
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-    return T.let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
-
-
-def _overlaps(rows: DataFrame, by: tuple[str, ...], grams: dict[tuple[str, int], tuple[Column, Column]]) -> DataFrame:
+def _totals(rows: DataFrame, by: tuple[str, ...], overlaps: dict[str, Column]) -> DataFrame:
     """(by..., kind, n, matched, hyp, ref): n-gram totals over the corpus. Counts combine before the shuffle.
 
-    Each segment's grams are counted where they are; a segment is one key, so grams never travel as text beyond it.
+    Each segment's grams are counted where they are; what moves are partial sums.
     """
-    parts = []
-    for (kind, n), (hyp, ref) in grams.items():
-        parts.append(F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), hyp.alias("h"), ref.alias("r")))
-    each = rows.select(*by, F.explode(F.array(*parts)).alias("p")).select(*by, "p.*")
-    return each.groupBy(*by, "kind", "n").agg(F.sum(shared_grams(F.col("h"), F.col("r"))).alias("matched"), F.sum(F.size("h")).alias("hyp"), F.sum(F.size("r")).alias("ref"))
+    each = rows.select(*by, *[c.alias(kind) for kind, c in overlaps.items()])
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("o")) for kind in overlaps])
+    flat = each.select(*by, F.explode(kinds).alias("k")).select(*by, "k.kind", F.explode("k.o").alias("o")).select(*by, "kind", "o.*")
+    return flat.groupBy(*by, "kind", "n").agg(F.sum("matched").alias("matched"), F.sum("hyp").alias("hyp"), F.sum("ref").alias("ref"))
 
 
 def chrf(rows: DataFrame, *by: str, hyp: str = "hyp", ref: str = "ref", chars: int = 6, words: int = 2, beta: float = 2.0) -> DataFrame:
     """(by..., chrf): corpus chrF++ from counts summed over segments; precision and recall averaged over orders that have grams."""
-    h, r = character_stream(F.col(hyp)), character_stream(F.col(ref))
-    hw, rw = chrf_words(F.col(hyp)), chrf_words(F.col(ref))
-    grams = {("c", n): (T.character_grams(h, n), T.character_grams(r, n)) for n in range(1, chars + 1)}
-    grams |= {("w", n): (word_grams(hw, n), word_grams(rw, n)) for n in range(1, words + 1)}
-    totals = _overlaps(rows, by, grams)
+    overlaps = {"_c": G.character_overlaps(character_stream(F.col(hyp)), character_stream(F.col(ref)), chars), "_w": G.word_overlaps(chrf_words(F.col(hyp)), chrf_words(F.col(ref)), words)}
+    totals = _totals(rows, by, overlaps)
     both = (F.col("hyp") > 0) & (F.col("ref") > 0)
     scored = totals.groupBy(*by).agg(F.avg(F.when(both, F.col("matched") / F.col("hyp"))).alias("p"), F.avg(F.when(both, F.col("matched") / F.col("ref"))).alias("r"))
     square = beta * beta
@@ -68,8 +46,7 @@ def chrf(rows: DataFrame, *by: str, hyp: str = "hyp", ref: str = "ref", chars: i
 
 def bleu(rows: DataFrame, *by: str, hyp: str = "hyp_tokens", ref: str = "ref_tokens", most: int = 4) -> DataFrame:
     """(by..., bleu): corpus BLEU over token arrays; orders without a match are smoothed by halving. A score of 0 stays 0."""
-    grams = {("t", n): (word_grams(F.col(hyp), n), word_grams(F.col(ref), n)) for n in range(1, most + 1)}
-    totals = _overlaps(rows, by, grams)
+    totals = _totals(rows, by, {"_t": G.word_overlaps(F.col(hyp), F.col(ref), most)})
     wide = totals.groupBy(*by).agg(*[F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in range(1, most + 1) for c in ("matched", "hyp", "ref")])
     zeros = [sum((F.when(F.col(f"matched{k}") == 0, 1).otherwise(0) for k in range(1, n + 1)), F.lit(0)) for n in range(1, most + 1)]
     logs = [F.when(F.col(f"hyp{n}") == 0, F.lit(None)).when(F.col(f"matched{n}") == 0, -F.log(F.pow(F.lit(2.0), zeros[n - 1]) * F.col(f"hyp{n}"))).otherwise(F.log(F.col(f"matched{n}") / F.col(f"hyp{n}"))) for n in range(1, most + 1)]

@@ -152,8 +152,10 @@ def containing(docs: DataFrame, items: DataFrame, block_bytes: int = 16 << 20) -
     long, short = keyed.filter("key <> ''"), keyed.filter("key = ''").select("item_id", "item")
     sizes = [r["n"] for r in long.select(F.regexp_count("key", F.lit(r"\S+")).alias("n")).distinct().collect()]  # one to four
     runs = [F.regexp_extract_all("text", F.lit(rf"(?<!\S)(?=(\S+(?:\s+\S+){{{n - 1}}}))"), F.lit(1)) for n in sizes] or [F.array().cast("array<string>")]
-    windows = docs.select("doc_id", "text", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("key"))
-    out = windows.join(long, "key").filter(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    # only ids and keys are exploded; texts come back for the candidates
+    windows = docs.select("doc_id", F.explode(F.flatten(F.array(*runs))).alias("key"))
+    near = windows.join(long.select("key").distinct(), "key", "left_semi").distinct().join(long, "key").select(F.col("doc_id").alias("near_id"), "item_id", "item")
+    out = docs.join(near, F.col("doc_id").eqNullSafe(F.col("near_id"))).filter(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
     total = short.agg(F.sum(F.octet_length("item") + 16)).first()[0] or 0
     blocks = -(-total // block_bytes)
     for i in range(blocks):
