@@ -103,3 +103,5 @@ SEARCH_LEAK_TOLERANCE, SEARCH_DROP_TOLERANCE = 0.3, 1.5
 BENCHES = ("flores", "ntrex", "wmt22", "alt", "tico19")
 SIMPLIFIED_BENCHES = ("wmt22", "alt", "tico19")
 TOKEN_BUDGET, MAX_LENGTH = 1450, 1408
+#: Names of the Chinese target in a prompt's head.
+CHINESE_TARGETS = ("繁體", "Traditional", "繁体字")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from siftwright.functions import constants as K
 from siftwright.functions import text as T
 
-#: Distinct evaluation lines up to which the set is broadcast; beyond, the joins shuffle.
-BROADCAST_LINES = 1_000_000
+#: Bytes of distinct evaluation lines (with an overhead for each) up to which the set is broadcast; beyond, the joins shuffle.
+BROADCAST_BYTES, LINE_OVERHEAD = 64 << 20, 64
 SALTS = 64
 
 
@@ -24,10 +24,10 @@ def split_lines(docs: DataFrame, text_col: str = "text", *keep: str) -> DataFram
     return docs.select(*keep, F.posexplode(F.split(F.col(text_col), "\n")).alias("lineno", "line"))
 
 
-def _bounded(lines: DataFrame, bound: int = BROADCAST_LINES) -> DataFrame:
-    """The lines with a broadcast hint if there are few enough of them; the check counts to the bound at most."""
-    few = lines.limit(bound + 1).count() <= bound
-    return F.broadcast(lines) if few else lines
+def _bounded(lines: DataFrame, bound: int | None = None) -> DataFrame:
+    """The lines (one column) with a broadcast hint if their bytes are within the bound."""
+    size = lines.agg(F.sum(F.octet_length(lines.columns[0]) + LINE_OVERHEAD)).first()[0] or 0
+    return F.broadcast(lines) if size <= (BROADCAST_BYTES if bound is None else bound) else lines
 
 
 def mark_contaminated(rows: DataFrame, evaluation: DataFrame, *sides: str, line_col: str = "line") -> DataFrame:

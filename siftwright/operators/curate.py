@@ -186,32 +186,73 @@ def subsample(rows: DataFrame, key: Column, n: int, seed: int = K.SEED) -> DataF
     return rows.orderBy(T.hash_order(seed, key)).limit(n)
 
 
+def fitting(records: DataFrame, length: Column, most: int = K.MAX_LENGTH) -> DataFrame:
+    """Records of at most `most` tokens; longer ones go as a whole and are never cut. The length is the caller's count."""
+    return records.filter(length <= most)
+
+
+def fitting_counts(records: DataFrame, length: Column, *by: str, most: int = K.MAX_LENGTH) -> DataFrame:
+    """(by..., n, kept, dropped): what `fitting` keeps."""
+    fits = F.coalesce(length <= most, F.lit(False))
+    return records.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(fits).alias("kept"), F.count_if(~fits).alias("dropped"))
+
+
+def unite(*sources: DataFrame) -> DataFrame:
+    """All rows of several sources of one shape, columns by name; a column that a source lacks is null there."""
+    out = sources[0]
+    for s in sources[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
+#: Different lengths of one group that are packed at once; a group with more of them is an error, since a length is a number of tokens.
+MOST_LENGTHS = 5_000_000
+
+
 def pack_by_length(items: DataFrame, length: str = "length", key: str = "id", budget: int = K.TOKEN_BUDGET, *by: str) -> DataFrame:
     """Adds `batch`: items by ascending length (then key) fill batches whose longest times count stays within the budget.
 
-    Packing is sequential inside a group, so groups are the ranges that the caller packs apart (`by`); each streams
-    through one grouped map.
+    Items of one length are alike, so only the counts of the different lengths of a group are packed in one task: for
+    each length the first batch it enters, the room left there, and how many fill a batch. Every item then finds its
+    batch from its rank among those of its length, and these ranks are distributed. Items without a length are left out.
     """
-    kept = items.withColumn("_all", F.lit(0)) if not by else items
-    keys = by or ("_all",)
+    counts = items.groupBy(*by, length).agg(F.count("*").alias("n"))
 
     def pack(pdf):
-        pdf = pdf.sort_values([length, key], kind="stable")
-        batch, n, out = 0, 0, []
-        for size in pdf[length].tolist():
-            if n and size * (n + 1) > budget:
-                batch, n = batch + 1, 0
-            n += 1
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", batch int"
-    return kept.groupBy(*keys).applyInPandas(pack, schema).drop("_all")
+        if len(pdf) > MOST_LENGTHS:
+            raise ValueError("more different lengths than token counts can have")
+        pdf = pdf.sort_values(length, kind="stable")
+        batch, held, first, room, whole = 0, 0, [], [], []
+        for size, n in zip(pdf[length].tolist(), pdf["n"].tolist(), strict=True):
+            each = max(1, budget // size) if size > 0 else held + n  # of this length in a batch of their own
+            fits = min(n, max(0, each - held)) if held else min(n, each)
+            first.append(batch), room.append(fits), whole.append(each)
+            rest = n - fits
+            if rest:
+                more = -(-rest // each)
+                batch, held = batch + more, rest - (more - 1) * each
+            else:
+                held += fits
+        return pdf.assign(_first=first, _room=room, _each=whole)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema) + ", _first long, _room long, _each long"
+    placed = counts.groupBy(*by).applyInPandas(pack, schema)
+    numeric = items.schema[key].dataType.typeName() in ("byte", "short", "integer", "long", "decimal", "float", "double")
+    bucket = F.floor(F.col(key) / BLOCK) if numeric else F.substring(F.col(key).cast("string"), 1, 3)
+    ranked = ranks(items.filter(F.col(length).isNotNull()), F.col(key), bucket, *by, length, name="_rank").withColumn("_rank", F.col("_rank") - 1)
+    for c in (*by, length):
+        placed = placed.withColumnRenamed(c, f"_p_{c}")
+    same = F.lit(True)
+    for c in (*by, length):
+        same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    joined = ranked.join(placed.drop("n"), same)
+    batch = F.when(F.col("_rank") < F.col("_room"), F.col("_first")).otherwise(F.col("_first") + 1 + F.floor((F.col("_rank") - F.col("_room")) / F.col("_each")))
+    return joined.withColumn("batch", batch.cast("int")).select(*items.columns, "batch")
 
 
 def taken_by_domain(taken: DataFrame, registry: DataFrame) -> DataFrame:
     """(src_lang, tgt_lang, domain, n): rows taken of each domain."""
-    return taken.join(F.broadcast(registry.select("corpus", "domain")), "corpus").groupBy("src_lang", "tgt_lang", "domain").agg(F.count("*").alias("n"))
+    return taken.join(registry.select("corpus", "domain"), "corpus").groupBy("src_lang", "tgt_lang", "domain").agg(F.count("*").alias("n"))
 
 
 def replay_share(records: DataFrame, is_replay: Column) -> DataFrame:

@@ -72,7 +72,7 @@ def rank_candidates(cells: DataFrame, metrics: DataFrame, baseline: str = "basel
     base = metrics.filter(F.col("id") == baseline).select("direction", F.col("chrf").alias("_chrf"), F.col("leak").alias("_leak"))
     has = cells.agg(F.max((F.col("id") == baseline).cast("int")).alias("_has"))
     to_zh = F.col("direction").endswith("->zhtw")
-    each = metrics.join(F.broadcast(base), "direction", "left")
+    each = metrics.join(base, "direction", "left")
     leaks = F.when(to_zh & (F.col("leak") > F.col("_leak") + leak_tolerance), F.concat(F.lit("leak:"), F.col("direction")))
     drops = F.when(F.col("chrf") < F.col("_chrf") - drop_tolerance, F.concat(F.lit("drop:"), F.col("direction")))
     summed = each.groupBy("id").agg(F.array_sort(F.array_compact(F.concat(F.collect_list(leaks), F.collect_list(drops)))).alias("found"), F.avg("chrf").alias("mean"), F.max(F.when(to_zh, F.col("leak"))).alias("max_leak"))

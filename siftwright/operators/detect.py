@@ -76,6 +76,11 @@ def direction_of(user: Column) -> Column:
     return F.when(target.isNotNull(), F.struct(T.language_of(body).alias("src_lang"), target.alias("tgt_lang"), body.alias("body")))
 
 
+def target_of(direction: Column) -> Column:
+    """The target of a direction such as en2ja: what follows the first 2; null without one."""
+    return F.when(direction.contains("2"), F.regexp_replace(direction, r"^[^2]*2", ""))
+
+
 def tag_prefix(src: Column, out: Column) -> Column:
     """The first kind of label that the output starts with and the source does not."""
     return F.coalesce(*[F.when(out.rlike(p) & ~src.rlike(p), F.lit(n)) for n, p in K.TAG_PREFIXES])
@@ -186,6 +191,11 @@ def audit_counts(pairs: DataFrame, *by: str, src: str = "src", tgt: str = "tgt")
     return pairs.select(*by, F.explode(audit_hits(F.col(src), F.col(tgt))).alias("hit")).groupBy(*by, "hit").agg(F.count("*").alias("n"))
 
 
+def report_order(counts: DataFrame, *by: str, n: str = "n", name: str = "hit") -> DataFrame:
+    """Counts in the order of a report: by group, the most frequent first, names in order among equals."""
+    return counts.orderBy(*by, F.desc(n), name)
+
+
 def audit_denominators(pairs: DataFrame, *by: str, src: str = "src", tgt: str = "tgt") -> DataFrame:
     """(by..., n, with_names, with_strict, multi_line): how many pairs have what a hit's share refers to."""
     s = F.col(src)
@@ -196,8 +206,11 @@ def audit_denominators(pairs: DataFrame, *by: str, src: str = "src", tgt: str =
 
 def audit_samples(pairs: DataFrame, key: str, n: int = 10, cut: int = 300, src: str = "src", tgt: str = "tgt") -> DataFrame:
     """(hit, key, src, tgt): the first n pairs of each pattern by key, texts cut for display."""
-    rows = pairs.select(key, F.left(src, F.lit(cut)).alias("src"), F.left(tgt, F.lit(cut)).alias("tgt"), F.explode(audit_hits(F.col(src), F.col(tgt))).alias("hit"))
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("hit").orderBy(key))).filter(F.col("_n") <= n).drop("_n")
+    hits = pairs.select(F.col(key), F.col(src).alias("_s"), F.col(tgt).alias("_t"), F.explode(audit_hits(F.col(src), F.col(tgt))).alias("hit"))
+    rows = hits.select("hit", key, F.left("_s", F.lit(cut)).alias("src"), F.left("_t", F.lit(cut)).alias("tgt"))
+    first = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(key))).filter(F.col("_n") <= n)
+    # the first n of each of 64 parts, so that no task sorts all hits of a pattern
+    return first(first(rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(64))), "hit", "_part"), "hit").drop("_n", "_part")
 
 
 def both_orientations(pairs: DataFrame, a: str = "a", b: str = "b", lang_a: str = "lang_a", lang_b: str = "lang_b") -> DataFrame:

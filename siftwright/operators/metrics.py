@@ -70,6 +70,14 @@ def tokens_zh(text: Column) -> Column:
     return tokens_13a(F.regexp_replace(text, r"([㐀-䶵一-鿿豈-龎＀-￯⺀-⿟　-〿])", " $1 "))
 
 
+def upper_median(column: str) -> Column:
+    """The element at position n // 2 of a group's values in order; null values do not count.
+
+    From above, that is the discrete median. Equal values are counted before the shuffle, no group is collected.
+    """
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
+
+
 def document_alignment(rows: DataFrame, *by: str, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
     """(by..., line_ratio_median, tail_ratio_median): upper medians of line counts and of the characters of the last third."""
     h, r = F.split(F.col(hyp), "\n"), F.split(F.col(ref), "\n")
@@ -77,7 +85,7 @@ def document_alignment(rows: DataFrame, *by: str, hyp: str = "hyp", ref: str = "
     tail = lambda a: F.aggregate(F.slice(a, low + 1, F.greatest(F.size(a) - low, F.lit(0))), F.lit(0), lambda s, x: s + F.length(x))
     own = tail(r)
     each = rows.select(*by, (F.size(h) / F.greatest(F.size(r), F.lit(1))).alias("l"), F.when((F.size(r) >= 3) & (own > 0), tail(h) / own).alias("t"))
-    return each.groupBy(*by).agg(T.upper_median(F.collect_list("l")).alias("line_ratio_median"), T.upper_median(F.collect_list("t")).alias("tail_ratio_median"))
+    return each.groupBy(*by).agg(upper_median("l").alias("line_ratio_median"), upper_median("t").alias("tail_ratio_median"))
 
 
 def document_scores(rows: DataFrame, repeat: Column, *by: str, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
@@ -85,7 +93,7 @@ def document_scores(rows: DataFrame, repeat: Column, *by: str, hyp: str = "hyp",
     ratio = F.length(hyp) / F.greatest(F.length(ref), F.lit(1))
     each = rows.select(*by, ratio.alias("x"), repeat.alias("rep"))
     share = lambda c: F.avg(c.cast("double")) * 100
-    return each.groupBy(*by).agg(T.upper_median(F.collect_list("x")).alias("completeness_median"), share(F.col("x") < 0.5).alias("truncated_pct"), share(F.col("x") > 2.0).alias("bloated_pct"), share(F.col("rep") > 0.3).alias("repetitive_pct"))
+    return each.groupBy(*by).agg(upper_median("x").alias("completeness_median"), share(F.col("x") < 0.5).alias("truncated_pct"), share(F.col("x") > 2.0).alias("bloated_pct"), share(F.col("rep") > 0.3).alias("repetitive_pct"))
 
 
 def accuracy(rows: DataFrame, by: str, passed: Column) -> DataFrame:
@@ -114,16 +122,23 @@ def choice_scores(picks: DataFrame, by: str = "lang") -> DataFrame:
     return letters.groupBy(by).agg(n.alias("n"), F.sum("c").alias("correct"), (F.sum("c") * 100 / n).alias("acc"), (F.max("m") / n).alias("max_letter_share"))
 
 
+#: Segments (16 bytes each) up to which the bootstrap broadcasts them.
+BROADCAST_SEGMENTS = 2_000_000
+
+
 def paired_bootstrap(diffs: DataFrame, resamples: int = 1000, seed: int = 42, index: str = "i", diff: str = "diff") -> DataFrame:
     """One row (n, delta, ci_lo, ci_hi, p_b_better, crosses_zero); both systems share every draw.
 
-    diffs has (i, diff) with i from 0 to n - 1. Draw r, k takes segment h32(seed, r, k) mod n; the draws are made where
-    the segments are and summed for each resample, so the shuffle moves one partial sum for each resample and task.
+    diffs has (i, diff) with i from 0 to n - 1. Draw r, k takes segment h32(seed, r, k) mod n. Up to BROADCAST_SEGMENTS
+    segments go to the tasks that make the draws, and what moves is one partial sum for each resample and task; beyond,
+    the draws move to the segments.
     """
-    n = diffs.agg(F.count("*").alias("n"))
-    draws = diffs.sparkSession.range(resamples).select(F.col("id").alias("r")).crossJoin(F.broadcast(n)).select("r", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k"))
+    n = diffs.count()
+    segments = diffs.select(index, diff)
+    draws = diffs.sparkSession.range(resamples * n).select(F.expr(f"id div {max(n, 1)}").alias("r"), F.expr(f"id % {max(n, 1)}").alias("k"), F.lit(n).cast("long").alias("n"))
     draws = draws.select("r", "n", F.pmod(T.h32(seed, F.col("r"), F.col("k")), F.col("n")).alias(index))
-    means = draws.join(diffs.select(index, diff), index).groupBy("r", "n").agg((F.sum(diff) / F.first("n") * 100).alias("d"))
+    segments = F.broadcast(segments) if n <= BROADCAST_SEGMENTS else segments
+    means = draws.join(segments, index).groupBy("r", "n").agg((F.sum(diff) / F.first("n") * 100).alias("d"))
     low, high = int(0.025 * resamples) + 1, int(0.975 * resamples) + 1
     sorted_ = F.array_sort(F.collect_list("d"))
     out = means.groupBy("n").agg(sorted_.alias("s"), F.avg((F.col("d") > 0).cast("double")).alias("p_b_better"))

@@ -86,3 +86,22 @@ def replay_counts(emitted: DataFrame) -> DataFrame:
     """(lang, seen, kept, distinct_prompts): what emit kept, before and after equal prompts are folded."""
     kept = F.col("reason") == "kept"
     return emitted.groupBy("lang").agg(F.count("*").alias("seen"), F.count_if(kept).alias("kept"), F.countDistinct(F.when(kept, F.col("prompt"))).alias("distinct_prompts"))
+
+
+def usable(text: Column, simplified: Callable[[Column], Column] | None = None) -> Column:
+    """Whether a translated reply can be used: 5 to 4000 characters, with Han, without simplified rest. Null is not."""
+    fits = F.length(text).between(5, 4000) & text.rlike(f"[{K.HAN_BASIC}]")
+    return F.coalesce(fits & ~simplified(text) if simplified else fits, F.lit(False))
+
+
+def english_only(records: DataFrame, *order: str, most: int | None = None, longest: int = 1200, prompt: str = "prompt", reply: str = "reply") -> DataFrame:
+    """Records without Han on either side whose reply has at most `longest` characters; the first `most` by order."""
+    rows = records.filter(~F.concat(F.coalesce(prompt, F.lit("")), F.coalesce(reply, F.lit(""))).rlike(f"[{K.HAN_BASIC}]") & (F.length(F.coalesce(reply, F.lit(""))) <= longest))
+    return rows if most is None else rows.orderBy(*order).limit(most)
+
+
+def simplified_residue(records: DataFrame, simplified: Callable[[Column], Column], *by: str, prompt: str = "prompt", reply: str = "reply", head: int = 30) -> DataFrame:
+    """(by..., targets, residue): records whose prompt's first characters name a Chinese target, and those with a simplified reply."""
+    named = F.left(prompt, F.lit(head)).rlike("|".join(K.CHINESE_TARGETS))
+    rows = records.filter(named)
+    return rows.groupBy(*by).agg(F.count("*").alias("targets"), F.count_if(simplified(F.col(reply))).alias("residue"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.functions import text as T
-from siftwright.operators import detect, graders, metrics, replay
+from siftwright.operators import curate, detect, graders, metrics, replay
 from siftwright.operators.panels import GENERAL, INSTRUCTIONS
 from siftwright.plans.base import Catalog, h32_sql, table, values
 from siftwright.plans.corpus import PAIRS
@@ -226,10 +226,8 @@ SELECT (SELECT n FROM n) AS n, round((SELECT avg(diff) * 100 FROM s), 6) AS delt
 """)
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired bootstrap over differences made from labels."""
-    from pyspark.sql import Window
-
-    labels = table(spark, sf_dir, "labels")
-    diffs = labels.select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"), ((F.col("quality") - F.pmod(T.h32("b", F.col("doc_id")), F.lit(1000)) / 1000.0) / 10).alias("diff"))
+    labels = curate.ranks(table(spark, sf_dir, "labels"), F.col("doc_id"), F.floor(F.col("doc_id") / 1024))
+    diffs = labels.select((F.col("rn") - 1).alias("i"), ((F.col("quality") - F.pmod(T.h32("b", F.col("doc_id")), F.lit(1000)) / 1000.0) / 10).alias("diff"))
     out = metrics.paired_bootstrap(diffs, 200)
     return out.select("n", F.round("delta", 6).alias("delta"), F.round("ci_lo", 6).alias("ci_lo"), F.round("ci_hi", 6).alias("ci_hi"), "p_b_better", "crosses_zero")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,36 @@ def test_packing(spark):
     assert len(got) == 100 and all(max(b) * len(b) <= 500 or len(b) == 1 for b in batches.values())
 
 
+@pytest.mark.parametrize("seed,budget", [(1, 500), (2, 37), (3, 4000)])
+def test_packing_equals_one_pass_in_order(spark, seed, budget):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([0, 1, 3, 9, 9, 9, 40, 600])) for i in range(400)]
+    got = {r["id"]: r["batch"] for r in curate.pack_by_length(spark.createDataFrame(rows, "id long, g string, length long"), "length", "id", budget, "g").collect()}
+    for g in ("a", "b", None):
+        batch, n = 0, 0
+        for size, i in sorted((size, i) for i, own, size in rows if own == g):
+            if n and size * (n + 1) > budget:
+                batch, n = batch + 1, 0
+            n += 1
+            assert got[i] == batch
+
+
+def test_records_that_fit_are_whole(spark):
+    rows = spark.createDataFrame([("a", 1408), ("a", 1409), ("b", None)], "split string, n int")
+    assert [r["n"] for r in curate.fitting(rows, F.col("n")).collect()] == [1408]
+    assert sorted(map(tuple, curate.fitting_counts(rows, F.col("n"), "split").collect())) == [("a", 2, 1, 1), ("b", 1, 0, 1)]
+
+
+@pytest.mark.parametrize("text,ok", [("漢字漢字漢", True), ("漢字", False), ("plain text", False), ("漢" * 4001, False), ("国字国字国", False), (None, False)])
+def test_usable_replies(spark, text, ok):
+    assert one(spark, text, lambda t: replay.usable(t, lambda x: F.translate(x, "国", "國") != x)) is ok
+
+
+@pytest.mark.parametrize("direction,target", [("en2zhtw", "zhtw"), ("a2b2c", "b2c"), ("none", None), (None, None)])
+def test_target_of_a_direction(spark, direction, target):
+    assert one(spark, direction, detect.target_of) == target
+
+
 def test_prompt_completion(spark):
     rows = spark.createDataFrame([([("user", "q"), ("assistant", "a")],)], readers.RECORD)
     r = curate.prompt_completion(rows).first()
@@ -282,6 +313,81 @@ def test_result_files(spark, tmp_path):
         readers.result_files(spark, str(tmp_path), "v1").collect()
 
 
+def test_reports_are_read_back(spark, tmp_path):
+    scores = spark.createDataFrame([("en->ja", "chrf", 29.5), ("en->ja", "leak", None), ("ja->en", "chrf", 30.0)], "direction string, metric string, value double")
+    document = writers.run_result(scores, "v1-flores", "flores", 500, model="m", gen={"num_beams": 4}, defaults={"ja": {"length_penalty": 1.2}})
+    writers.write_json(document, str(tmp_path / "run"))
+    text = spark.read.text(str(tmp_path / "run")).first()["value"]
+    found = json.loads(text)
+    assert (found["tag"], found["n"], found["adapter"], found["gen"], found["decode_defaults"]) == ("v1-flores", 500, None, {"num_beams": "4"}, {"ja": {"length_penalty": "1.2"}})
+    assert found["results"] == {"en->ja": {"chrf": 29.5, "leak": None}, "ja->en": {"chrf": 30.0}}
+    (tmp_path / "results").mkdir()
+    (tmp_path / "results" / "v1-flores.json").write_text(text)
+    assert {(r["direction"], r["metric"], r["value"]) for r in readers.result_files(spark, str(tmp_path / "results"), "v1").collect()} == {tuple(r) for r in scores.collect()}
+
+    intervals = spark.createDataFrame([("base", "v1", "en2ja", 10, 0.12345, 0.01, 0.2, 0.99, False), ("base", "v2", "en2ja", 10, -0.5, -0.7, 0.1, 0.1, True)], "a string, b string, direction string, n long, delta double, ci_lo double, ci_hi double, p_b_better double, crosses_zero boolean")
+    writers.write_named(writers.bootstrap_records(intervals), str(tmp_path / "boot"))
+    named = {r["name"]: json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "boot")).collect()}
+    assert named["base__v1__en2ja"]["delta"] == 0.1235 and named["base__v1__en2ja"]["better"] == "b" and named["base__v2__en2ja"]["better"] == "none"
+
+    ranking = spark.createDataFrame([(2, "x", 29.0), (1, "y", 30.0)], "rank int, candidate string, mean double")
+    cells = spark.createDataFrame([("x", "chrf", 29.0), ("y", "chrf", 30.0)], "candidate string, metric string, value double")
+    found = json.loads(writers.ranking_report(ranking, cells).first()["json"])
+    assert [c["candidate"] for c in found["ranking"]] == ["y", "x"] and found["cells"] == {"x": {"chrf": 29.0}, "y": {"chrf": 30.0}}
+
+    pairs = spark.createDataFrame([(1, "en->ja", "It rained.", "據報導，下雨了。"), (2, "en->ja", "One.\nTwo.", "一。")], "k int, direction string, src string, tgt string")
+    both = detect.both_orientations(spark.createDataFrame([("It rained.", "據報導，下雨了。", "en", "zhtw")], "a string, b string, lang_a string, lang_b string")).withColumnRenamed("tgt_lang", "direction")
+    found = json.loads(writers.audit_report(detect.audit_counts(pairs, "direction"), detect.audit_denominators(pairs, "direction"), detect.audit_samples(pairs, "k"), detect.audit_counts(both, "direction"), skipped=3).first()["json"])
+    assert found["totals"] == {"en->ja": 2} and found["counts"]["en->ja"]["D/多行壓扁"] == 1 and found["replay_skipped"] == 3
+    assert found["denominators"]["en->ja"]["multi_line"] == 1 and found["samples"]["D/多行壓扁"][0]["k"] == 2 and found["raw"]["zhtw"] == {"A/narrate:據報導": 1}
+
+    rows = spark.createDataFrame([(2, ["loop"], []), (1, [], ["RTX"])], "id int, found array<string>, keep array<string>")
+    found = json.loads(writers.defect_report(detect.defect_summary(rows), rows).first()["json"])
+    assert found["summary"]["n"] == 2 and found["summary"]["with_defects"] == 1 and [r["id"] for r in found["rows"]] == [1, 2]
+
+
+def test_files_of_pairs_and_cases(spark, tmp_path):
+    spark.createDataFrame([("hello", "你好")], "sourceString string, targetString string").write.parquet(str(tmp_path / "pairs"))
+    assert [tuple(r) for r in readers.parquet_pairs(spark, str(tmp_path / "pairs")).collect()] == [("hello", "你好")]
+    (tmp_path / "cases.json").write_text(json.dumps({"cases": [{"case_id": "c1", "source": "a.txt", "targets": ["en", "ja"]}, {"case_id": "c2", "source": "b.txt", "targets": []}]}, indent=1))
+    assert sorted(map(tuple, readers.case_manifest(spark, str(tmp_path / "cases.json")).collect())) == [("c1", "a.txt", "en"), ("c1", "a.txt", "ja")]
+
+
+def test_leak_shares_are_scored_again(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "d string, leak_pct double")
+    got = convert.rescored(frame([("a", 1.0), ("b", 2.0), ("c", None)]), frame([("a", 1.0), ("b", 2.5), ("c", 3.0)]), "d").collect()
+    assert sorted((r["d"], r["old"], r["new"], r["delta"]) for r in got) == [("b", 2.0, 2.5, 0.5), ("c", None, 3.0, None)]
+
+
+def test_upper_medians_of_groups(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice([None, 1.0, 2.5, 7.0, rng.random()])) for k in "abc" for _ in range(rng.randrange(1, 30))] + [("d", None)]
+    got = {r["k"]: r["m"] for r in spark.createDataFrame(rows, "k string, x double").groupBy("k").agg(metrics.upper_median("x").alias("m")).collect()}
+    for k in "abcd":
+        own = sorted(x for g, x in rows if g == k and x is not None)
+        assert got[k] == (own[len(own) // 2] if own else None)
+
+
+def test_hashed_grams_equal_slices(spark):
+    from collections import Counter
+
+    from siftwright.functions import grams
+
+    rng = random.Random(6)
+    texts = [None, "", "ab", "aaaaaaaaaaaa", "日本語日本語日本語"] + ["".join(rng.choice("abc \n") for _ in range(rng.randrange(200))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, texts[-1 - i]) for i, t in enumerate(texts)], "id int, t string, o string").repartition(3)
+    got = {r["id"]: r for r in docs.select("id", grams.repeated_share(F.col("t"), 3).alias("share"), grams.top_window(F.col("t"), 3).alias("top"), grams.character_overlaps(F.col("t"), F.col("o"), 2).alias("c"), grams.word_overlaps(F.split("t", " "), F.split("o", " "), 2).alias("w")).collect()}
+    for i, t in enumerate(texts):
+        windows = [t[k : k + 3] for k in range(len(t or "") - 2)] if t else []
+        assert got[i]["share"] == (None if t is None else pytest.approx(1 - len(set(windows)) / len(windows)) if windows else 0.0)
+        best = max(windows, key=lambda w: (windows.count(w), -windows.index(w)), default=None)
+        assert tuple(got[i]["top"]) == (windows.count(best) if best else 0, best)
+        for name, of in (("c", lambda x: x or ""), ("w", lambda x: [] if x is None else x.split(" "))):
+            for n, cell in enumerate(got[i][name], 1):
+                a, b = (Counter(tuple(u[k : k + n]) for k in range(len(u) - n + 1)) for u in (of(t), of(texts[-1 - i])))
+                assert tuple(cell) == (n, (a & b).total(), a.total(), b.total())
+
+
 def test_sources_of_other_layouts(spark):
     judged = spark.createDataFrame([("a", "b", True, True), ("c", "d", True, False)], "english string, japanese string, model1_accepted boolean, model2_accepted boolean")
     assert [tuple(r) for r in readers.judged_pairs(judged).collect()] == [("a", "b")]
@@ -298,6 +404,7 @@ def test_broadcast_of_the_evaluation_set(spark):
     lines = spark.createDataFrame([("x",)], "line string")
     plan = clean.mark_contaminated(spark.createDataFrame([("x",), ("y",)], "a string"), lines, "a")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Python" not in plan
+    assert clean._bounded(lines, 10) is lines
 
 
 def test_stream_keeps_each_pair_once(spark, tmp_path):
