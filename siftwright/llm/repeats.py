@@ -257,7 +257,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", crowd: int = CROWD)
     folded = anchors.groupBy("key").agg(F.first("n_bytes").alias("n_bytes"), F.count("*").alias("copies"), F.first(F.arrays_zip("h", "start", "n")).alias("segments"))
     folded = stage_table(folded, "repeat-anchors")
     each = folded.select("key", F.explode("segments").alias("s")).select("key", "s.*")
-    often = each.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1").select("h")
+    # aggregates that join their own input are written first, so that a join may split a value that very many rows share
+    often = stage_table(each.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1").select("h"), "repeat-often")
     places = each.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "start", "n")).alias("segments"))
     cut = distinct_texts(docs, text_col).join(stage_table(places, "repeat-places"), "key")
     cut = stage_table(cut.select("key", "text", "segments").mapInArrow(_cut, "key binary, h long, start int, content binary, data binary"), "repeat-segments")
@@ -265,7 +266,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", crowd: int = CROWD)
     crowded = stage_table(contents.groupBy("h").agg(F.count("*").alias("many")).filter(F.col("many") > crowd).select("h"), "repeat-crowded")
     sorted_ = contents.join(crowded, "h", "left_anti").select("h", "content", "data", "n").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_contents, "content binary, a int, b int")
     windows = contents.join(crowded, "h", "left_semi").select("content", "data", "n").mapInArrow(_windows, "content binary, window binary, spot int, n long")
-    twice = windows.groupBy("window").agg(F.sum("n").alias("many")).filter("many > 1").select("window")
+    twice = stage_table(windows.groupBy("window").agg(F.sum("n").alias("many")).filter("many > 1").select("window"), "repeat-twice")
     dealt = windows.filter("n = 1").join(twice, "window").groupBy("content").agg(F.min("spot").alias("a"), (F.max("spot") + LENGTH).alias("b"))
     whole = contents.filter("n > 1").select("content", F.lit(0).alias("a"), F.length("data").alias("b"))
     covered = stage_table(sorted_.unionByName(dealt).unionByName(whole), "repeat-covered")
@@ -299,18 +300,18 @@ def _cleaned(docs: DataFrame, spans: DataFrame, text_col: str) -> DataFrame:
     return distinct_texts(docs, text_col).join(parts, "key").select("key", "text", "spans").mapInArrow(_keep, "key binary, spans array<struct<a:int,b:int>>, kept binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """(doc_id, spans, kept): for every row the removed byte ranges, merged and in order, and the bytes that remain."""
-    spans = repeated_spans(docs, text_col)
+    spans = repeated_spans(docs, text_col, crowd)
     cleaned = _cleaned(docs, spans, text_col).unionByName(spans.filter("copies > 1").select("key", F.array(F.struct(F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("b"))).alias("spans"), F.lit(b"").alias("kept")))
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("key"), text.alias("own"))
     return rows.join(cleaned, "key", "left").select("doc_id", F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"), F.coalesce("kept", "own").alias("kept"))
 
 
-def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; only digests meet the rows, never bytes."""
-    spans = repeated_spans(docs, text_col)
+    spans = repeated_spans(docs, text_col, crowd)
     cleaned = _cleaned(docs, spans, text_col).select("key", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"]).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     copies = spans.filter("copies > 1").select("key", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
     found = stage_table(cleaned.unionByName(copies), "repeat-digests")

@@ -621,16 +621,11 @@ def test_repeats_match_brute_force(spark, crowd):
     docs = clashing(docs_of(spark, texts))
     spans = repeats.repeated_spans(docs, crowd=crowd)
     expected = slow_repeats(texts)
-    before = repeats.CROWD
-    try:
-        found = {r["doc_id"]: tuple(r)[1:] for r in repeats.repeat_digests(docs).collect()} if crowd == before else None
-    finally:
-        pass
-    if found is not None:
-        assert [found[i] for i in range(len(texts))] == expected
-        kept = {r["doc_id"]: r for r in repeats.remove_repeats(docs).collect()}
-        assert [hashlib.sha256(kept[i]["kept"]).hexdigest() for i in range(len(texts))] == [e[3] for e in expected]
-        assert [sum(s["b"] - s["a"] for s in kept[i]["spans"]) for i in range(len(texts))] == [e[1] for e in expected]
+    found = {r["doc_id"]: tuple(r)[1:] for r in repeats.repeat_digests(docs, crowd=crowd).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+    kept = {r["doc_id"]: r for r in repeats.remove_repeats(docs, crowd=crowd).collect()}
+    assert [hashlib.sha256(kept[i]["kept"]).hexdigest() for i in range(len(texts))] == [e[3] for e in expected]
+    assert [sum(s["b"] - s["a"] for s in kept[i]["spans"]) for i in range(len(texts))] == [e[1] for e in expected]
     by_key = {bytes(r["key"]): r for r in spans.collect()}
     for text, (n, removed, _, _) in zip(texts, expected, strict=True):
         row = by_key.get(hashlib.sha256((text or "").encode()).digest()[:16])
@@ -645,6 +640,40 @@ def test_repeats_match_brute_force(spark, crowd):
             assert len(covered) == removed
 
 
+def test_pieces_change_no_anchor(monkeypatch):
+    from siftwright.llm import repeats
+
+    rng = random.Random(21)
+    texts = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (0, 199, 200, 201, 900, 5000)]
+
+    def anchors():
+        out = {}
+        for text, h, first, many in zip(*map(np.ndarray.tolist, repeats.anchor_segments(texts)), strict=True):
+            for w in range(first, first + many):
+                assert (text, w) not in out
+                out[text, w] = h
+        return out
+
+    whole = anchors()
+    assert set(whole) == {(i, w) for i, t in enumerate(texts) for w in range(len(t) - 199)}
+    for piece in (200, 300, 1000):
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        assert anchors() == whole
+
+
+def test_repeats_in_very_long_texts(spark):
+    from siftwright.llm import repeats
+
+    rng = random.Random(22)
+    noise = lambda n: rng.randbytes(n // 2).hex()
+    passage = noise(400)
+    long = noise(1_048_376) + passage + noise(1_500_000) + passage[:200] + noise(10)
+    docs = docs_of(spark, [long, noise(100) + passage[100:350] + noise(100)])
+    got = {r["doc_id"]: [(s["a"], s["b"]) for s in r["spans"]] for r in repeats.remove_repeats(docs).collect()}
+    at = long.index(passage[:200], 2_000_000)
+    assert got == {0: [(1_048_376, 1_048_726), (at, at + 200)], 1: [(100, 350)]}
+
+
 def test_repeats_of_an_empty_table(spark, empty):
     from siftwright.llm.repeats import repeat_digests
 
