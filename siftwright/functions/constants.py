@@ -87,12 +87,16 @@ TAG_PREFIXES = (
 )
 NAMES = r"(?U)\b(?:[A-Z][a-zA-Z]*[0-9]+[a-zA-Z0-9]*|[A-Z]{2,}[0-9]*|[A-Z][a-z]{2,})\b"
 STRICT_NAMES = r"(?U)\b(?:[A-Z]{2,}[0-9]*|[A-Za-z]{1,10}[0-9]+[a-zA-Z]*)\b"
-STRICT_STOP = "I A OK TV US UK UN AM PM MR DR AND THE OF IN TO IS IT NO ON OR SO BE".split()
+STRICT_STOP = (
+    "I", "A", "OK", "TV", "US", "UK", "UN", "AM", "PM", "MR", "DR", "AND", "THE", "OF", "IN", "TO", "IS", "IT", "NO", "ON", "OR", "SO", "BE",
+)
 NAME_STOP = (
-    "The This That These Those There Then They Their And But For You Your Our His Her Its She One When What Where Which While With Who Why How "
-    "After Before All Any Are Can Did Does Each Even Every From Had Has Have Here However Into Just Like Many May More Most Not Now Only Other "
-    "Some Such Than Was Were Will Would Should Could Also Because Been Being Between Both During Under Over Same Since Still Thus Too Very Well Yes Yet"
-).split()
+    "The", "This", "That", "These", "Those", "There", "Then", "They", "Their", "And", "But", "For", "You", "Your", "Our", "His", "Her", "Its", "She",
+    "One", "When", "What", "Where", "Which", "While", "With", "Who", "Why", "How", "After", "Before", "All", "Any", "Are", "Can", "Did", "Does",
+    "Each", "Even", "Every", "From", "Had", "Has", "Have", "Here", "However", "Into", "Just", "Like", "Many", "May", "More", "Most", "Not", "Now",
+    "Only", "Other", "Some", "Such", "Than", "Was", "Were", "Will", "Would", "Should", "Could", "Also", "Because", "Been", "Being", "Between",
+    "Both", "During", "Under", "Over", "Same", "Since", "Still", "Thus", "Too", "Very", "Well", "Yes", "Yet",
+)
 YEARS_WIDE, YEARS_NARROW = r"(?:1[89]|20)\d{2}", r"(?:19|20)\d{2}"
 #: Characters that simplification merged but that are standard in Taiwan. Fixed values.
 TAIWAN_VARIANTS = "群里吃秘床峰游托准干伙岩后征采痴斗台杰划岳皂唇占雇佣栗筑灶丑朴"

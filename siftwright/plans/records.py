@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwright.functions import constants as K
 from siftwright.operators import convert, curate, detect, metrics, replay
-from siftwright.plans.base import Catalog, table
+from siftwright.plans.base import Catalog, literal, table
 from siftwright.plans.corpus import PAIRS
 from siftwright.sources import writers
 
@@ -166,3 +167,98 @@ def united_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources of different columns as one."""
     docs = table(spark, sf_dir, "documents")
     return curate.unite(docs.select("lang", "source"), docs.select(F.lit("all").alias("lang"))).groupBy("lang").agg(F.count("*").alias("n"), F.count("source").alias("with_source"))
+
+
+#: Whole words that look like names: a pattern between word boundaries is a maximal run of word characters.
+WORDS = "string_split(regexp_replace({t}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g'), ' ')"
+NAME_WORDS = f"list_filter({WORDS}, lambda w: length(w) >= 2 AND regexp_full_match(w, '[A-Z][a-zA-Z]*[0-9]+[a-zA-Z0-9]*|[A-Z]{{{{2,}}}}[0-9]*|[A-Z][a-z]{{{{2,}}}}') AND NOT list_contains({literal(list(K.NAME_STOP))}, w))"
+STRICT_WORDS = f"list_filter({WORDS}, lambda w: length(w) >= 2 AND regexp_full_match(w, '[A-Z]{{{{2,}}}}[0-9]*|[A-Za-z]{{{{1,10}}}}[0-9]+[a-zA-Z]*') AND NOT list_contains({literal(list(K.STRICT_STOP))}, upper(w)))"
+NAMED = f"SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'The RTX4090 and GPT4. ' WHEN 2 THEN 'OK NASA, ' ELSE '' END || prompt AS s, CASE WHEN conv_id % 2 = 0 THEN 'RTX4090, NASA: ' ELSE '' END || reply AS t FROM ({PAIRS})"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.when(F.col("turn") % 4 == 0, "The RTX4090 and GPT4. ").when(F.col("turn") % 4 == 2, "OK NASA, ").otherwise("")
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.concat(mark, "prompt").alias("s"), F.concat(F.when(F.col("conv_id") % 2 == 0, "RTX4090, NASA: ").otherwise(""), "reply").alias("t"))
+
+
+@query(f"""
+WITH p AS ({NAMED}), n AS (SELECT *, {NAME_WORDS.format(t='s')} AS names, {STRICT_WORDS.format(t='s')} AS strict FROM p)
+SELECT conv_id, turn, len(names) > 0 AND len(list_filter(names, lambda x: contains(t, x))) = 0 AS all_lost, len(list_filter(strict, lambda x: NOT contains(t, x))) > 0 AS strict_lost FROM n
+""")
+def lost_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all names, or any strict name, of a prompt are missing in the reply."""
+    s, t = F.col("s"), F.col("t")
+    return _named(spark, sf_dir).select("conv_id", "turn", detect.all_names_lost(s, t).alias("all_lost"), detect.any_strict_lost(s, t).alias("strict_lost"))
+
+
+@query(f"""
+WITH p AS ({NAMED}) SELECT conv_id % 4 AS g, count(*) AS n, count(*) FILTER (WHERE len({NAME_WORDS.format(t='s')}) > 0) AS with_names, count(*) FILTER (WHERE len({STRICT_WORDS.format(t='s')}) > 0) AS with_strict,
+  count(*) FILTER (WHERE contains(trim(s, ' ' || chr(10)), chr(10))) AS multi_line FROM p GROUP BY conv_id % 4
+""")
+def name_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many prompts have names, strict names and several lines."""
+    return detect.audit_denominators(_named(spark, sf_dir).withColumn("g", F.col("conv_id") % 4), "g", src="s", tgt="t")
+
+
+LABELS = ("說明：", "註：", "Note: ", "1. ", "圖 3. ", "選擇：", "據報導，", "", "答：")
+LABELLED = f"SELECT conv_id, turn, CASE WHEN turn % 6 = 0 THEN 'Note: ' ELSE '' END || prompt AS s, ({literal(list(LABELS))})[CAST((conv_id + turn) % {len(LABELS)} + 1 AS INT)] || reply AS t FROM ({PAIRS})"
+
+
+@query(f"""
+WITH p AS ({LABELLED}) SELECT conv_id, turn, unnest(list_filter([{', '.join(f"CASE WHEN regexp_matches(t, {literal(pattern.replace('(?U)', ''))}) THEN 'A/{name}' END" for name, pattern in K.INVENTED_LABELS)}], lambda x: x IS NOT NULL)) AS hit
+FROM p WHERE NOT regexp_matches(string_split(s, chr(10))[1], {literal(K.SOURCE_LABEL.replace('(?iuU)', '(?i)'))})
+""")
+def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that replies have and their prompts have not, over pairs that a rule labelled."""
+    label = F.element_at(F.array(*map(F.lit, LABELS)), ((F.col("conv_id") + F.col("turn")) % len(LABELS) + 1).cast("int"))
+    p = _pairs(spark, sf_dir).select("conv_id", "turn", F.concat(F.when(F.col("turn") % 6 == 0, "Note: ").otherwise(""), "prompt").alias("s"), F.concat(label, "reply").alias("t"))
+    return p.select("conv_id", "turn", F.explode(detect.invented_labels(F.col("s"), F.col("t"))).alias("hit"))
+
+
+@query(f"""
+WITH p AS (SELECT conv_id, turn, prompt AS s, CASE turn % 8 WHEN 0 THEN '' WHEN 2 THEN trim(prompt, ' ' || chr(10)) WHEN 4 THEN reply || ' 1987' ELSE left(reply, 40) END AS o FROM ({PAIRS})),
+f AS (SELECT *, CASE WHEN o = '' THEN ['empty'] ELSE list_filter([
+  CASE WHEN NOT contains(o, 'la') THEN 'keep' END,
+  CASE WHEN len(string_split(s, chr(10))) > 1 AND len(list_filter(string_split(o, chr(10)), lambda x: trim(x) <> '')) < len(string_split(s, chr(10))) THEN 'lines' END,
+  CASE WHEN o = trim(s, ' ' || chr(10)) THEN 'echo' END,
+  CASE WHEN len(list_filter(regexp_extract_all(o, '(?:19|20)[0-9]{{2}}'), lambda y: NOT list_contains(regexp_extract_all(s, '(?:19|20)[0-9]{{2}}'), y))) > 0 THEN 'year' END,
+  CASE WHEN length(o) / length(s) < 0.3 OR length(o) / length(s) > 3.0 THEN 'len' END], lambda x: x IS NOT NULL) END AS found FROM p)
+SELECT conv_id, turn, found FROM f
+""")
+def defect_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of defects of replies that a rule changed, but for loops, whose pattern the other engine lacks."""
+    stripped = F.trim(F.regexp_replace("prompt", "^[ \n]+|[ \n]+$", ""))
+    out = F.when(F.col("turn") % 8 == 0, "").when(F.col("turn") % 8 == 2, stripped).when(F.col("turn") % 8 == 4, F.concat("reply", F.lit(" 1987"))).otherwise(F.left("reply", F.lit(40)))
+    p = _pairs(spark, sf_dir).select("conv_id", "turn", F.col("prompt").alias("s"), out.alias("o"))
+    found = detect.defects(F.col("s"), F.col("o"), F.array(F.lit("la")))
+    classes = F.transform(F.filter(found, lambda x: ~x.startswith("loop") & ~x.startswith("tag")), lambda x: F.substring_index(x, ":", 1))
+    return p.select("conv_id", "turn", classes.alias("found"))
+
+
+REQUEST = "(['Translate to English:', '翻譯成日文：', 'Translate to Traditional Chinese (Taiwan):', 'Tell me:'])[CAST(turn % 4 + 1 AS INT)] || chr(10) || (['', '漢', 'かな'])[CAST(conv_id % 3 + 1 AS INT)] || text"
+
+
+@query(f"""
+WITH r AS (SELECT conv_id, turn, {REQUEST} AS u FROM conversations), h AS (SELECT *, string_split(u, chr(10))[1] AS head, substr(u, strpos(u, chr(10)) + 1) AS body FROM r),
+d AS (SELECT *, CASE {' '.join(f"WHEN list_contains({literal(list(options))}, head) THEN '{lang}'" for lang, options in K.TEMPLATES.items())} END AS tgt_lang FROM h)
+SELECT conv_id, turn, CASE WHEN tgt_lang IS NOT NULL THEN CASE WHEN regexp_matches(body, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches(body, '[一-鿿]') THEN 'zhtw' ELSE 'en' END END AS src_lang, tgt_lang FROM d
+""")
+def request_direction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions of requests made of every message."""
+    head = F.element_at(F.array(*map(F.lit, ("Translate to English:", "翻譯成日文：", "Translate to Traditional Chinese (Taiwan):", "Tell me:"))), (F.col("turn") % 4 + 1).cast("int"))
+    mark = F.element_at(F.array(*map(F.lit, ("", "漢", "かな"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    d = detect.direction_of(F.concat(head, F.lit("\n"), mark, "text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", d["src_lang"].alias("src_lang"), d["tgt_lang"].alias("tgt_lang"))
+
+
+@query(f"""
+WITH p AS (SELECT conv_id, turn, prompt AS q, CASE turn % 3 WHEN 0 THEN '漢' || reply WHEN 1 THEN reply || '?' ELSE reply END AS a FROM ({PAIRS})),
+t AS (SELECT *, trim(q, ' ' || chr(10)) AS p, trim(a, ' ' || chr(10)) AS r FROM p),
+c AS (SELECT *, length(r) / greatest(length(p), 1) AS ratio, length(regexp_replace(r, '[^A-Za-z一-鿿぀-ヿ]', '', 'g')) AS letters,
+  [regexp_matches(p, '[一-鿿]'), length(regexp_replace(p, '[^A-Za-z]', '', 'g')) > length(p) * 0.3] AS sp, [regexp_matches(r, '[一-鿿]'), length(regexp_replace(r, '[^A-Za-z]', '', 'g')) > length(r) * 0.3] AS sr FROM t)
+SELECT conv_id, turn, ratio BETWEEN 0.4 AND 2.5 AND letters >= 5 AND (sp <> sr OR ends_with(r, '？') OR ends_with(r, '?')) AS mere FROM c
+""")
+def mere_translation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that only look like their prompt translated."""
+    a = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("漢"), "reply")).when(F.col("turn") % 3 == 1, F.concat("reply", F.lit("?"))).otherwise(F.col("reply"))
+    return _pairs(spark, sf_dir).select("conv_id", "turn", detect.mere_translation(F.col("prompt"), a).alias("mere"))
