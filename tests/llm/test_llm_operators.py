@@ -820,6 +820,33 @@ def test_pipeline_stages(spark, empty):
     assert 0 < out.count() <= clean.count() and {"doc_id", "text", "taken"} <= set(out.columns)
 
 
+@pytest.fixture(scope="module")
+def odd_documents(spark):
+    """Null ids, texts and sources, repeated rows and ids, very long texts, and columns named like the stages' own."""
+    texts = [*ODD, "same words here in this text", "same words here in this text", "other words there in that text", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" here', None]
+    docs = docs_of(spark, texts, [None, 1, 1, None, 4, 5, 6, 6, 7, 8, None])
+    docs = clashing(docs.unionByName(docs.filter("doc_id = 6 or doc_id is null")))
+    for name in ("id", "root", "part", "copies", "text_", "taken", "source_size", "target", "cut", "held", "item", "words", "rest", "_digest_of_text"):
+        docs = docs.withColumn(name, F.lit("x")) if name != "_digest_of_text" else docs
+    return docs
+
+
+def test_stages_take_odd_documents(spark, odd_documents):
+    import corpus_pipeline as pipeline
+
+    sf, before = "/root/testdata/sf0.001", odd_documents.count()
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, odd_documents, sf)
+        rows = out.collect()
+        assert out.columns == odd_documents.columns and 0 < len(rows) <= before, name
+        if name == "simhash_near_dedup":  # empty texts, two kinds of short ones, emoji, the long one, the two texts, the key
+            assert len(rows) == len({(r["text"] or "").strip() for r in odd_documents.collect()})
+        if name == "secret_scan":
+            assert len(rows) == before and [r["text"] for r in rows if r["doc_id"] == 8] == ['token = "[SECRET]" here'] and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    mixed = pipeline.mix(spark, odd_documents, sf)
+    assert mixed.count() == before and all(0 <= r["taken"] <= 3 * r["size"] for r in mixed.select("size", "taken").collect())
+
+
 def test_items_in_texts_shorter_than_the_item(spark):
     from siftwright.llm.decontaminate import contaminated, decontaminate
 
