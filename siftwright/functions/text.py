@@ -15,12 +15,12 @@ from siftwright.functions import constants as K
 
 @F.arrow_udf(StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+    return pa.array([None if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition. ASCII rows cross as nulls and keep their own value."""
-    other = text.rlike(r"[^\x00-\x7F]")
+    """Canonical composition. Characters below U+0300 never change by it; rows of them alone cross as nulls and keep their own value."""
+    other = text.rlike(r"[^\x{0}-\x{2FF}]")
     return F.coalesce(_nfc(F.when(other, text)), text)
 
 
