@@ -10,8 +10,8 @@ the conversation's first system message and with the last `context_turns` turn n
 every turn is seen in its dialogue; what a part repeats is rendered but in no mask, so each turn is trained on once.
 
 Defined cases: null or blank roles are the speaker `unknown`; null texts are empty messages; messages without a turn
-number form a last part of their own (part null), ordered by speaker and text, behind the first system message; rows that repeat a message (same
-conversation, turn, speaker and text) are one message; rows without a conversation are dialogues of one message; a
+number have no place in a dialogue and are dialogues of one message (part null), as are rows without a conversation;
+rows that repeat a message (same conversation, turn, speaker and text) are one message; a
 conversation of system messages only has no participant and gives no row; `<|` inside texts and names is written
 `< |`, and a double quote in a name as a single one, so that no text can forge a mark.
 """
@@ -30,7 +30,7 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     base = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.when(speaker == "", "unknown").otherwise(speaker).alias("speaker"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).distinct()
-    base = base.withColumn("lone", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "speaker", "text")))
+    base = base.withColumn("lone", F.when(F.col("conv_id").isNull() | F.col("turn").isNull(), F.xxhash64("turn", "speaker", "text")))
     first = F.min(F.when(F.col("speaker") == system, F.struct(F.col("turn").isNull(), "turn", "speaker", "text")))
     people = base.groupBy("conv_id", "lone").agg(F.array_sort(F.collect_set(F.when(F.col("speaker") != system, F.col("speaker")))).alias("people"), first.alias("head"))
     people = people.select(F.col("conv_id").alias("c"), F.col("lone").alias("l"), "people", "head")
@@ -40,7 +40,7 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     said = F.struct(F.coalesce("turn", F.lit(0)).alias("turn"), "speaker", "text", F.col("to.fresh").alias("fresh"))
     parts = base.groupBy("conv_id", "lone", F.col("to.part").alias("part")).agg(F.array_sort(F.collect_list(said)).alias("turns"), F.max("to.fresh").alias("any")).filter("any")
     both = parts.join(people, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("lone").eqNullSafe(F.col("l")))
-    earlier = F.when(F.col("part").isNull(), F.col("head.turn").isNotNull()).otherwise(F.col("head.turn") < F.col("part") * part_turns - context_turns)
+    earlier = F.col("head.turn") < F.col("part") * part_turns - context_turns
     head = F.array(F.struct(F.col("head.turn").alias("turn"), F.col("head.speaker").alias("speaker"), F.col("head.text").alias("text"), F.lit(False).alias("fresh")))
     both = both.withColumn("turns", F.when(F.coalesce(earlier, F.lit(False)), F.concat(head, "turns")).otherwise(F.col("turns")))
     rows = both.select("conv_id", "part", "turns", F.explode("people").alias("perspective"))
