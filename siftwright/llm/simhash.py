@@ -180,16 +180,13 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_
     rows that agree in both, any one.
     """
     digest = text_digest(F.col(text_col))
-    named = docs.select(F.col(id_col).alias("id"), digest.alias("c")).groupBy("id", "c").agg(F.count("*").alias("copies"))
-    first = named.join(groups, "c").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "c", "copies")).alias("f"))
-    keep = stage_table(first.select("f.id", "f.c", "f.copies"), "keep")
-    rows = docs.withColumn("_digest_of_text", digest)
-
-    def kept(which: DataFrame) -> DataFrame:
-        return rows.join(which, rows[id_col].eqNullSafe(which["id"]) & (rows["_digest_of_text"] == which["c"]), "left_semi")
-
-    more = kept(keep.filter("copies > 1")).dropDuplicates([id_col, "_digest_of_text"])
-    return kept(keep.filter("copies = 1")).unionByName(more).drop("_digest_of_text")
+    named = docs.select(F.col(id_col).alias("id"), digest.alias("c")).groupBy("id", "c").agg(F.lit(0).alias("_"))
+    first = named.join(groups, "c").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "c")).alias("f"))
+    row_key = lambda id_, c: F.unhex(F.md5(F.concat(c, F.coalesce(F.encode(id_.cast("string"), "utf-8"), F.lit(b"")), F.when(id_.isNull(), b"\x01").otherwise(b"\x00"))))
+    keep = stage_table(first.select(row_key(F.col("f.id"), F.col("f.c")).alias("_key_of_row")), "keep")
+    # copies of a row fold before and in the one exchange of the rows; what is kept grows with them, so the join is the same at every size
+    rows = docs.withColumn("_key_of_row", row_key(F.col(id_col), digest)).dropDuplicates(["_key_of_row"])
+    return rows.join(keep.hint("merge"), "_key_of_row", "left_semi").drop("_key_of_row")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
