@@ -93,7 +93,8 @@ def _lookup(table: DataFrame, probes: DataFrame, radius: int, dense: int) -> tup
     by = ["seg", "key"]
     heavy = stage_table(table.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(*by), "simhash-heavy")
     near = (F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
-    pairs = probes.join(table.join(heavy, by, "left_anti"), by).filter(near).select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")).distinct()
+    # sizes of exploded rows are estimated far too low, so neither side may be broadcast
+    pairs = probes.hint("merge").join(table.join(heavy, by, "left_anti").hint("merge"), by).filter(near).select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")).distinct()
     return pairs, table.join(heavy, by, "left_semi").select("fp").distinct()
 
 
