@@ -88,11 +88,27 @@ def _longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(str(v - (1 << 64) if v >> 63 else v) for v in values)), ",").cast("array<long>")
 
 
-def _lookup(table: DataFrame, probes: DataFrame, radius: int, dense: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (u, v) within the radius that meet in a bucket of at most `dense`, fingerprints (fp) of larger buckets)."""
+def _first_equal(x: Column, segments: list[tuple[int, int]], many: int) -> Column:
+    """The bits of the first `many` segments in which x is zero."""
+    found, chosen = F.lit(0), F.lit(0).cast("long")
+    for shift, width in segments:
+        bits = ((1 << width) - 1) << shift
+        mask = F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+        zero = x.bitwiseAND(mask) == 0
+        chosen = F.when(zero & (found < many), chosen.bitwiseOR(mask)).otherwise(chosen)
+        found = found + F.when(zero, 1).otherwise(0)
+    return chosen
+
+
+def _lookup(table: DataFrame, probes: DataFrame, radius: int, dense: int, also: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs (u, v) within the radius that meet in a bucket of at most `dense`, fingerprints (fp) of larger buckets).
+
+    also is a further condition on a pair (fp, other) in a bucket.
+    """
     by = ["seg", "key"]
     heavy = stage_table(table.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(*by), "simhash-heavy")
     near = (F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
+    near = near if also is None else near & also
     # sizes of exploded rows are estimated far too low, so neither side may be broadcast
     pairs = probes.hint("merge").join(table.join(heavy, by, "left_anti").hint("merge"), by).filter(near).select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")).distinct()
     return pairs, table.join(heavy, by, "left_semi").select("fp").distinct()
@@ -124,8 +140,10 @@ def links(classes: DataFrame, radius: int = 4, parts: int = 3, dense: int = DENS
     if crowd.isEmpty():
         return found
     sums = [sum((1 << w) - 1 << s for s, w in chosen) for chosen in combinations(_segments(FINE), FINE - radius)]
-    fine = crowd.repartition(tasks, "fp").select("fp", F.posexplode(_longs(sums)).alias("seg", "mask")).select("fp", "seg", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    more, rest = _lookup(fine, fine.withColumnRenamed("fp", "other"), radius, dense)
+    fine = crowd.repartition(tasks, "fp").select("fp", F.posexplode(_longs(sums)).alias("seg", "mask")).select("fp", "seg", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    # a pair counts in the first choice on which it agrees, once; if that bucket is crowded, both go on
+    once = (F.col("fp") > F.col("other")) & (F.col("mask") == _first_equal(F.col("fp").bitwiseXOR(F.col("other")), _segments(FINE), FINE - radius))
+    more, rest = _lookup(fine, fine.select(F.col("fp").alias("other"), "seg", "key"), radius, dense, once)
     rest = stage_table(rest, "simhash-rest")
     found = found.unionByName(more)
     return found if rest.isEmpty() else found.unionByName(midpoint_stars(rest.repartition(tasks, "fp"), radius))
