@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import mixing, perspectives
+from siftwright.llm import collocations, lexical, mixing, perspectives, urlrules
 from siftwright.llm.common import read_documents
 
 
@@ -80,8 +80,25 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.lexical import rank_documents
+
+    return rank_documents(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urlrules.RULES, "host string, path string, verdict string")
+    return urlrules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwright.llm.collocations import mine_collocations
+
+    return mine_collocations(read_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_language_id, op3_secret_scan, op4_chat_perspectives, op5_token_counts, op6_simhash_neardup, op7_telephony_audio, op8_decontaminate, op9_suffix_repeats, op10_mix_sources)
+    for f in (op11_lexical_search, op12_url_rules, op13_collocations, op1_toxicity, op2_language_id, op3_secret_scan, op4_chat_perspectives, op5_token_counts, op6_simhash_neardup, op7_telephony_audio, op8_decontaminate, op9_suffix_repeats, op10_mix_sources)
 }
-ORACLE_SQL: dict[str, str] = {"op4_chat_perspectives": perspectives.ORACLE, "op10_mix_sources": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_chat_perspectives": perspectives.ORACLE, "op10_mix_sources": mixing.ORACLE, "op11_lexical_search": lexical.ORACLE, "op12_url_rules": urlrules.ORACLE, "op13_collocations": collocations.ORACLE}
