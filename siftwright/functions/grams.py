@@ -79,31 +79,11 @@ def repeated_share(text: Column, n: int) -> Column:
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        h, owner = _windows(*_points(texts), n)
-        total = np.bincount(owner, minlength=len(texts))
-        _, first = np.unique(h, return_index=True)
-        again = total - np.bincount(owner[first], minlength=len(texts))
-        return pa.array(again / np.maximum(total, 1), mask=np.array([not t.is_valid for t in texts], bool))
-
-    return run(text)
-
-
-def top_window(text: Column, n: int) -> Column:
-    """Struct (n, item) of the most frequent n characters in a row of a text; of equals the first; (0, null) without any."""
-
-    @F.arrow_udf("struct<n:int,item:string>")
-    def run(texts: pa.Array) -> pa.Array:
-        h, owner = _windows(*_points(texts), n)
-        _, first, many = np.unique(h, return_index=True, return_counts=True)
-        order = np.lexsort((first, -many, owner[first]))
-        row = owner[first][order]
-        head = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
-        base = np.searchsorted(owner, np.arange(len(texts)))
-        counts, items = np.zeros(len(texts), np.int32), [None] * len(texts)
-        for k in head.tolist():
-            i, at = int(row[k]), int(first[order[k]])
-            counts[i], start = many[order[k]], at - int(base[i])
-            items[i] = texts[i].as_py()[start : start + n]
-        return pa.StructArray.from_arrays([pa.array(counts), pa.array(items, pa.string())], names=["n", "item"])
+        shares = np.zeros(len(texts))
+        for i, t in enumerate(texts.to_pylist()):
+            points = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            h = np.sort(_windows(points, np.zeros(len(points), np.int64), n)[0])
+            shares[i] = np.count_nonzero(h[1:] == h[:-1]) / max(len(h), 1)
+        return pa.array(shares, mask=np.array([not t.is_valid for t in texts], bool))
 
     return run(text)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwright.functions import constants as K
 from siftwright.functions import grams as G
 from siftwright.functions import text as T
+from siftwright.functions.loops import LEAST_STATS, loop_report, repetition_loop
 
 
 def _hits(*pairs: tuple[str, Column]) -> Column:
@@ -86,23 +87,6 @@ def tag_prefix(src: Column, out: Column) -> Column:
     return F.coalesce(*[F.when(out.rlike(p) & ~src.rlike(p), F.lit(n)) for n, p in K.TAG_PREFIXES])
 
 
-def repetition_loop(text: Column) -> Column:
-    """A block of 4 to 24 characters repeated at once, else a 6-gram that comes three times; null without."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
-    block = F.regexp_extract(t, r"(?s)(.{4,24}?)\1+", 1)
-    placed = F.sort_array(F.transform(T.character_grams(t, 6), lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    # in order of gram and place, the third of a gram is the one that makes it a loop; the earliest such place counts
-    start = F.struct(F.lit("").alias("g"), F.lit(0).alias("n"), F.lit(1 << 30).alias("at"), F.lit(None).cast("string").alias("found"))
-
-    def step(s, x):
-        n = F.when(s["g"] == x["g"], s["n"] + 1).otherwise(1)
-        wins = (n == 3) & (x["i"] < s["at"])
-        return F.struct(x["g"].alias("g"), n.alias("n"), F.when(wins, x["i"]).otherwise(s["at"]).alias("at"), F.when(wins, x["g"]).otherwise(s["found"]).alias("found"))
-
-    gram = F.aggregate(placed, start, step, lambda s: s["found"])
-    return F.when(F.length(t) < 16, None).when(block != "", block).otherwise(gram)
-
-
 def defects(src: Column, out: Column, keep: Column, low: float = 0.3, high: float = 3.0) -> Column:
     """Defects of an output: an empty one has only that; length bounds are parameters, since scripts differ."""
     nonblank = F.size(F.filter(F.split(out, "\n"), lambda x: T.strip(x) != ""))
@@ -118,57 +102,25 @@ def defects(src: Column, out: Column, keep: Column, low: float = 0.3, high: floa
     return F.when(F.coalesce(out, F.lit("")) == "", F.array(F.lit("empty"))).otherwise(found)
 
 
-def top_repeat(values: Column) -> Column:
-    """Struct (n, item) of the most frequent element of an array; of equals the one that comes first."""
-    first = lambda v: F.struct(F.least(F.size(v), F.lit(1)).alias("n"), F.get(v, F.lit(0)).alias("item"))
-    return T.let(values, lambda v: F.when(T.repeats(v) == 0, first(v)).otherwise(_top_run(v)))
-
-
-def _top_run(values: Column) -> Column:
-    """As top_repeat, by one fold over the sorted elements."""
-    placed = F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
-    entry = lambda n, before, item: F.struct(n.alias("n"), before.alias("before"), item.alias("item"))
-    start = F.struct(F.lit(None).cast("string").alias("v"), entry(F.lit(0), F.lit(0), F.lit(None).cast("string")).alias("run"), entry(F.lit(0), F.lit(0), F.lit(None).cast("string")).alias("best"))
-
-    def step(s, x):
-        run = F.when(s["v"] == x["v"], entry(s["run"]["n"] + 1, s["run"]["before"], x["v"])).otherwise(entry(F.lit(1), -x["i"], x["v"]))
-        return F.struct(x["v"].alias("v"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
-
-    return F.aggregate(placed, start, step, lambda s: F.struct(s["best"]["n"].alias("n"), s["best"]["item"].alias("item")))
-
-
-def loop_stats(text: Column, least: int = 12) -> Column:
-    """Struct of repetition statistics of a text; texts under `least` characters have none."""
-    sentences = F.filter(F.transform(F.split(text, r"(?U)(?<=[。．.!?\n])\s*"), T.strip), lambda s: F.length(s) >= 8)
-    lines = F.filter(F.split(text, r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"), lambda x: T.strip(x) != "")
-    found = F.struct(
-        top_repeat(sentences).alias("sentence"),
-        G.top_window(text, 20).alias("window"),
-        F.size(lines).alias("lines"),
-        T.repeats(lines).alias("again"),
-    )
-    short = F.length(text) < least
-
-    # four equal blocks of twelve characters or more hold some 20-character window three times: other texts need no search
-    blocks = F.size(F.regexp_extract_all(text, F.lit(r"(.{12,80}?)\1{3,}"), F.lit(1)))
+def loop_stats(text: Column, least: int = LEAST_STATS) -> Column:
+    """Struct of repetition statistics of a text; texts under `least` characters have none, and of null the length is null."""
 
-    def report(x, multi):
-        sentence, window = x["sentence"], x["window"]
-        unique = (x["lines"] - x["again"]) / F.greatest(x["lines"], F.lit(1))
-        flag = (sentence["n"] >= 4) | (window["n"] >= 8) | (multi > 0) | ((sentence["n"] >= 3) & (F.length(sentence["item"]) >= 12))
-        worst = F.when(sentence["n"] >= window["n"], sentence["item"]).otherwise(window["item"])
+    def report(x):
+        short = F.coalesce(F.length(text) < least, F.lit(True))
+        flag = (x["sentence_n"] >= 4) | (x["window_n"] >= 8) | (x["blocks"] > 0) | ((x["sentence_n"] >= 3) & (F.length(x["sentence"]) >= 12))
+        worst = F.when(x["sentence_n"] >= x["window_n"], x["sentence"]).otherwise(x["window"])
         return F.struct(
-            F.when(short, 0).otherwise(F.greatest(sentence["n"], window["n"])).alias("max_phrase_count"),
+            F.when(short, 0).otherwise(F.greatest(x["sentence_n"], x["window_n"])).alias("max_phrase_count"),
             F.when(short, "").otherwise(F.coalesce(F.left(worst, F.lit(80)), F.lit(""))).alias("worst_phrase"),
-            F.when(short, 1.0).otherwise(unique).alias("unique_line_ratio"),
+            F.when(short, 1.0).otherwise(x["different_lines"] / F.greatest(x["lines"], F.lit(1))).alias("unique_line_ratio"),
             F.when(short, False).otherwise(F.coalesce(flag, F.lit(False))).alias("loop_flag"),
             F.length(text).alias("chars"),
-            F.when(short, 0).otherwise(sentence["n"]).alias("max_sentence_count"),
-            F.when(short, 0).otherwise(window["n"]).alias("max_window20_count"),
-            F.when(short, 0).otherwise(multi).alias("regex_multi_repeat"),
+            F.when(short, 0).otherwise(x["sentence_n"]).alias("max_sentence_count"),
+            F.when(short, 0).otherwise(x["window_n"]).alias("max_window20_count"),
+            F.when(short, 0).otherwise(x["blocks"]).alias("regex_multi_repeat"),
         )
 
-    return T.let(found, lambda x: T.let(F.when(x["window"]["n"] >= 3, blocks).otherwise(0), lambda multi: report(x, multi)))
+    return T.let(loop_report(text), report)
 
 
 def repeat_ratio(text: Column, n: int = 8) -> Column:

@@ -129,13 +129,6 @@ def loop_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("s.chars").cast("long").alias("chars"), F.col("s.max_window20_count").cast("long").alias("window20"), F.round("s.unique_line_ratio", 6).alias("unique_lines"))
 
 
-@query()
-def loop_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents loop; the pattern needs back-references, which the other engine lacks."""
-    s = detect.loop_stats(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).filter("s.loop_flag").select("doc_id", "s.max_phrase_count", "s.regex_multi_repeat")
-
-
 @query("""
 WITH g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(length(text) - 7, 0) + 1), lambda i: substr(text, i, 8))) AS s FROM documents),
 r AS (SELECT doc_id, 1 - count(DISTINCT s) / count(*) AS ratio FROM g GROUP BY doc_id)
