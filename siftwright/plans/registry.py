@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from siftwright.plans import corpus, decisions, evaluation, loops, records, relational
+from siftwright.plans import corpus, decisions, evaluation, files, loops, records, relational
 from siftwright.plans.base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (corpus.CATALOG, evaluation.CATALOG, loops.CATALOG, decisions.CATALOG, records.CATALOG, relational.CATALOG):
+for part in (corpus.CATALOG, evaluation.CATALOG, loops.CATALOG, files.CATALOG, decisions.CATALOG, records.CATALOG, relational.CATALOG):
     QUERIES |= part.queries
     ORACLE_SQL |= part.sql

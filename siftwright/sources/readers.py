@@ -1,12 +1,13 @@
 """Sources with explicit schemas: numbered lines, pairs, multiparallel texts, conversation trees, result files.
 
-Line numbers are physical: one file is numbered by a zip with its index, which keeps the order of its splits and costs
-one count of each split; ids that only grow would break runs of consecutive lines.
+Line numbers are physical. A task reads the lines of a split in their order, so a line's place in its split is its
+distance from the split's first row; splits are counted, and prefix sums of the counts tell where each begins. Lines
+never leave the JVM and are not sorted; what is joined to them is one row for each split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions import constants as K
@@ -22,11 +23,20 @@ def corpora(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "corpus string, lang_a string, lang_b string, domain string, one_way_src string, documents boolean")
 
 
+def numbered_files(spark: SparkSession, path: str, *by: str) -> DataFrame:
+    """(file, lineno, line) of all text files at a path, numbered from 0 by file, or with by=() over all files in order of
+    their paths. Lines end at line feeds only; a carriage return or another separator belongs to its line."""
+    scan = spark.read.option("lineSep", "\n").text(path)
+    lines = scan.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    ahead = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    return lines.join(splits, ["file", "_split"]).select("file", (F.col("_before") + F.col("_at") - F.col("_first")).alias("lineno"), "line")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(lineno, line) of one text file, in file order from 0. Lines end at line feeds only."""
-    text = spark.read.option("lineSep", "\n").text(path)
-    indexed = text.rdd.map(lambda r: r[0]).zipWithIndex()
-    return spark.createDataFrame(indexed.map(lambda x: (x[1], x[0])), "lineno long, line string")
+    """(lineno, line) of a text file, or of the part files of a folder one after the other, in order from 0."""
+    return numbered_files(spark, path).select("lineno", "line")
 
 
 def bitext_file(spark: SparkSession, path: str, corpus: str, lang_a: str, lang_b: str) -> DataFrame:
@@ -157,7 +167,7 @@ def log_series(log: DataFrame, key: str) -> DataFrame:
     return log.filter(F.col(key).isNotNull()).select("step", F.col(key).alias("value"))
 
 
-def case_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(case_id, source, target): one row for each target of each case."""
-    raw = spark.read.schema("cases array<struct<case_id:string,source:string,targets:array<string>>>").option("multiLine", True).json(path)
+def case_manifest(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
+    """(case_id, source, target): one row for each target of each case, of files that are one document or one a line."""
+    raw = spark.read.schema("cases array<struct<case_id:string,source:string,targets:array<string>>>").option("multiLine", one_document).json(path)
     return raw.select(F.explode("cases").alias("c")).select("c.case_id", "c.source", F.explode("c.targets").alias("target"))

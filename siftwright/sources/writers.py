@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,23 @@ def write_json(document: DataFrame, path: str, mode: str = "overwrite") -> None:
     document.select("json").coalesce(1).write.mode(mode).text(path)
 
 
+def write_report(document: DataFrame, path: str) -> None:
+    """A report of one row (json) as a file of just this name, so that a reader finds it by its name."""
+    spark, aside = document.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    document.select("json").coalesce(1).write.text(aside)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(of(aside)) if f.getPath().getName().startswith("part-"))
+    fs.delete(of(path), False)
+    fs.rename(part, of(path))
+    fs.delete(of(aside), True)
+
+
+def write_manifests(cases: DataFrame, path: str, by: Column, mode: str = "overwrite") -> None:
+    """Cases (case_id, source, targets) as JSON documents, one a line for each value of `by`, which bounds their size."""
+    cases.groupBy(by.alias("_by")).agg(F.array_sort(F.collect_list(F.struct("case_id", "source", "targets"))).alias("cases")).select("cases").write.mode(mode).json(path)
+
+
 def run_result(scores: DataFrame, tag: str, benchmark: str, n: int, model: str | None = None, adapter: str | None = None, gen: dict | None = None, defaults: dict | None = None) -> DataFrame:
     """One row (json) of a run's result from scores (direction, metric, value): what was run and each direction's metrics."""
     by_direction = scores.groupBy("direction").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("m"))
