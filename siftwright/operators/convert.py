@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import constants as K
 from siftwright.functions import text as T
+from siftwright.functions.automaton import Replacer
 
 LARGEST_DICTIONARY = 500_000
 
@@ -26,40 +27,23 @@ def read_dictionary(entries: DataFrame) -> dict[str, str]:
 
 
 def converter(characters: dict[str, str], phrases: dict[str, str] | None = None) -> Callable[[Column], Column]:
-    """A conversion expression. Without phrases it is one translate(); with them an Arrow function matches the longest."""
+    """A conversion expression. Without phrases it is one translate(); with them an automaton takes the longest of each place."""
     if not phrases:
         source = "".join(characters)
         target = "".join(characters.values())
         if any(len(k) != 1 or len(v) != 1 for k, v in characters.items()):
             return converter({}, characters)
         return lambda text: F.translate(text, source, target)
-    words = {**characters, **phrases}
-    longest = max(map(len, words))
-    heads = {w[0] for w in words}
-
-    def one(text: str) -> str:
-        out, at = [], 0
-        while at < len(text):
-            if text[at] in heads:
-                for n in range(min(longest, len(text) - at), 0, -1):
-                    found = words.get(text[at : at + n])
-                    if found is not None:
-                        out.append(found)
-                        at += n
-                        break
-                else:
-                    out.append(text[at])
-                    at += 1
-            else:
-                out.append(text[at])
-                at += 1
-        return "".join(out)
-
-    @F.arrow_udf("string")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string())
-
-    return run
+    replacer = Replacer({**characters, **phrases})
+
+    def converted(text: Column) -> Column:
+        @F.arrow_udf("string")
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array(replacer.replace(texts.to_pylist()), pa.string())
+
+        return run(text)
+
+    return converted
 
 
 def changed_by(convert: Callable[[Column], Column]) -> Callable[[Column], Column]:
