@@ -8,7 +8,7 @@ takes time in proportion to its length and to the entries' lengths, whatever the
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -62,12 +62,13 @@ class Trie:
                 check[at], value[at] = spot[node], ends[child]
         self.base, self.check, self.value = base, check, value
 
-    def longest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(length, entry) of the longest entry that begins at each place; length 0 without one."""
+    def matches(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places, entries) of all entries that begin at each place, by ascending length."""
+        if not len(self.letters):
+            return
         letter = np.searchsorted(self.letters, points)
         letter[letter == len(self.letters)] = 0
-        letter = np.where(self.letters[letter] == points, letter + 1, 0).astype(np.int32) if len(self.letters) else np.zeros(len(points), np.int32)
-        length, entry = np.zeros(len(points), np.int32), np.full(len(points), -1, np.int32)
+        letter = np.where(self.letters[letter] == points, letter + 1, 0).astype(np.int32)
         place = np.flatnonzero(letter)
         state, depth = np.zeros(len(place), np.int32), 0
         while len(place):
@@ -79,9 +80,16 @@ class Trie:
             depth += 1
             ends = self.value[state]
             found = ends >= 0
-            length[place[found] + 1 - depth], entry[place[found] + 1 - depth] = depth, ends[found]
+            if found.any():
+                yield depth, place[found] + 1 - depth, ends[found]
             inside = place + 1 < len(points)
             place, state = place[inside] + 1, state[inside]
+
+    def longest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, entry) of the longest entry that begins at each place; length 0 without one."""
+        length, entry = np.zeros(len(points), np.int32), np.full(len(points), -1, np.int32)
+        for depth, place, found in self.matches(points):
+            length[place], entry[place] = depth, found
         return length, entry
 
 

@@ -1,12 +1,15 @@
-"""Queries of conversion with dictionaries that the tables themselves give."""
+"""Queries of conversion and segmentation with dictionaries that the tables themselves give."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.operators import convert
+from siftwright.functions import segment
+from siftwright.operators import convert, metrics, replay
 from siftwright.plans.base import Catalog, table
+from siftwright.plans.corpus import PAIRS
+from siftwright.plans.records import BLEU
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -95,3 +98,62 @@ def rescored_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda n: convert.leak_by_set(docs.withColumn("t", F.left("text", F.lit(n))), characters, "source", hyp="t")
     out = convert.rescored(share(200), share(100), "source")
     return out.select("source", *[F.round(c, 6).alias(c) for c in ("old", "new", "delta")])
+
+
+#: Words of prompts and replies that occur three times or more, with costs; what they are cut from are the same texts without blanks.
+TOKENS = f"""
+sides AS MATERIALIZED (SELECT row_number() OVER () AS id, prompt, reply FROM ({PAIRS})),
+vocabulary AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(prompt || ' ' || reply), '[a-zß-öø-ÿ]{{{{1,12}}}}')) AS w FROM sides) GROUP BY w HAVING count(*) >= 3),
+costs AS (SELECT w, CAST(floor(1000 * ln((SELECT sum(n) FROM vocabulary) / n)) AS BIGINT) AS cost FROM vocabulary),
+texts AS (SELECT id, 'h' AS side, regexp_replace(lower(reply), '[ \\n]', '', 'g') AS t FROM sides UNION ALL SELECT id, 'r', regexp_replace(lower(prompt), '[ \\n]', '', 'g') FROM sides),
+pieces AS MATERIALIZED (SELECT row_number() OVER () AS k, id, side, j, p FROM (SELECT id, side, unnest(q) AS p, unnest(range(len(q))) AS j FROM (SELECT id, side, regexp_extract_all(t, '[^.,;:!?]+|[.,;:!?]') AS q FROM texts))),
+starts AS (SELECT k, p, unnest(range(1, length(p) + 1)) AS i FROM pieces),
+words AS (SELECT k, i, m, substr(p, i, m) AS w FROM (SELECT *, unnest(range(1, 13)) AS m FROM starts) WHERE i + m - 1 <= length(p)),
+edges AS MATERIALIZED (SELECT k, i + m - 1 AS stop, list({{{{'m': m, 'c': CASE WHEN m = 1 THEN least(coalesce(cost, 20000), 20000) ELSE cost END}}}}) AS es FROM words LEFT JOIN costs USING (w) WHERE m = 1 OR cost IS NOT NULL GROUP BY k, i + m - 1),
+-- the state of a piece: the place, the costs up to the last twelve places, the lengths of the last words of all paths
+walk AS (
+  SELECT k, 0::BIGINT AS t, [0::BIGINT] AS recent, []::BIGINT[] AS back FROM pieces
+  UNION ALL
+  SELECT k, t + 1, list_prepend(b[1], recent[1:11]), list_append(back, -b[2]) FROM (
+    SELECT w.*, list_min(list_transform(es, lambda e: (recent[e.m] + e.c, -e.m))) AS b FROM walk w JOIN edges e ON e.k = w.k AND e.stop = w.t + 1)),
+ends AS MATERIALIZED (SELECT w.k, id, side, j, p, back FROM walk w JOIN pieces q ON q.k = w.k AND w.t = length(q.p)),
+cut AS (
+  SELECT k, id, side, j, p, back, length(p) AS z FROM ends
+  UNION ALL SELECT k, id, side, j, p, back, z - back[z] FROM cut WHERE z > 0),
+tokens AS MATERIALIZED (SELECT id, side, list(substr(p, z - back[z] + 1, back[z]) ORDER BY j, z) AS w FROM cut WHERE z > 0 GROUP BY id, side)"""
+
+
+def _segmenter(pairs: DataFrame) -> segment.Segmenter:
+    words = pairs.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "prompt", "reply")), F.lit("[a-zß-öø-ÿ]{1,12}"), F.lit(0))).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).filter("n >= 3")
+    return segment.Segmenter(segment.read_costs(segment.word_costs(counts)), 20_000, None)
+
+
+def _unspaced(column: str):
+    """Without blanks, but for those around marks, which no word holds."""
+    return F.regexp_replace(F.regexp_replace(F.lower(column), "[ \n]", ""), "([.,;:!?])", " $1 ")
+
+
+@query(f"""
+WITH RECURSIVE {TOKENS.format()},
+p AS (SELECT id, max(w) FILTER (WHERE side = 'h') AS h, max(w) FILTER (WHERE side = 'r') AS r FROM tokens GROUP BY id),{BLEU}
+""")
+def bleu_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU of replies beside prompts that lost their blanks, over the words of the cheapest path."""
+    pairs = replay.turn_pairs(table(spark, sf_dir, "conversations"))
+    cut = _segmenter(pairs)
+    rows = pairs.select(segment.tokens_lattice(_unspaced("reply"), cut).alias("hyp_tokens"), segment.tokens_lattice(_unspaced("prompt"), cut).alias("ref_tokens"))
+    return metrics.bleu(rows).select(F.round("bleu", 6).alias("bleu"))
+
+
+@query(f"""
+WITH RECURSIVE {TOKENS.format()}
+SELECT c.conv_id, c.turn, CAST(len(h.w) AS INT) AS n_reply, md5(array_to_string(h.w, ' ')) AS reply, CAST(len(r.w) AS INT) AS n_prompt, md5(array_to_string(r.w, ' ')) AS prompt
+FROM (SELECT row_number() OVER () AS id, conv_id, turn FROM ({PAIRS})) c LEFT JOIN tokens h ON h.id = c.id AND h.side = 'h' LEFT JOIN tokens r ON r.id = c.id AND r.side = 'r'
+""")
+def segmented_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the pairs have without their blanks, and which."""
+    pairs = replay.turn_pairs(table(spark, sf_dir, "conversations"))
+    cut = _segmenter(pairs)
+    rows = pairs.select("conv_id", "turn", segment.tokens_lattice(_unspaced("reply"), cut).alias("h"), segment.tokens_lattice(_unspaced("prompt"), cut).alias("r"))
+    return rows.select("conv_id", "turn", F.size("h").alias("n_reply"), F.md5(F.array_join("h", " ")).alias("reply"), F.size("r").alias("n_prompt"), F.md5(F.array_join("r", " ")).alias("prompt"))
