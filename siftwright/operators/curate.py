@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import constants as K
 from siftwright.functions import text as T
+from siftwright.functions.permute import shuffled_place
 
 
 def alignment_filter(rows: DataFrame, scores: DataFrame | None, least: float = K.ALIGN_MIN, coverage: float = K.ALIGN_COVERAGE) -> DataFrame:
@@ -150,6 +151,26 @@ def dev_split(rows: DataFrame, key: Column, *by: str, n: int = K.DEV_PER_DIRECTI
     return ranked.withColumn("part", F.when(F.col("_rn") <= n, "dev").otherwise("train")).drop("_rn")
 
 
+def placed(rows: DataFrame, key: str, *by: str, seed: int = K.SEED, name: str = "place", total: str = "_n") -> DataFrame:
+    """rows with their place (from 0) in a shuffle of their group, and the group's size.
+
+    The place is computed from the row's rank by key (a number without repeats), so the shuffle itself sorts nothing; a
+    table that has dense numbers already, as lines have, needs no ranks either: see permute.shuffled_place.
+    """
+    ranked = ranks(rows, F.col(key), F.floor(F.col(key) / BLOCK), *by, name="_rn", total=total)
+    return ranked.withColumn(name, shuffled_place(F.col("_rn") - 1, F.col(total), seed)).drop("_rn")
+
+
+def halves_by_place(rows: DataFrame, place: str = "place", total: str = "_n") -> DataFrame:
+    """Adds `forward`: the first half of each shuffled group runs one way, the rest the other."""
+    return rows.withColumn("forward", F.col(place) < F.floor(F.col(total) / 2))
+
+
+def dev_by_place(rows: DataFrame, n: int = K.DEV_PER_DIRECTION, place: str = "place") -> DataFrame:
+    """Adds `part`: dev for the first n places of each shuffled group, train for the rest."""
+    return rows.withColumn("part", F.when(F.col(place) < n, "dev").otherwise("train"))
+
+
 def hold_out(train: DataFrame, frozen: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
     """train without the pairs of a frozen dev set."""
     return train.join(frozen.select(src, tgt).distinct(), [src, tgt], "left_anti")
