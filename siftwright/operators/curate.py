@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from siftwright.functions import constants as K
 from siftwright.functions import text as T
@@ -27,7 +31,7 @@ def alignment_filter(rows: DataFrame, scores: DataFrame | None, least: float = K
     return joined.filter(F.coalesce("_score", F.lit(0.0)) >= least).drop("_score")
 
 
-#: Line numbers from which a run of lines is cut, so that no group of rows grows with its file.
+#: Numbers that are ranked together, so that no task sorts a whole group.
 BLOCK = 65_536
 
 
@@ -72,27 +76,39 @@ def islands(rows: DataFrame, *by: str, line: str = "lineno", sides: tuple[str, .
 def build_documents(rows: DataFrame, *by: str, seed: int = K.SEED, least: int = K.DOC_MIN, most: int = K.DOC_MAX, line: str = "lineno", sides: tuple[str, ...] = ("a", "b")) -> DataFrame:
     """(by..., island, part, n_lines, first_line, sides joined by line ends): runs cut into pieces of a hashed length.
 
-    A piece takes `least`..`most` rows by the hash of its corpus, run and start; a rest under `least` is left out.
-    The fold runs inside one row for each run; a run also ends at every BLOCK-th line number, so no row grows with a file.
+    A piece takes `least`..`most` rows by the hash of its group, run and start; a rest under `least` is left out. Each run
+    is a partition of a table function that reads its rows in order and holds one piece at a time, however long the run.
     """
-    block = F.floor(F.col(line) / BLOCK).alias("_block")
-    runs = islands(rows, *by, line=line, sides=sides).groupBy(*by, "island", block).agg(F.array_sort(F.collect_list(F.struct(F.col(line).alias("_line"), *sides))).alias("_run")).filter(F.size("_run") >= least)
-    n = F.size("_run")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("pieces"))
-
-    def step(state, _):
-        left = n - state["at"]
-        drawn = (F.pmod(T.h32(seed, *[F.col(c) for c in by], F.col("island"), state["at"]), F.lit(most - least + 1)) + least).cast("int")
-        take = F.least(drawn, left)
-        more = F.struct((state["at"] + take).alias("at"), F.concat(state["pieces"], F.array(F.struct(state["at"].alias("at"), take.alias("n")))).alias("pieces"))
-        return F.when(left >= least, more).otherwise(state)
-
-    pieces = F.aggregate(F.sequence(F.lit(1), F.ceil(n / least).cast("int")), start, step, lambda s: s["pieces"])
-    cut = runs.select(*by, "island", "_run", F.posexplode(pieces).alias("part", "_piece"))
-    rows_of = F.slice("_run", F.col("_piece.at") + 1, F.col("_piece.n"))
-    side = lambda name: F.array_join(F.transform(rows_of, lambda r: r[name]), "\n").alias(name)
-    joined = [side(s) for s in sides]
-    return cut.select(*by, "island", "part", F.col("_piece.n").alias("n_lines"), F.element_at("_run", F.col("_piece.at") + 1)["_line"].alias("first_line"), *joined)
+    mark = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("island").cast("string"))
+    runs = islands(rows, *by, line=line, sides=sides).select(*by, "island", mark.alias("_mark"), F.col(line).cast("long").alias("_line"), *sides)
+    typed = ", ".join(f"`{c}` {runs.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{typed}{', ' if by else ''}island long, part int, n_lines int, first_line long, {', '.join(f'`{s}` string' for s in sides)}"
+
+    class Pieces:
+        """The pieces of one run."""
+
+        def __init__(self):
+            self.at, self.part, self.take, self.held = 0, 0, 0, []
+
+        def eval(self, row: Row) -> Iterator[tuple]:
+            if not self.held:
+                drawn = int(hashlib.sha256(f"{row['_mark']}|{self.at}".encode()).hexdigest()[:8], 16)
+                self.take = drawn % (most - least + 1) + least
+            self.held.append(row)
+            if len(self.held) == self.take:
+                yield self._piece()
+
+        def terminate(self) -> Iterator[tuple]:
+            if len(self.held) >= least:
+                yield self._piece()
+
+        def _piece(self) -> tuple:
+            first, n = self.held[0], len(self.held)
+            out = (*[first[c] for c in by], first["island"], self.part, n, first["_line"], *["\n".join(r[s] for r in self.held) for s in sides])
+            self.at, self.part, self.held = self.at + n, self.part + 1, []
+            return out
+
+    return udtf(Pieces, returnType=schema)(runs.asTable().partitionBy(*by, "island").orderBy("_line"))
 
 
 def direction_halves(rows: DataFrame, key: Column, *by: str, seed: int = K.SEED, one_way: dict | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 
@@ -73,6 +74,18 @@ def test_documents_break_at_gaps_and_open_ends(spark):
         assert d["b"].count("\n") == len(lines) - 1 and d["first_line"] == lines[0]
 
 
+def test_long_runs_are_cut_without_loss(spark):
+    rows = spark.range(200_001).select(F.lit("c").alias("corpus"), F.lit(None).cast("int").alias("other"), (F.col("id") + 7).alias("lineno"), F.concat(F.lit("line "), F.col("id").cast("string"), F.lit(".")).alias("a")).repartition(4)
+    docs = curate.build_documents(rows, "corpus", "other", sides=("a",)).orderBy("part").collect()
+    assert [d["part"] for d in docs] == list(range(len(docs)))
+    at = 7
+    for d in docs:
+        drawn = int(hashlib.sha256(f"42|c|{d['island']}|{at - 7}".encode()).hexdigest()[:8], 16) % 13 + 4
+        assert d["first_line"] == at and d["n_lines"] == min(drawn, 200_008 - at) and d["a"].split("\n")[0] == f"line {at - 7}."
+        at += d["n_lines"]
+    assert 200_008 - at < 4
+
+
 def test_ranks_equal_a_window(spark):
     rows = spark.range(500).withColumn("g", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 3))
     got = {r["id"]: (r["rn"], r["n"]) for r in curate.hash_ranks(rows, 1, F.col("id"), "g", total="n").collect()}
