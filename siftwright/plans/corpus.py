@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import constants as K
 from siftwright.functions import text as T
-from siftwright.operators import clean, config, convert, curate, metrics, replay
-from siftwright.plans.base import Catalog, h32_sql, table, values
+from siftwright.operators import clean, curate, metrics, replay
+from siftwright.plans.base import Catalog, h32_sql, table
 from siftwright.sources import readers
 
 CATALOG = Catalog()
@@ -61,80 +61,12 @@ def pair_filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.reason_counts(clean.pair_reasons(pairs).withColumn("corpus", F.lit("conversations")), "corpus").drop("corpus")
 
 
-#: Rows that show every reason, in file order.
-BITEXT = [
-    ("jparacrawl.en-ja.tsv", "en", "ja", "The weather is fine today.\t今日は天気がいいです。", "kept"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "only one column", "bad_format"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "one\ttwo\tthree", "bad_format"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "The weather is fine today.\t今日は天気がいいです。", "dup"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "\t空です。", "empty"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "Same text.\tSame text.", "identical"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "♪ La la la.\tラララ。", "subtitle_noise"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "He left early\t彼は早く帰った。", "punct_asymmetric"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "Open the file API_ KEY now.\t今すぐ鍵のファイルを開いて。", "stray_space"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "A.\t一です。", "length"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "Yes it is.\tはい、それはとても長い長い説明が必要なことなのでここに書いておきます。", "ratio"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "The museum opens at nine.\tThe museum is open.", "lang_mismatch"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "Held out sentence.\t取り置きの文です。", "eval_contaminated"),
-    ("jparacrawl.en-ja.tsv", "en", "ja", "(Anna) HW: - We are here.\t(アンナ)私たちはここにいます。", "kept"),
-    ("kde4.en-zhtw.tsv", "en", "zhtw", "Press %1 to go on.\t按下按鈕繼續。", "preproc_dropped"),
-    ("kde4.en-zhtw.tsv", "en", "zhtw", "Open the window ( main ) .\t開啟 視窗 （ 主要 ） 。", "kept"),
-    ("globalvoices.en-zhtw.tsv", "en", "zhtw", "When the rain came,\t當大雨來臨時，", "preproc_dropped"),
-    ("globalvoices.en-zhtw.tsv", "en", "zhtw", "The rain came in the night.\t大雨在夜裡降臨。", "kept"),
-    ("opensub.en-zhtw.tsv", "en", "zhtw", "[door] Who is there?\t（敲門）誰在外面？", "kept"),
-    ("ted2020.en-zhtw.tsv", "en", "zhtw", "We build small boats.\t我們造小船", "kept"),
-    ("ted2020.en-zhtw.tsv", "en", "zhtw", "We build small boats\t我們造小船", "preproc_dropped"),
-    ("coct.en-zhtw.tsv", "en", "zhtw", "The horse runs.\t马跑得快。", "kept"),
-    ("coct.en-zhtw.tsv", "en", "zhtw", "The dragon sleeps.\t龙睡了。", "simplified_residue"),
-]
-BITEXT_EVAL = ["Held out sentence.", "something else"]
-
-
-def _bitext(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(BITEXT)], "i long, corpus string, lang_a string, lang_b string, line string, expected string")
-    from pyspark.sql import Window
-
-    return rows.withColumn("lineno", F.row_number().over(Window.partitionBy("corpus").orderBy("i")) - 1)
-
-
-def _convert_some(text):
-    return F.translate(text, "马", "馬")
-
-
-@query(f"SELECT corpus, expected AS reason, count(*) AS n FROM {values([(r[0], r[4]) for r in BITEXT], 'corpus, expected')} GROUP BY ALL")
-def pair_filter_chain_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain over rows that show every reason. The dictionary knows 马 only, so 龙 is a simplified rest."""
-    evaluation = spark.createDataFrame([(x,) for x in BITEXT_EVAL], "line string")
-    cleaned = clean.clean_bitext(_bitext(spark), evaluation, convert=_convert_some, simplified=lambda t: t.rlike("[马龙]"))
-    return clean.reason_counts(cleaned, "corpus")
-
-
 @query("""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0B-\\x1F\\x7F\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}\\x{FEFF}]', '', 'g'), '[\\s\\x{85}\\p{Z}]+', ' ', 'g'))) AS sha FROM documents""")
 def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised text of every document (no wide gaps there), by its digest."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize(F.col("text")), 256).alias("sha"))
 
 
-ENDS = [
-    (1, "We build boats.", "我們造船", "en", "zhtw", "We build boats.", "我們造船。"),
-    (2, "We build boats", "我們造船", "en", "zhtw", None, None),
-    (3, "We build boats", "我們造船。", "en", "zhtw", "We build boats.", "我們造船。"),
-    (4, "It ends.", "因為", "en", "zhtw", "It ends.", "因為"),
-    (5, "It ends.", "終わります", "en", "ja", "It ends.", "終わります。"),
-    (6, "It ends.", "終わるから", "en", "ja", "It ends.", "終わるから"),
-    (7, "It ends,", "終わります。", "en", "ja", "It ends,", "終わります。"),
-    (8, "Both end!", "両方終わる！", "en", "ja", "Both end!", "両方終わる！"),
-]
-
-
-@query(f"SELECT id, a, b FROM {values([(r[0], r[5], r[6]) for r in ENDS], 'id, a, b')}")
-def restore_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing sentence ends restored where the other side has one."""
-    rows = spark.createDataFrame([r[:5] for r in ENDS], "id int, x string, y string, la string, lb string")
-    pair = T.restore_pair(F.col("x"), F.col("y"), F.col("la"), F.col("lb"))
-    return rows.select("id", pair["a"].alias("a"), pair["b"].alias("b"))
-
-
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contaminated_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a whole benchmark item."""
@@ -243,17 +175,6 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.take_quota(pool, quota_waterfill(spark, sf_dir), "lang", "source").select("doc_id", "lang", "source")
 
 
-POOLS = [("en", "zhtw", "coct.en-zhtw.tsv", 200_000), ("en", "zhtw", "globalvoices.en-zhtw.tsv", 5_426), ("en", "zhtw", "ted2020.en-zhtw.tsv", 90_000), ("en", "zhtw", "kde4.en-zhtw.tsv", 40_000), ("en", "zhtw", "opus100.en-zh.tsv", 300_000)]
-
-
-@query(f"SELECT corpus, CAST(take AS BIGINT) AS take FROM {values([('coct.en-zhtw.tsv', 17787), ('globalvoices.en-zhtw.tsv', 5426), ('ted2020.en-zhtw.tsv', 15000), ('kde4.en-zhtw.tsv', 12000), ('opus100.en-zh.tsv', 17787)], 'corpus, take')}")
-def recipe_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Takes of one direction's recipe under a limit of 80,000, with pools of known sizes."""
-    recipe = curate.recipe_table(spark, limit=80_000).filter("src_lang = 'en' and tgt_lang = 'zhtw'")
-    ceilings = curate.quota_ceilings(recipe, spark.createDataFrame(POOLS, "src_lang string, tgt_lang string, corpus string, n long"))
-    return curate.waterfill(ceilings, "src_lang", "tgt_lang", budget="sent_budget").select("corpus", "take")
-
-
 @query(f"""SELECT conv_id, turn, CASE WHEN row_number() OVER (PARTITION BY conv_id % 3 ORDER BY sha256(concat_ws('|', 42, conv_id, turn))) <= 20 THEN 'dev' ELSE 'train' END AS part FROM ({PAIRS})""")
 def dev_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty pairs of each of three groups as dev, by hashed order."""
@@ -371,21 +292,6 @@ def corpus_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").cube("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("n_langs"), F.countDistinct(F.xxhash64("text")).alias("n_texts"))
 
 
-SEGMENTS = [("b", i, lang, f"{lang} text {i}") for i in range(3) for lang in ("en", "ja", "zhtw")]
-
-
-@query(f"""
-WITH s AS (SELECT * FROM {values(SEGMENTS, 'bench, seg_id, lang, text')})
-SELECT a.bench, a.seg_id, a.lang AS src_lang, b.lang AS tgt_lang, a.text AS src, CASE WHEN b.lang = 'zhtw' THEN upper(b.text) ELSE b.text END AS tgt
-FROM (SELECT bench, seg_id, lang, CASE WHEN lang = 'zhtw' THEN upper(text) ELSE text END AS text FROM s) a JOIN s b ON a.bench = b.bench AND a.seg_id = b.seg_id AND a.lang <> b.lang
-WHERE a.seg_id < 2
-""")
-def multiparallel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All directions of aligned segments, with a conversion of the Chinese side."""
-    rows = spark.createDataFrame(SEGMENTS, "bench string, seg_id long, lang string, text string")
-    return readers.all_directions(readers.first_segments(rows, 2), F.upper("text"))
-
-
 @query(f"""
 WITH d AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS seg, unnest(string_split(text, chr(10))) AS line, lang FROM documents)
 SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY seg)) AS en_sha, sha256(string_agg(translate(line, 'e', 'E'), chr(10) ORDER BY seg)) AS zh_sha
@@ -398,43 +304,6 @@ def segment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("document_id", F.col("n").cast("long").alias("n"), F.sha2("en", 256).alias("en_sha"), F.sha2("zh", 256).alias("zh_sha"))
 
 
-PROMPTS = [("English", "How do I plant a tree here?", "Dig a hole first."), ("Japanese", "木の植え方を教えてください。", "まず穴を掘ります。"), ("French", "Comment planter ?", "Creusez."), ("Chinese", "請問怎麼種一棵大樹呢？", "請先挖一個很深的洞吧。")]
-
-
-@query(f"SELECT CASE language WHEN 'English' THEN 'en' WHEN 'Japanese' THEN 'ja' ELSE 'zhtw' END AS lang, inputs AS prompt, targets AS reply FROM {values(PROMPTS, 'language, inputs, targets')} WHERE language <> 'French'")
-def prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and completion rows of the known languages."""
-    return replay.prompt_table(spark.createDataFrame(PROMPTS, "language string, inputs string, targets string"))
-
-
-DICTIONARY = {"龙": "龍", "马": "馬", "国": "國"}
-PHRASES = {"软件": "軟體"}
-SCRIPTS = [(1, "中国马"), (2, "软件和龙\n平安"), (3, "臺灣"), (4, "")]
-
-
-@query(f"SELECT id, text FROM {values([(1, '中國馬'), (2, '軟體和龍' + chr(10) + '平安'), (3, '臺灣'), (4, '')], 'id, text')}")
-def script_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversion by phrases and characters of a small dictionary."""
-    run = convert.converter(DICTIONARY, PHRASES)
-    return spark.createDataFrame(SCRIPTS, "id int, text string").select("id", run(F.col("text")).alias("text"))
-
-
-@query(f"""
-WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM {values(SCRIPTS, 'id, text')})
-SELECT count(*) AS n_lines, 100.0 * avg(CASE WHEN regexp_matches(line, '[龙马国]') THEN 1.0 ELSE 0.0 END) AS leak_pct FROM l WHERE trim(line) <> ''
-""")
-def leak_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of lines that a conversion changes."""
-    return convert.leak_by_line(spark.createDataFrame(SCRIPTS, "id int, hyp string"), convert.converter(DICTIONARY))
-
-
-@query(f"SELECT 100.0 * avg(CASE WHEN regexp_matches(text, '[龙马国]') THEN 1.0 ELSE 0.0 END) AS leak_pct FROM {values(SCRIPTS, 'id, text')}")
-def leak_by_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of segments with a simplified-only character."""
-    chars = convert.simplified_only({"龍": "龙"}, DICTIONARY | {"里": "裡"})
-    return convert.leak_by_set(spark.createDataFrame(SCRIPTS, "id int, hyp string"), chars)
-
-
 @query("SELECT lang, count(*) AS seen, count(*) FILTER (WHERE length(trim(text)) BETWEEN 10 AND 4000) AS kept, count(DISTINCT CASE WHEN length(trim(text)) BETWEEN 10 AND 4000 THEN trim(text, ' ' || chr(10)) END) AS distinct_prompts FROM documents GROUP BY lang")
 def replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as prompts with a constant reply: seen, kept and different ones by language."""
@@ -456,18 +325,3 @@ def replay_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.replay_share(table(spark, sf_dir, "documents"), F.col("lang") != "en").withColumn("pct", F.round("pct", 6))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT corpus) AS n_corpora FROM (VALUES ('TED2020'), ('TED2020'), ('OpenSubtitles'), ('WikiMatrix'), ('WikiMatrix'), ('TED2020'), ('Tatoeba'), ('News-Commentary'), ('News-Commentary'), ('GlobalVoices'), ('GlobalVoices'), ('KDE4'), ('KDE4'), ('KFTT'), ('OpenSubtitles'), ('OpenSubtitles')) AS t(corpus)")
-def archive_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many archives of how many corpora there are to fetch."""
-    return config.archives(spark).agg(F.count("*").alias("n"), F.countDistinct("corpus").alias("n_corpora"))
-
-
-OPTIONS = [(i, lang, beams, grams, penalty) for i, beams, penalty in (("baseline_ship", 4.0, 1.2), ("greedy_ship_decode", 1.0, None), ("b4_lp1.0", 4.0, 1.0)) for lang, grams in (("ja", 5.0), ("en", 5.0), ("zhtw", 5.0))]
-
-
-@query(f"SELECT * FROM {values(OPTIONS, 'id, lang, num_beams, grams, length_penalty')}")
-def decode_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Options of three candidates under a run that overrides one setting."""
-    o = F.col("options")
-    rows = config.resolved_options(config.search_grid(spark), {"no_repeat_ngram_size": 5}).filter(F.col("id").isin("baseline_ship", "greedy_ship_decode", "b4_lp1.0"))
-    return rows.select("id", "lang", o["num_beams"].alias("num_beams"), o["no_repeat_ngram_size"].alias("grams"), F.try_element_at(o, F.lit("length_penalty")).alias("length_penalty"))

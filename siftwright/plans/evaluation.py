@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.functions import text as T
-from siftwright.operators import curate, detect, graders, metrics, replay
-from siftwright.operators.panels import GENERAL, INSTRUCTIONS
-from siftwright.plans.base import Catalog, h32_sql, table, values
+from siftwright.operators import curate, detect, metrics, replay
+from siftwright.plans.base import Catalog, h32_sql, table
 from siftwright.plans.corpus import PAIRS
-from siftwright.sources import readers
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -20,33 +18,6 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.turn_pairs(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.col("prompt").alias("src"), F.col("reply").alias("tgt"))
 
 
-#: Source and target rows for the detectors.
-AUDIT = [
-    (1, "Visit NASA in 1999.", "請在 1999 年參觀 NASA。"),
-    (2, "The H200 ships in 2024.", "這款產品在 2025 年出貨。"),
-    (3, "Plain sentence here.", "說明：一般的句子。"),
-    (4, "Note: keep it cold.", "註：請冷藏。"),
-    (5, "First line.\nSecond line.", "一行而已。"),
-    (6, "Anna met Peter.", "安娜見了彼得。"),
-    (7, "One thing only.", "1. 只有一件事。"),
-    (8, "It rained.", "據報導，下雨了。"),
-    (9, "Use GPT4 or HBM3e now.", "現在請用 GPT4 或 HBM3e。"),
-    (10, "All fine.", "圖 3. 一切都好。"),
-]
-
-
-def _audit(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(AUDIT, "id int, src string, tgt string")
-
-
-
-
-@query(f"""SELECT id, list_sort(list_distinct(list_filter(regexp_extract_all(tgt, '(?:1[89]|20)[0-9]{{2}}'), lambda y: NOT list_contains(regexp_extract_all(src, '(?:1[89]|20)[0-9]{{2}}'), y)))) AS years FROM {values(AUDIT, 'id, src, tgt')}""")
-def ghost_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Years of the target that the source lacks."""
-    return _audit(spark).select("id", F.array_sort(detect.ghost_years(F.col("src"), F.col("tgt"))).alias("years"))
-
-
 @query(f"""
 WITH p AS (SELECT conv_id, turn, prompt AS src, reply AS tgt FROM ({PAIRS})), y AS (SELECT *, regexp_extract_all(tgt, '(?:1[89]|20)[0-9]{{2}}') AS yt, regexp_extract_all(src, '(?:1[89]|20)[0-9]{{2}}') AS ys FROM p)
 SELECT conv_id, turn FROM y WHERE len(list_filter(yt, lambda x: NOT list_contains(ys, x))) > 0
@@ -56,64 +27,12 @@ def ghost_year_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).filter(F.size(detect.ghost_years(F.col("src"), F.col("tgt"))) > 0).select("conv_id", "turn")
 
 
-@query(f"""SELECT * FROM {values([(1, False, False), (2, True, True), (3, True, False), (4, True, False), (5, True, False), (6, True, False), (7, False, False), (8, False, False), (9, False, False), (10, False, False)], 'id, all_lost, strict_lost')}""")
-def lost_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether all names, or any strict name, of the source are lost."""
-    return _audit(spark).select("id", detect.all_names_lost(F.col("src"), F.col("tgt")).alias("all_lost"), detect.any_strict_lost(F.col("src"), F.col("tgt")).alias("strict_lost"))
-
-
-@query(f"""SELECT * FROM {values([(3, 'A/label:說明'), (7, 'A/enum:數字'), (8, 'A/narrate:據報導'), (10, 'A/figure:圖N')], 'id, hit')}""")
-def label_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels that the target invented."""
-    return _audit(spark).select("id", F.explode(detect.invented_labels(F.col("src"), F.col("tgt"))).alias("hit"))
-
-
 @query(f"SELECT conv_id, turn FROM ({PAIRS}) WHERE contains(trim(prompt, ' ' || chr(10)), chr(10)) AND NOT contains(trim(reply, ' ' || chr(10)), chr(10))")
 def flat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose many-line prompt has a reply of one line."""
     return _pairs(spark, sf_dir).filter(detect.lines_flattened(F.col("src"), F.col("tgt"))).select("conv_id", "turn")
 
 
-@query(f"""SELECT hit, count(*) AS n FROM {values([(h,) for h in ['B/專名全失', 'B/型名遺失', 'C/憑空年份', 'A/label:說明', 'B/專名全失', 'B/專名全失', 'B/專名全失', 'D/多行壓扁', 'B/專名全失', 'A/enum:數字', 'A/narrate:據報導', 'A/figure:圖N']], 'hit')} GROUP BY hit""")
-def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each audit pattern hits."""
-    return detect.audit_counts(_audit(spark))
-
-
-@query(f"""SELECT count(*) AS n, 7 AS with_names, 3 AS with_strict, 1 AS multi_line FROM {values(AUDIT, 'id, src, tgt')}""")
-def audit_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the shares of the hits refer to."""
-    return detect.audit_denominators(_audit(spark))
-
-
-REQUESTS = [(1, "翻譯成英文：\n你好。"), (2, "Translate to Japanese:\nGood morning."), (3, "Tell me a story."), (4, "翻譯成繁體中文：\nおはよう。"), (5, "Translate to English:")]
-
-
-@query(f"""SELECT * FROM {values([(1, 'zhtw', 'en'), (2, 'en', 'ja'), (3, None, None), (4, 'ja', 'zhtw'), (5, 'en', 'en')], 'id, src_lang, tgt_lang')}""")
-def request_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direction of translation requests by their first line."""
-    d = detect.direction_of(F.col("text"))
-    return spark.createDataFrame(REQUESTS, "id int, text string").select("id", d["src_lang"].alias("src_lang"), d["tgt_lang"].alias("tgt_lang"))
-
-
-OUTPUTS = [
-    (1, "Anna left in 2001.", "安娜在 2001 年離開。", ["2001"]),
-    (2, "Keep RTX here.", "", ["RTX"]),
-    (3, "Keep RTX here now.", "請留在這裡不要走開。", ["RTX"]),
-    (4, "One.\nTwo.\nThree.", "一。二。三。", []),
-    (5, "Same words stay.", "Same words stay.", []),
-    (6, "Say it once only, please do.", "今天天氣很好。今天天氣很好。今天天氣很好。", []),
-    (7, "Short source.", "選擇：短的。1985 與 1950", []),
-]
-
-
-@query(f"""SELECT * FROM {values([(1, []), (2, ['empty']), (3, ['keep:RTX']), (4, ['lines']), (5, ['echo']), (6, ['loop']), (7, ['tag:select', 'year:1950,1985'])], 'id, found').replace('[]', 'CAST([] AS VARCHAR[])')}""")
-def defect_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defects of outputs beside their sources."""
-    rows = spark.createDataFrame(OUTPUTS, "id int, src string, out string, keep array<string>")
-    return rows.select("id", detect.defects(F.col("src"), F.col("out"), F.col("keep")).alias("found"))
-
-
 @query("""
 WITH g AS (SELECT doc_id, n_chars, unnest(range(1, greatest(length(text) - 19, 0) + 1)) AS i, text FROM documents WHERE n_chars >= 12),
 w AS (SELECT doc_id, max(c) AS m FROM (SELECT doc_id, substr(text, i, 20) AS s, count(*) AS c FROM g GROUP BY ALL) GROUP BY doc_id),
@@ -139,16 +58,6 @@ def repeat_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(detect.repeat_ratio(F.col("text")), 6).alias("ratio"))
 
 
-QA = [(1, "台灣最高的山是哪一座？", "What is the highest?"), (2, "How tall is it in metres?", "3952"), (3, "Name the capital of Japan.", "The capital is Tokyo."), (4, "Is it far from here?", "Is it near to there?"), (5, "日本の首都はどこですか。", "首都は東京です。")]
-
-
-@query(f"SELECT * FROM {values([(1, True), (2, False), (3, False), (4, True), (5, False)], 'id, mere')}")
-def mere_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers that only translate the question."""
-    rows = spark.createDataFrame(QA, "id int, q string, a string")
-    return rows.select("id", detect.mere_translation(F.col("q"), F.col("a")).alias("mere"))
-
-
 @query(f"""
 WITH p AS (SELECT string_split(prompt, chr(10)) AS r, string_split(reply, chr(10)) AS h FROM ({PAIRS})),
 v AS (SELECT len(h) / len(r) AS l, CASE WHEN len(r) >= 3 AND length(array_to_string(r[2 * len(r) // 3 + 1 :], '')) > 0
@@ -225,52 +134,6 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", F.round("delta", 6).alias("delta"), F.round("ci_lo", 6).alias("ci_lo"), F.round("ci_hi", 6).alias("ci_hi"), "p_b_better", "crosses_zero")
 
 
-ITEMS = [(1, "zhtw", "1+1?", ["2", "3", "4", "5"], 0), (2, "zhtw", "2+2?", ["1", "4", "6", "8"], 1), (3, "ja", "3+3?", ["1", "2", "6", "8"], 2), (4, "en", "4+4?", ["1", "2", "3", "8"], 3)]
-
-
-@query(f"""
-WITH i AS (SELECT *, unnest(range(4)) AS rotation FROM {values(ITEMS, 'item_id, lang, question, options, gold')})
-SELECT item_id, rotation, list_concat(options[rotation + 1 :], options[: rotation]) AS options, CASE WHEN gold - rotation < 0 THEN gold - rotation + 4 ELSE gold - rotation END AS gold FROM i
-""")
-def mcq_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item in its four rotations."""
-    rows = spark.createDataFrame(ITEMS, "item_id long, lang string, question string, options array<string>, gold int")
-    return metrics.rotations(rows).select("item_id", "rotation", "options", "gold")
-
-
-@query(f"""
-WITH i AS (SELECT lang, (item_id + r) % 4 AS pick, (gold - r + 4) % 4 AS gold FROM (SELECT *, unnest(range(4)) AS r FROM {values(ITEMS, 'item_id, lang, question, options, gold')})),
-l AS (SELECT lang, pick, count(*) AS m, count(*) FILTER (WHERE pick = gold) AS c FROM i GROUP BY ALL)
-SELECT lang, sum(m)::BIGINT AS n, sum(c)::BIGINT AS correct, sum(c) * 100 / sum(m) AS acc, max(m) / sum(m) AS max_letter_share FROM l GROUP BY lang
-""")
-def mcq_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy and share of the most picked letter."""
-    rows = spark.createDataFrame(ITEMS, "item_id long, lang string, question string, options array<string>, gold int")
-    picks = metrics.rotations(rows).withColumn("pick", (F.col("item_id") + F.col("rotation")) % 4)
-    return metrics.choice_scores(picks)
-
-
-@query(f"""SELECT item_id, question || chr(10) || 'A. ' || options[1] || chr(10) || 'B. ' || options[2] || chr(10) || 'C. ' || options[3] || chr(10) || 'D. ' || options[4] AS prompt FROM {values(ITEMS, 'item_id, lang, question, options, gold')}""")
-def mcq_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lettered prompts."""
-    rows = spark.createDataFrame(ITEMS, "item_id long, lang string, question string, options array<string>, gold int")
-    return rows.select("item_id", metrics.choice_prompt(F.col("question"), F.col("options")).alias("prompt"))
-
-
-READING = [("Who came?", "A text.", "Ann", "Bob", "Cid", "Dan", "3")]
-KNOWLEDGE = [("Q1", "a", "b", "c", "d", "B")]
-LISTED = [("Q2", ["e", "f", "g", "h"], 3)]
-
-
-@query(f"SELECT * FROM {values([('Who came?', ['Ann', 'Bob', 'Cid', 'Dan'], 2), ('Q1', ['a', 'b', 'c', 'd'], 1), ('Q2', ['e', 'f', 'g', 'h'], 3), ('Q1', ['a', 'b', 'c', 'd'], 1)], 'question, options, gold')}")
-def choice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading and knowledge items of four layouts in one table."""
-    reading = readers.reading_items(spark.createDataFrame(READING, "question string, flores_passage string, mc_answer1 string, mc_answer2 string, mc_answer3 string, mc_answer4 string, correct_answer_num string")).drop("passage")
-    lettered = spark.createDataFrame(KNOWLEDGE, "question string, A string, B string, C string, D string, answer string")
-    capital = spark.createDataFrame(KNOWLEDGE, "Question string, A string, B string, C string, D string, Answer string")
-    return reading.unionByName(readers.knowledge_items(lettered, spark.createDataFrame(LISTED, "question string, choices array<string>, answer int"), capital))
-
-
 @query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS passed, round(100.0 * avg(quality), 6) AS pct FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
 def accuracy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pass rate by language and in all."""
@@ -315,43 +178,6 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "n", *[F.round(c, 6).alias(c) for c in ("median_score", "under_60", "under_70")])
 
 
-LOGS = [
-    (1, "load\n> Translate:\nHello.\n\n你好。\n[ Prompt: 3 t/s ]", 2, "你好。"),
-    (2, "> Say it\nline one\nline two\n[ Prompt: 1 ]\n", 1, "line one line two"),
-    (3, "> Say it\n[ Prompt: 1 ]", 1, ""),
-    (4, "no prompt here\n[ Prompt: 1 ]", 1, ""),
-    (5, "> cut off\nanswer", 1, ""),
-]
-
-
-@query(f"SELECT id, answer FROM {values([(r[0], r[3]) for r in LOGS], 'id, answer')}")
-def parse_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers in command-line logs."""
-    rows = spark.createDataFrame([r[:3] for r in LOGS], "id int, raw string, n int")
-    return rows.select("id", T.parse_cli_output(F.col("raw"), F.col("n")).alias("answer"))
-
-
-CHUNKS = [(1, "Short one.\n\nShort two."), (2, "A" * 150 + ". " + "B" * 150 + ". " + "C" * 20 + "."), (3, "x" * 700), (4, "  \n\n ")]
-CHUNKED = [(1, 0, "Short one."), (1, 1, "Short two."), (2, 0, "A" * 150 + "."), (2, 1, "B" * 150 + "." + "C" * 20 + "."), (3, 0, "x" * 280), (3, 1, "x" * 280), (3, 2, "x" * 140)]
-
-
-@query(f"SELECT id, pos, chunk FROM {values(CHUNKED, 'id, pos, chunk')}")
-def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs and sentences packed into chunks."""
-    rows = spark.createDataFrame(CHUNKS, "id int, text string")
-    return rows.select("id", F.posexplode(T.split_chunks(F.col("text"))).alias("pos", "chunk"))
-
-
-NUMBERS = [(1, "１，０００ 元"), (2, "about 3,952 m"), (3, "none")]
-
-
-@query(f"SELECT * FROM {values([(1, '1000元', True), (2, 'about3952m', False), (3, 'none', False)], 'id, form, has')}")
-def numeric_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers in answers after normalisation."""
-    form = T.numeric_form(F.col("text"))
-    return spark.createDataFrame(NUMBERS, "id int, text string").select("id", form.alias("form"), form.contains("1000").alias("has"))
-
-
 @query("SELECT event_type, count(*) FILTER (WHERE json_exists(props, '$.k')) AS n FROM events GROUP BY event_type")
 def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose properties have a key."""
@@ -360,49 +186,6 @@ def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(ok & keys.isNotNull()).alias("n"))
 
 
-@query(f"SELECT * FROM {values([(1, 0.5), (3, 0.4)], 'step, value')}")
-def log_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps that have a loss."""
-    return readers.log_series(spark.createDataFrame([(1, 0.5, None), (2, None, 0.7), (3, 0.4, None)], "step int, loss double, eval_loss double"), "loss")
-
-
-#: Answers by (lang, place in the panel) with what they should get; places count from 1 in each language.
-GRADED = [
-    ("en", 1, "red, green, blue", True), ("en", 1, "Sure: red, green, blue", False), ("en", 2, "YES.", True), ("en", 3, "Rain fell. Lamps glowed.", True), ("en", 5, "A hot infusion of fragrant plant bits, drunk daily, brings calm to many.", True),
-    ("en", 6, '{"city": "Taipei", "country": "Taiwan", "x": 1}', True), ("en", 6, '{"city": "Taipei"}', False), ("en", 6, "no json", False), ("en", 24, "2, 4, 6, 8, 10", True), ("en", 24, "1, 2, 3, 4, 5", False), ("en", 1, "", False),
-    ("zhtw", 1, "芒果、香蕉、鳳梨", True), ("zhtw", 22, "一心一意\n三心二意\n五湖四海\n七上八下", True), ("zhtw", 28, "你 好 嗎", True), ("zhtw", 28, "你好嗎", False), ("ja", 27, "テレビ、ラジオ、カメラ", True), ("ja", 27, "テレビ、犬、カメラ", False),
-]
-
-
-@query(f"SELECT id, passed FROM {values([(i, g[3]) for i, g in enumerate(GRADED)], 'id, passed')}")
-def instruction_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers graded by the rules of the instruction panel."""
-    places: dict[str, list[int]] = {}
-    for rule_id, lang, _ in INSTRUCTIONS:
-        places.setdefault(lang, []).append(rule_id)
-    answers = spark.createDataFrame([(i, places[lang][n - 1], text) for i, (lang, n, text, _) in enumerate(GRADED)], "id int, rule_id long, output string")
-    return graders.grade(answers, graders.rules_table(spark, INSTRUCTIONS)).select("id", "passed")
-
-
-#: Answers to items of the general panel by (rule, text) with what they should get.
-KNOWN = [(1, "是玉山。", True), (2, "740 元", True), (2, "七百", False), (12, "H₂O", True), (31, "東京です。", True), (33, "約３，７７６メートル", True), (62, "It is 51.", True), (63, "def f(x): return sum(v for v in x if v % 2 == 0)", True), (60, "O", True), (60, "CO2", False), (88, "Hyper-Text Transfer Protocol", True), (89, "1, 2, 5, 9", True), (90, "", False)]
-
-
-@query(f"SELECT id, passed FROM {values([(i, g[2]) for i, g in enumerate(KNOWN)], 'id, passed')}")
-def general_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers graded by the rules of the general panel."""
-    answers = spark.createDataFrame([(i, rule, text) for i, (rule, text, _) in enumerate(KNOWN)], "id int, rule_id long, output string")
-    return graders.grade(answers, graders.rules_table(spark, GENERAL)).select("id", "passed")
-
-
-@query("SELECT 7 AS n, 6 AS with_defects, 7 AS defects, 1 AS labels, 1 AS lost_words, 1 AS ghost_years, 1 AS lines, 1 AS loops, 0 AS lengths, round(200.0 / 3, 6) AS kept_pct")
-def defect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts over the defect panel's fixture, by hand on the SQL side."""
-    rows = spark.createDataFrame(OUTPUTS, "id int, src string, out string, keep array<string>")
-    out = detect.defect_summary(rows.withColumn("found", detect.defects(F.col("src"), F.col("out"), F.col("keep"))))
-    return out.withColumn("kept_pct", F.round("kept_pct", 6))
-
-
 @query("SELECT l.quality, count(*) AS n, round(avg(d.n_chars / 1000.0) * 100, 6) AS system_score FROM labels l JOIN documents d USING (doc_id) GROUP BY l.quality")
 def system_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of segment scores (made from lengths) by group."""
