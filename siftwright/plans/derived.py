@@ -243,7 +243,7 @@ def defect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _check_sql(kind: str, args: list[str]) -> str:
     """One check as SQL over an answer `a`."""
     t, q, own = "trim(a, ' ' || chr(10))", literal, [str(x) for x in args]
-    pattern = lambda p: q(re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", p.replace("(?U)", "")))
+    pattern = lambda p: q(p.replace("(?U)", ""))
     strip = lambda x, marks: f"regexp_replace({x}, {q(f'[{marks}]+$')}, '')"
     stop, marked = strip(t, "。."), strip(t, "。.！!")
     lines = f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
@@ -271,7 +271,7 @@ def _check_sql(kind: str, args: list[str]) -> str:
         "without_blanks_is": lambda: f"replace({t}, ' ', '') = {q(own[0])}", "json_keys": lambda: f"CASE WHEN json_valid({t}) AND starts_with({t}, '{{') THEN " + " AND ".join(f"list_contains(json_keys({t}), {q(x)})" for x in own) + " ELSE FALSE END",
         "kana": lambda: f"regexp_matches(a, '[{K.KANA}]')", "han": lambda: f"regexp_matches(a, '[{K.HAN_BASIC}]')", "lowercase": lambda: f"{t} = lower({t})", "traditional": lambda: "NOT regexp_matches(a, '[国马]')",
     }
-    return f"coalesce({made[kind]()}, FALSE)"
+    return re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", f"coalesce({made[kind]()}, FALSE)")
 
 
 #: Replies as they are, their beginnings, and short answers in the forms that rules ask for.
