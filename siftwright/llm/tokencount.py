@@ -4,7 +4,8 @@ A text is cut into pre-tokens by the tokenizer's pattern; the byte-pair encoder
 is the sum of theirs. Leaves of the tree hold `LEAF` pre-tokens in a row, inner nodes the characters and tokens below
 them. An edit descends by character sums to the leaves it touches, matches the pattern again from the last pre-token
 that could not see the edit (two characters of look-ahead) until a match starts where an old pre-token started behind
-the edit, and from there on all is as before. Only those pre-tokens are encoded; sums change on the paths above.
+the edit, and from there on all is as before. Only those pre-tokens are encoded: the leaves keep the count of every
+pre-token, so what lies beside the edit keeps its own. Sums change on the paths above.
 
 Counts of single pre-tokens are remembered up to a bound. The vocabulary file is a parameter and is read where the
 work runs.
@@ -51,20 +52,20 @@ class Counter:
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def count(self, pieces: list[str]) -> int:
+    def count(self, pieces: list[str]) -> list[int]:
+        """The tokens of each pre-token; `encoded` adds up for how many this was asked."""
         self.encoded += len(pieces)
-        known, total = self.known, 0
-        get = known.get
+        known, out = self.known, []
         for p in pieces:
-            n = get(p)
+            n = known.get(p)
             if n is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
                 n = len(self.encoding.encode_ordinary(p))
                 if len(p) <= 64:
                     known[p] = n
-            total += n
-        return total
+            out.append(n)
+        return out
 
 
 class TokenTree:
@@ -72,17 +73,19 @@ class TokenTree:
 
     def __init__(self, text: str, counter: Counter):
         self.counter = counter
-        self._build(counter.pieces(text))
+        pieces = counter.pieces(text)
+        self._build(pieces, counter.count(pieces))
 
-    def _build(self, pieces: list[str], counts: list[int] | None = None) -> None:
+    def _build(self, pieces: list[str], counts: list[int]) -> None:
         self.leaves = [pieces[a : a + LEAF] for a in range(0, len(pieces), LEAF)] or [[]]
+        self.counts = [counts[a : a + LEAF] for a in range(0, len(counts), LEAF)] or [[]]
         self.size = 1
         while self.size < len(self.leaves):
             self.size *= 2
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for i, leaf in enumerate(self.leaves):
             self.chars[self.size + i] = sum(map(len, leaf))
-            self.tokens[self.size + i] = self.counter.count(leaf)
+            self.tokens[self.size + i] = sum(self.counts[i])
         for i in range(self.size - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -109,11 +112,11 @@ class TokenTree:
                 node += 1
         return min(node - self.size, len(self.leaves) - 1), start
 
-    def _set(self, leaf: int, pieces: list[str], tokens: int) -> None:
-        self.leaves[leaf] = pieces
+    def _set(self, leaf: int, pieces: list[str], counts: list[int]) -> None:
+        self.leaves[leaf], self.counts[leaf] = pieces, counts
         node = self.size + leaf
         chars = sum(map(len, pieces)) - self.chars[node]
-        tokens -= self.tokens[node]
+        tokens = sum(counts) - self.tokens[node]
         while node:
             self.chars[node] += chars
             self.tokens[node] += tokens
@@ -128,74 +131,68 @@ class TokenTree:
         while first > 0 and (at + len(self.leaves[first][0] if self.leaves[first] else "") + SIGHT > start):
             first -= 1
             at -= self.chars[self.size + first]
-        kept: list[str] = []
-        place = at
+        keep, place = 0, at
         for piece in self.leaves[first]:
             if place + len(piece) + SIGHT > start:
                 break
-            kept.append(piece)
+            keep += 1
             place += len(piece)
-        # old text from place on, one leaf after the other
-        last, until = first, at + self.chars[self.size + first]
-        old = "".join(self.leaves[first][len(kept) :])
-        bounds: set[int] = set()
-        edge = place
-        for piece in self.leaves[first][len(kept) :]:
-            bounds.add(edge)
-            edge += len(piece)
-
-        def more() -> bool:
-            nonlocal last, until, old, edge
-            if last + 1 >= len(self.leaves):
-                return False
-            last += 1
-            for piece in self.leaves[last]:
-                bounds.add(edge)
+        # the old text from place on, up to the leaf that holds the end of the edit; places of old pre-tokens behind the edit
+        bounds: dict[int, tuple[int, int]] = {}
+        last, edge, parts = first, at, []
+
+        def read(leaf: int) -> None:
+            nonlocal edge
+            for k, piece in enumerate(self.leaves[leaf]):
+                if edge >= end:
+                    bounds[edge] = (leaf, k)
                 edge += len(piece)
-            old += "".join(self.leaves[last])
-            until += self.chars[self.size + last]
-            return True
 
-        while until < end and more():
-            pass
+        read(first)
+        parts += self.leaves[first][keep:]
+        while edge < end and last + 1 < len(self.leaves):
+            last += 1
+            read(last)
+            parts += self.leaves[last]
+        old = "".join(parts)
+        head, rest = old[: start - place], old[end - place :]
         shift = len(new) - (end - start)
         fresh: list[str] = []
-        spot = 0  # in the new text from place on
+        spot, step, resume = 0, 1, None  # spot: in the new text from place on
         while True:
             whole = last + 1 >= len(self.leaves)
-            region = old[: start - place] + new + old[end - place :]
-            done = False
+            region = head + new + rest
             for m in self.counter.pattern.finditer(region, spot):
                 before = place + m.start() - shift
-                if m.start() >= start - place + len(new) and before in bounds and before >= end:
-                    done = True
+                if m.start() >= len(head) + len(new) and before in bounds:
+                    resume = bounds[before]
                     break
                 if not whole and m.end() + SIGHT > len(region):
                     break
                 fresh.append(m.group())
                 spot = m.end()
-            if done or whole:
+            if resume is not None or whole:
                 break
-            more()
-        tail: list[str] = []
-        if done:
-            resume, edge = place + spot - shift, at
-            for leaf in range(first, last + 1):
-                for piece in self.leaves[leaf]:
-                    if edge >= resume:
-                        tail.append(piece)
-                    edge += len(piece)
-        pieces = kept + fresh + tail
-        tokens = self.counter.count(fresh)
-        self.counter.encoded -= len(kept) + len(tail)
-        tokens += self.counter.count(kept) + self.counter.count(tail)  # remembered counts of pre-tokens in the same leaves
+            more: list[str] = []
+            for _ in range(step):  # twice as many each time, so that a long pre-token is not matched again leaf by leaf
+                if last + 1 < len(self.leaves):
+                    last += 1
+                    read(last)
+                    more += self.leaves[last]
+            rest += "".join(more)
+            step *= 2
+        pieces, counts = self.leaves[first][:keep] + fresh, self.counts[first][:keep] + self.counter.count(fresh)
+        if resume is not None:
+            leaf, k = resume
+            for i in range(leaf, last + 1):
+                pieces += self.leaves[i][k:]
+                counts += self.counts[i][k:]
+                k = 0
         for leaf in range(first + 1, last + 1):
-            self._set(leaf, [], 0)
-        self._set(first, pieces, tokens)
+            self._set(leaf, [], [])
+        self._set(first, pieces, counts)
         if len(pieces) > 16 * LEAF:
-            seen = self.counter.encoded
-            self._build([p for leaf in self.leaves for p in leaf])
-            self.counter.encoded = seen
+            self._build([p for leaf in self.leaves for p in leaf], [c for leaf in self.counts for c in leaf])
 
 
 @lru_cache(maxsize=2)
