@@ -2,7 +2,8 @@
 
 A pattern proposes candidates: whole runs, eight characters or more, of letters, digits and a few marks (+ / . _ -)
 without the points at their end, that hold a digit, a capital after a small letter, 24 characters or more, a known
-prefix, or stand behind a word such as `password`. What is no secret among them is the forest's to reject; a plain
+prefix, or stand behind a word such as `password`. Behind such a word and a sign, what stands there up to a blank, a
+quote or a bracket is a candidate whatever marks it has. What is no secret among them is the forest's to reject; a plain
 word of one case without any of these marks cannot be told from prose and is none. Each candidate is described by its
 length, the transitions between its characters' classes, how much of it dictionary words cover, its likeness to a
 path, and the words and marks beside it; a forest trained on labelled findings decides. The trained trees become
@@ -30,10 +31,15 @@ from pyspark.sql import functions as F
 from siftwright.llm.common import stage_table
 
 RUN = "[A-Za-z0-9_+/.-]"
+#: A run behind a secret's name and a sign, with any marks: up to a blank, a quote or what closes a list.
+SAID = r"[^\s\"'`<>(){}\[\],;]"
 PREFIX = "[+/._-]*(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|sk_|pk_|rk_|sk-|eyJ|SG\\.)"
 #: Words that secrets follow. Fixed values.
 NAMES = "tokens?|secrets?|passw(?:or)?ds?|passphrase|pwd|pass|credentials?|api.?key|access.?key|private.?key|auth[a-z]{0,13}|bearer"
-CANDIDATE = rf"(?<!{RUN})(?={RUN}{{8}})(?:(?={RUN}*[0-9])|(?={RUN}*[a-z][A-Z])|(?={RUN}{{24}})|(?={PREFIX})|(?<=(?i:{NAMES})[^A-Za-z0-9]{{1,6}})){RUN}{{7,}}[A-Za-z0-9_+/-]={{0,2}}"
+BEHIND = rf"(?<=(?i:{NAMES})[^A-Za-z0-9]{{1,6}})"
+#: Behind `name=` or `name: ` whatever stands there but for a last dot, if it has a mark that other runs lack; else a run.
+MARKED = rf"(?<=(?i:{NAMES})[\"']?\s{{0,2}}(?::=|=>|[:=])\s{{0,2}}[\"'`]?)(?={SAID}{{0,200}}[!#$%&*?@^~|\\]){SAID}{{8,}}(?<!\.)"
+CANDIDATE = rf"(?:{MARKED})|(?:(?<!{RUN})(?={RUN}{{8}})(?:(?={RUN}*[0-9])|(?={RUN}*[a-z][A-Z])|(?={RUN}{{24}})|(?={PREFIX})|{BEHIND}){RUN}{{7,}}[A-Za-z0-9_+/-]={{0,2}})"
 #: Parts of which running sums are taken at once.
 BLOCK = 256
 #: Columns of random numbers that the examples are made of.
@@ -111,6 +117,8 @@ def example_findings(spark: SparkSession, rows: int = 6000, seed: int = 11) -> D
         (key("token", "access_token", "auth_token", "secret"), hexa("a", 40), 1),
         (key("password", "passwd", "db_password", "pwd"), hexa("b", 18), 1),
         (key("password", "secret", "admin_password"), plain("c", 14), 1),
+        (key("password", "passwd", "token", "db_password"), F.concat(plain("ca", 4), pick("cam", "@", "!", "#", "$", "%", "&", "*"), plain("cb", 5), pick("can", "!", "$", "?", "^", "~", "@")), 1),
+        (key("password", "passwd", "secret"), F.concat(made_up("cc"), pick("cdm", "@", "!", "&", "$"), number("cd", 9000)), 1),
         (prose, F.concat(F.lit("AKIA"), F.substring(F.upper(F.translate(plain("d", 40), "01", "")), 1, 16)), 1),
         (key("aws_access_key", "key"), F.concat(F.lit("AKIA"), F.substring(F.upper(plain("d2", 40)), 1, 16)), 1),
         (key("api_key", "apikey", "API_KEY", "client_secret"), plain("e", 32), 1),
@@ -139,6 +147,7 @@ def example_findings(spark: SparkSession, rows: int = 6000, seed: int = 11) -> D
         (prose, F.concat(made_up("nh"), pick("nhs", ".", "/", "_"), made_up("ni")), 0),
         (F.concat(prose, pick("njs", "secret ", "the password ", "token ", "authentic ", "credentials, ", "auth ")), F.concat(made_up("nj"), pick("njx", "", "-", "s")), 0),
         (F.concat(prose, pick("nks", "name = \"", "title: ", "class=\"", "lang=", "author: ")), made_up("nk"), 0),
+        (key("token", "auth", "pass", "password", "secret"), F.concat(pick("mks", "https://", "http://"), pick("mkw", "www.", "docs.", ""), word("mk"), pick("mkt", ".com", ".org", ".fr"), F.lit("/"), made_up("ml"), pick("mkq", "?page=", "?q=", "?ref="), made_up("mm")), 0),
         (prose, F.repeat(pick("rule", "-", ".-", "_", "+-", "/", "--"), 9), 0),
         (prose, F.repeat(pick("rule2", "x", "ab", "ha", "A"), 200), 0),
         (F.concat(prose, pick("scheme", "https:", "http:", "")), F.concat(F.lit("//"), pick("sub", "www.", "docs.", ""), word("nl"), pick("tld3", ".com", ".org", ".fr", ".io"), F.lit("/"), made_up("nm"), pick("deep", "/", "/page/", "/2023/", "/v1/"), made_up("nn"), pick("nnx", "", ".html", "-12")), 0),
