@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwright.operators import curate, replay
+from siftwright.operators import curate, detect, metrics, replay
 from siftwright.plans.base import Catalog, table
 from siftwright.plans.corpus import PAIRS
 from siftwright.sources import readers, writers
@@ -158,3 +158,79 @@ def pair_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = rows.agg(F.count("*").alias("n"), F.sum(F.length("a") + 2 * F.length("b")).alias("chars")).select(F.lit(name).alias("layout"), "n", "chars")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("""
+WITH s AS (SELECT lang, count(*) AS n, avg(n_chars % 20 - 9.0) AS m, stddev_pop(n_chars % 20) / sqrt(count(*)) AS e FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+i AS (SELECT lang, n, round(m, 4) AS delta, round(m - 2 * e, 4) AS ci_lo, round(m + 2 * e, 4) AS ci_hi FROM s)
+SELECT 'base__v1__' || lang || '2ja' AS name, n, delta, ci_lo, ci_hi, CASE WHEN ci_lo > 0 THEN 'b' WHEN ci_hi < 0 THEN 'a' ELSE 'none' END AS better FROM i
+""")
+def bootstrap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of each language, written under their names and found by them."""
+    path, x = new_path(spark, "bootstrap"), F.col("n_chars") % 20
+    stats = table(spark, sf_dir, "documents").filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), F.avg(x - 9.0).alias("delta"), (F.stddev_pop(x) / F.sqrt(F.count("*"))).alias("e"))
+    intervals = stats.select(F.lit("base").alias("a"), F.lit("v1").alias("b"), F.concat("lang", F.lit("2ja")).alias("direction"), "n", "delta", (F.col("delta") - 2 * F.col("e")).alias("ci_lo"), (F.col("delta") + 2 * F.col("e")).alias("ci_hi"))
+    writers.write_named(writers.bootstrap_records(intervals), path)
+    return readers.named_records(spark, path, "n long, delta double, ci_lo double, ci_hi double, better string")
+
+
+@query("""
+WITH s AS (SELECT source AS candidate, round(avg(n_chars), 2) AS chars, count(*)::DOUBLE AS docs FROM documents WHERE source IS NOT NULL GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY chars DESC, candidate) AS rank FROM s)
+SELECT candidate, CAST(rank AS INT) AS rank, metric, value FROM (SELECT candidate, rank, unnest(['chars', 'docs']) AS metric, unnest([chars, docs]) AS value FROM r)
+""")
+def ranking_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as candidates: the ranking and every candidate's metrics in one report, read back as cells."""
+    path = f"{new_path(spark, 'ranking')}/ranking.json"
+    wide = table(spark, sf_dir, "documents").filter("source is not null").groupBy(F.col("source").alias("candidate")).agg(F.round(F.avg("n_chars"), 2).alias("chars"), F.count("*").cast("double").alias("docs"))
+    ranking = wide.select(F.row_number().over(Window.orderBy(F.desc("chars"), "candidate")).alias("rank"), "candidate")  # one row a candidate
+    writers.write_report(writers.ranking_report(ranking, wide.unpivot("candidate", ["chars", "docs"], "metric", "value")), path)
+    read = spark.read.schema("ranking array<struct<rank:int,candidate:string>>, cells map<string,map<string,double>>").json(path)
+    cells = read.select("ranking", F.explode("cells").alias("candidate", "m"))
+    placed = cells.select("candidate", F.filter("ranking", lambda r: r["candidate"] == F.col("candidate"))[0]["rank"].alias("rank"), F.explode("m").alias("metric", "value"))
+    return placed.select("candidate", "rank", "metric", "value")
+
+
+@query(f"""
+WITH o AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 8 = 0 THEN '' ELSE left(reply, 15) END AS o FROM ({PAIRS})),
+f AS (SELECT id, CASE WHEN o = '' THEN ['empty'] WHEN NOT contains(o, 'la') THEN ['keep:la'] ELSE [] END AS found FROM o)
+SELECT id, found, (SELECT count(*) FROM f) AS n, (SELECT count(*) FROM f WHERE len(found) > 0) AS with_defects FROM f
+""")
+def defect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of two kinds of defects, written one a line beside their summary, and read back."""
+    path = new_path(spark, "defects")
+    out = F.when(F.col("turn") % 8 == 0, "").otherwise(F.left("reply", F.lit(15)))
+    keep = F.array(F.lit("la"))
+    rows = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), keep.alias("keep"), F.filter(detect.defects(F.col("prompt"), out, keep), lambda x: (x == "empty") | x.startswith("keep")).alias("found"))
+    writers.write_defects(detect.defect_summary(rows), rows, path)
+    summary, cases = readers.stored_defects(spark, path, "n long, with_defects long", "id long, found array<string>")
+    return cases.crossJoin(F.broadcast(summary))  # of one row
+
+
+@query("""
+WITH b AS (SELECT lang, round(avg(n_chars) FILTER (WHERE source = 'src0'), 1) AS a, round(avg(n_chars) FILTER (WHERE source = 'src1'), 1) AS b FROM documents WHERE lang IS NOT NULL GROUP BY lang)
+SELECT 'lines' AS part, count(*) + 4 AS n FROM b UNION ALL SELECT 'dashes', count(*) FILTER (WHERE a IS NULL) + count(*) FILTER (WHERE b IS NULL) FROM b
+UNION ALL SELECT 'chars', sum(length('| ' || lang || ' | ' || coalesce(printf('%.1f', a), '-') || ' | ' || coalesce(printf('%.1f', b), '-') || ' |'))::BIGINT FROM b
+""")
+def scoreboard_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A board of two sources by language as text: its lines, its missing cells and the length of its rows."""
+    value = lambda s: F.round(F.avg(F.when(F.col("source") == s, F.col("n_chars"))), 1).alias(s)
+    board = table(spark, sf_dir, "documents").filter("lang is not null").groupBy("lang").agg(value("src0"), value("src1"))
+    path = f"{new_path(spark, 'board')}/board.md"
+    writers.write_report(spark.createDataFrame([(writers.scoreboard_markdown(board, "Characters"),)], "json string"), path)
+    lines = readers.numbered_lines(spark, path).filter("line <> '' or lineno < 4")
+    body = lines.filter("lineno >= 4")
+    parts = {"lines": lines.filter("lineno < 4 or line <> ''").agg(F.count("*").alias("n")), "dashes": body.agg(F.sum(F.regexp_count("line", F.lit(r"\| - "))).cast("long").alias("n")), "chars": body.agg(F.sum(F.length("line")).alias("n"))}
+    out = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("part"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT doc_id AS seg_id, round((doc_id * 7 % 100 - n_chars % 100) / 100.0, 6) AS diff FROM documents WHERE text IS NOT NULL")
+def paired_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of two systems' scores on the same segments; other sources or references would be an error."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("seg_id"), F.left("text", F.lit(20)).alias("src"), F.col("lang").alias("ref"), "n_chars")
+    a, b = docs.withColumn("score", (F.col("n_chars") % 100) / 100), docs.withColumn("score", (F.col("seg_id") * 7 % 100) / 100)
+    return metrics.paired_segments(a.drop("n_chars"), b.drop("n_chars")).withColumn("diff", F.round("diff", 6))

@@ -171,3 +171,14 @@ def case_manifest(spark: SparkSession, path: str, one_document: bool = True) ->
     """(case_id, source, target): one row for each target of each case, of files that are one document or one a line."""
     raw = spark.read.schema("cases array<struct<case_id:string,source:string,targets:array<string>>>").option("multiLine", one_document).json(path)
     return raw.select(F.explode("cases").alias("c")).select("c.case_id", "c.source", F.explode("c.targets").alias("target"))
+
+
+def stored_defects(spark: SparkSession, path: str, summary: str, cases: str) -> tuple[DataFrame, DataFrame]:
+    """(summary, cases) of a folder of write_defects, with their schemas."""
+    return spark.read.schema(summary).json(f"{path}/summary.json"), jsonl(spark, f"{path}/cases", cases)
+
+
+def named_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(name, fields...) of a folder of write_named."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    return raw.select("name", F.from_json("value", schema).alias("r")).select("name", "r.*")

@@ -133,7 +133,7 @@ def audit_report(counts: DataFrame, denominators: DataFrame, samples: DataFrame,
     return out.select(F.to_json(F.struct(*parts, F.lit(skipped).alias("replay_skipped"))).alias("json"))
 
 
-def defect_report(summary: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """One row (json): the summary's columns and every case in order."""
-    cases = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct(key, *[c for c in rows.columns if c != key]))).alias("rows"))
-    return summary.select(F.struct("*").alias("summary")).crossJoin(cases).select(F.to_json(F.struct("summary", "rows")).alias("json"))
+def write_defects(summary: DataFrame, rows: DataFrame, path: str, key: str = "id") -> None:
+    """A summary as one file, and below it every case as a JSON line, in order of its key; no row holds several cases."""
+    write_report(summary.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json")), f"{path}/summary.json")
+    rows.orderBy(key).write.mode("overwrite").json(f"{path}/cases")

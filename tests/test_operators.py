@@ -355,8 +355,10 @@ def test_reports_are_read_back(spark, tmp_path):
     assert found["denominators"]["en->ja"]["multi_line"] == 1 and found["samples"]["D/多行壓扁"][0]["k"] == 2 and found["raw"]["zhtw"] == {"A/narrate:據報導": 1}
 
     rows = spark.createDataFrame([(2, ["loop"], []), (1, [], ["RTX"])], "id int, found array<string>, keep array<string>")
-    found = json.loads(writers.defect_report(detect.defect_summary(rows), rows).first()["json"])
-    assert found["summary"]["n"] == 2 and found["summary"]["with_defects"] == 1 and [r["id"] for r in found["rows"]] == [1, 2]
+    writers.write_defects(detect.defect_summary(rows), rows, str(tmp_path / "defects"))
+    summary, cases = readers.stored_defects(spark, str(tmp_path / "defects"), "n long, with_defects long", "id int, found array<string>, keep array<string>")
+    assert tuple(summary.first()) == (2, 1) and sorted(map(tuple, cases.collect())) == [(1, [], ["RTX"]), (2, ["loop"], [])]
+    assert len(spark.read.text(str(tmp_path / "defects" / "cases")).collect()) == 2
 
 
 def test_files_of_pairs_and_cases(spark, tmp_path):
