@@ -234,3 +234,12 @@ def paired_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("seg_id"), F.left("text", F.lit(20)).alias("src"), F.col("lang").alias("ref"), "n_chars")
     a, b = docs.withColumn("score", (F.col("n_chars") % 100) / 100), docs.withColumn("score", (F.col("seg_id") * 7 % 100) / 100)
     return metrics.paired_segments(a.drop("n_chars"), b.drop("n_chars")).withColumn("diff", F.round("diff", 6))
+
+
+@query("SELECT lang AS key, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def statistics_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each language as one statistics document, written and read back."""
+    path = f"{new_path(spark, 'statistics')}/stats.json"
+    counts = table(spark, sf_dir, "documents").filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+    writers.write_report(writers.statistics_json(counts, F.col("lang")), path)
+    return spark.read.text(path).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("key", "n"))
