@@ -3,9 +3,10 @@
 The key of a host is its labels in reverse, each with a dot after it (`www.example.com` is `com.example.www.`): the keys
 of a host and of all its subdomains are an interval of the sorted keys, and two intervals are nested or apart.
 
-1. URLs are sorted by (key, path, id) into ranges, which splits a host that very many URLs share.
-2. A rule goes to the range in which its interval begins, and to every range whose first key lies in its interval: those
-   are found by the prefixes of the first keys, as many rows as ranges times labels of a host.
+1. URLs and rules are sorted together by (key, path, id) into ranges, which splits a host that very many URLs share.
+   So a rule lies in the range in which its interval begins.
+2. A rule goes besides to every range whose first key lies in its interval: those are found by the prefixes of the
+   first keys, as many rows as ranges times labels of a host.
 3. Within a range, rules and URLs meet in order of key. Rules of a host that ends before the next key leave the stack;
    the others are the rules around the URL, and the longest whose path begins the URL's path decides.
 
@@ -116,19 +117,18 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
     """(id_col, host, path, rule, verdict) for every row of pages; rules are (host, path, verdict)."""
     url = F.col(f"`{url_col}`")
-    urls = pages.select(F.col(f"`{id_col}`").alias("id"), url_host(url).alias("host"), url_path(url).alias("path")).withColumn("key", host_key(F.col("host")))
-    urls = stage_table(urls.repartitionByRange("key", "path", "id").sortWithinPartitions("key", "path", "id").withColumn("range", F.spark_partition_id()), "url-ranges")
-    wanted = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").dropna().distinct().withColumn("key", host_key(F.col("host")))
+    urls = pages.select(F.col(f"`{id_col}`").alias("id"), url_host(url).alias("host"), url_path(url).alias("path"), F.lit(None).cast("string").alias("verdict"))
+    wanted = rules.select(F.lit(None).cast(urls.schema["id"].dataType).alias("id"), ascii_lower(F.col("host")).alias("host"), "path", "verdict").dropna(subset=["host", "path", "verdict"]).distinct()
+    both = urls.unionByName(wanted).withColumn("key", host_key(F.col("host")))
+    order = ["key", F.col("verdict").isNull(), "path"]
+    rows = stage_table(both.repartitionByRange(*order, "id").withColumn("range", F.spark_partition_id()), "url-ranges")
     # one row for each range, as many as partitions
-    ranges = stage_table(urls.groupBy("range").agg(F.min("key").alias("first"), F.max("key").alias("last")), "url-bounds")
+    ranges = stage_table(rows.groupBy("range").agg(F.min("key").alias("first")), "url-bounds")
     labels = F.split(F.col("first"), r"\.")
     around = ranges.select("range", F.explode(F.sequence(F.lit(1), F.size(labels) - 1)).alias("n"), "first").select("range", F.expr("concat(substring_index(first, '.', n), '.')").alias("key")).distinct()
-    carried = wanted.join(around, "key").select("range", "key", "path", "host", "verdict")
-    begun = wanted.join(F.broadcast(ranges), (F.col("key") > F.col("first")) & (F.col("key") <= F.col("last"))).select("range", "key", "path", "host", "verdict")
-    nested = carried.unionByName(begun).withColumn("id", F.lit(None).cast(urls.schema["id"].dataType))
-    rows = urls.withColumn("verdict", F.lit(None).cast("string")).unionByName(nested)
-    order = ["range", "key", F.col("verdict").isNull(), "path"]
-    swept = rows.select("range", "key", "path", "id", "host", "verdict").repartition("range").sortWithinPartitions(*order).mapInArrow(_sweep, f"{type_of(urls, 'id')}, host string, path string, rule string, verdict string")
+    carried = wanted.withColumn("key", host_key(F.col("host"))).join(around, "key")
+    columns = ["range", "key", "path", "id", "host", "verdict"]
+    swept = rows.select(columns).unionByName(carried.select(columns)).repartition("range").sortWithinPartitions("range", *order).mapInArrow(_sweep, f"{type_of(urls, 'id')}, host string, path string, rule string, verdict string")
     return swept.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
