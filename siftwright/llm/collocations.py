@@ -39,6 +39,8 @@ TOP = 2000
 INSIDE = 50
 #: Pointers of a prefix in one task; with more than a million times as many words, a millionth of the words.
 BOUND = 500_000
+#: Parts in which the phrases of a language are ranked before they are ranked together.
+PARTS = 64
 CLASSES = byte_classes(r"[^\x20\x09]", r"[.,;:!?\x0A-\x0D]")
 NONE = np.uint64(0)
 
@@ -277,8 +279,11 @@ def scored_phrases(phrases: DataFrame, inside: int = INSIDE) -> DataFrame:
 def mine_collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, max_words: int = MAX_WORDS, inside: int = INSIDE, top: int = TOP, bound: int = BOUND) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` phrases of every language, by score, a and phrase."""
     phrases, words = frequent_phrases(docs, lang_col, text_col, least, max_words, bound)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    ahead = stage_table(scored_phrases(phrases, inside).withColumn("place", F.rank().over(order)).filter(F.col("place") <= top).drop("place"), "phrases-ahead")
+    ahead = scored_phrases(phrases, inside).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):  # first among a part of a language's phrases, so that no task ranks them all
+        order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"))
+        ahead = ahead.withColumn("place", F.rank().over(order)).filter(F.col("place") <= top).drop("place")
+    ahead = stage_table(ahead.drop("part"), "phrases-ahead")
     each = ahead.select("lang", "key", F.explode(F.sequence(F.lit(0), _n_words(F.col("key")) - 1)).alias("i"))
     each = each.withColumn("part", F.expr("substring(key, 8 * i + 1, 8)"))
     spell = words.select("lang", F.unhex(F.lpad(F.hex("h"), 16, "0")).alias("part"), "word")
