@@ -38,7 +38,8 @@ PREFIX = "[+/._-]*(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|sk_|pk_|rk_|sk
 NAMES = "tokens?|secrets?|passw(?:or)?ds?|passphrase|pwd|pass|credentials?|api.?key|access.?key|private.?key|auth[a-z]{0,13}|bearer"
 BEHIND = rf"(?<=(?i:{NAMES})[^A-Za-z0-9]{{1,6}})"
 #: Behind `name=` or `name: ` whatever stands there but for a last dot, if it has a mark that other runs lack; else a run.
-MARKED = rf"(?<=(?i:{NAMES})[\"']?\s{{0,2}}(?::=|=>|[:=])\s{{0,2}}[\"'`]?)(?={SAID}{{0,200}}[!#$%&*?@^~|\\]){SAID}{{8,}}(?<!\.)"
+#: The first two tests are cheap and fail nearly everywhere; only behind a sign is the name looked for.
+MARKED = rf"(?<=[:=>\s\"'`])(?<=[:=>]\s{{0,2}}[\"'`]?)(?={SAID}{{8}})(?<=(?i:{NAMES})[\"']?\s{{0,2}}(?::=|=>|[:=])\s{{0,2}}[\"'`]?)(?={SAID}{{0,200}}[!#$%&*?@^~|\\]){SAID}{{8,}}(?<!\.)"
 CANDIDATE = rf"(?:{MARKED})|(?:(?<!{RUN})(?={RUN}{{8}})(?:(?={RUN}*[0-9])|(?={RUN}*[a-z][A-Z])|(?={RUN}{{24}})|(?={PREFIX})|{BEHIND}){RUN}{{7,}}[A-Za-z0-9_+/-]={{0,2}})"
 #: Parts of which running sums are taken at once.
 BLOCK = 256
