@@ -38,7 +38,7 @@ TOP = 2000
 #: Per cent of a phrase's occurrences that lie inside one longer phrase, from which the phrase is dropped.
 INSIDE = 50
 #: Pointers of a prefix in one task; with more than a million times as many words, a millionth of the words.
-BOUND = 500_000
+BOUND = 100_000
 #: Parts in which the phrases of a language are ranked before they are ranked together.
 PARTS = 64
 CLASSES = byte_classes(r"[^\x20\x09]", r"[.,;:!?\x0A-\x0D]")
