@@ -49,7 +49,7 @@ def test_unknown_language_is_an_error(spark):
 
 
 def test_reasons_add_up(spark):
-    from siftwright.plans.corpus import BITEXT, BITEXT_EVAL, _bitext
+    from tests.literals import BITEXT, BITEXT_EVAL, _bitext
 
     cleaned = clean.clean_bitext(_bitext(spark), spark.createDataFrame([(x,) for x in BITEXT_EVAL], "line string"))
     counts = {r["reason"]: r["n"] for r in clean.reason_counts(cleaned.withColumn("all", F.lit(1)), "all").collect()}
