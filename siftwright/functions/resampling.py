@@ -13,6 +13,13 @@ import pyarrow as pa
 from siftwright.functions.permute import MASK, mix32, mix32_sql
 
 BLOCK = 16_384
+#: Blocks at most, which bounds the numbers that are decided for all blocks at once; with more segments blocks are larger.
+MOST_BLOCKS = 4096
+
+
+def block_size(n: int, block: int = BLOCK) -> int:
+    """Segments of a block for n segments."""
+    return max(block, -(-n // MOST_BLOCKS))
 
 
 def block_draws(n: int, resamples: int, seed: int, block: int = BLOCK) -> np.ndarray:

@@ -157,7 +157,8 @@ def multinomial_bootstrap(diffs: DataFrame, resamples: int = 1000, seed: int = 4
     its part of what the ones before it left. A block gives one vector of sums, and the vectors are added up.
     """
     spark, n = diffs.sparkSession, diffs.count()
-    draws = spark.sparkContext.broadcast(resampling.block_draws(n, resamples, seed, block))  # 8 bytes a block and resample
+    block = resampling.block_size(n, block)
+    draws = spark.sparkContext.broadcast(resampling.block_draws(n, resamples, seed, block))  # 8 bytes a block and resample, of at most 4,096 blocks
     rows = diffs.select((F.floor(F.col(index) / block)).cast("long").alias("block"), F.col(index).cast("long").alias("i"), F.col(diff).cast("double").alias("d"))
     sums = rows.groupBy("block").applyInArrow(resampling.block_sums(draws, resamples, seed, n, block), "r int, s double")
     means = sums.groupBy("r").agg((F.sum("s") / n * 100).alias("d"))

@@ -1,6 +1,7 @@
 """Stored results that are changed in place: upserts, write-backs and scores that are computed once.
 
-A store is a folder of data parts, one for each bucket of the keys and write, and of numbered versions. A version is a
+A store is a folder of data parts, one for each bucket of the keys and write, and of numbered versions. A bucket is
+written anew as a whole, so the number of buckets should grow with the table, and stay as it is for one store. A version is a
 small file that names the part in force for every bucket. A change reads and writes the buckets of its keys only, aside;
 the new version is then put in place by one rename, which fails if another writer was first. A write that fails at any
 point before leaves the last version as it is, and what readers have open stays where it is until `tidy`.
@@ -19,6 +20,8 @@ from pyspark.sql.types import StructType
 from siftwright.operators import decide
 
 BUCKETS = 64
+#: Tasks, and so files, that write one bucket.
+FILES = 8
 BUCKET = "_bucket"
 
 
@@ -59,7 +62,8 @@ class Store:
         touched = {r[0] for r in new.select(self._bucket().alias(BUCKET)).distinct().collect()}  # at most as many as buckets
         rows = merge(self._read(last, touched), new)
         write = f"data/{uuid.uuid4().hex}"
-        rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{write}")
+        spread = F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(FILES))
+        rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET, spread).write.partitionBy(BUCKET).parquet(f"{self.path}/{write}")
         made = {f.getPath().getName().split("=")[1] for f in self._fs.listStatus(self._path(f"{self.path}/{write}")) if "=" in f.getPath().getName()}
         parts = {b: p for b, p in last["parts"].items() if int(b) not in touched} | {b: f"{write}/{BUCKET}={b}" for b in made}
         return self._commit((versions[-1] if versions else 0) + 1, {"schema": rows.schema.jsonValue(), "parts": parts})
@@ -74,7 +78,7 @@ class Store:
         return version
 
     def upsert(self, new: DataFrame) -> int:
-        """The rows of new in place of those with the same keys; all others stay."""
+        """The rows of new in place of those with the same keys; all others stay, and so do rows with a null among their keys."""
         return self.change(new, lambda old, rows: decide.merge_results(old, rows, *self.keys))
 
     def write_back(self, scores: DataFrame, column: str) -> int:
@@ -92,7 +96,7 @@ class Store:
                 self._fs.delete(f.getPath(), True)
 
 
-def score_once(rows: DataFrame, path: str, score: Column, run: str, *sides: str, force: bool = False) -> DataFrame:
+def score_once(rows: DataFrame, path: str, score: Column, run: str, *sides: str, force: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """Score the rows (corpus, lineno, sides...) that the store at path does not have with this content, and keep the scores.
 
     A corpus whose rows have the number and digest of the last complete run is passed over without a look at its rows;
@@ -101,7 +105,7 @@ def score_once(rows: DataFrame, path: str, score: Column, run: str, *sides: str,
     Returns (corpus, n, computed): the corpora that were not passed over, their rows, and how many were scored.
     """
     spark = rows.sparkSession
-    scores, done = Store(spark, f"{path}/scores", "corpus", "lineno"), Store(spark, f"{path}/done", "corpus")
+    scores, done = Store(spark, f"{path}/scores", "corpus", "lineno", buckets=buckets), Store(spark, f"{path}/done", "corpus")
     marked = rows.withColumn("digest", F.xxhash64(*sides))
     corpora = marked.groupBy("corpus").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("lineno", "digest")).alias("mark"))
     before = None if force else done.current()

@@ -51,6 +51,12 @@ def test_counts_add_up_and_are_binomial():
     assert abs(k.mean() - 3) < 0.01 and k.max() <= 12 and (np.diff(k) >= 0).all()
 
 
+def test_blocks_are_bounded():
+    assert resampling.block_size(10) == resampling.BLOCK and resampling.block_size(10**10) == -(-(10**10) // 4096)
+    draws = resampling.block_draws(1000, 50, 3, 90)
+    assert draws.shape == (12, 50) and (draws.sum(axis=0) == 1000).all() and abs(draws[:11].mean() - 90) < 5 and abs(draws[11].mean() - 10) < 3
+
+
 def test_bootstrap_over_blocks_agrees_with_one_block(spark):
     rng = np.random.default_rng(3)
     values = rng.normal(0.05, 1, 4000)
