@@ -38,6 +38,15 @@ DENSE_BUCKET = 64
 FINE = 8
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        block = hashes[at : at + (1 << 16)]
+        ones += np.unpackbits(block.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """The 64-bit SimHash of a UTF-8 text."""
     words = text.lower().split()  # on bytes: A-Z only, ASCII white space only
@@ -52,11 +61,7 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: n - shingle + 1].tolist()
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        block = hashes[at : at + (1 << 16)]
-        ones += np.unpackbits(block.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

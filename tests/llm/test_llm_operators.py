@@ -974,3 +974,30 @@ def test_crowded_buckets_find_the_groups(spark):
     texts += [t.replace("x7_3 ", "") for t in texts[400:] if "x7_3 " in t]
     kept = keep_one_per_set(docs_of(spark, texts), crowd=8)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(400, 500)]
+
+
+def test_stage_groups_by_simhash(spark):
+    """The stage's SimHashes and groups against plain ones: bits set in over half the five-word shingles, chains of four bits."""
+    from siftwright.llm import shinglesets
+
+    rng = random.Random(21)
+    texts = ["", "one two", "one three"]
+    for _ in range(30):
+        words = [f"w{rng.randrange(900)}" for _ in range(rng.choice([40, 400, 1500]))]
+        texts += [" ".join(words), " ".join([*words[:-1], "end"]), " ".join([*words[1:-1], "end"])]
+    prints = []
+    for t in texts:
+        words = t.split()
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                label = [label[j] if x == label[i] else x for x in label]
+    rows = spark.createDataFrame([(i.to_bytes(2, "big"), t) for i, t in enumerate(texts)], "c binary, text string")
+    sets = shinglesets.text_sets(rows)
+    assert {int.from_bytes(r["c"], "big"): r["fp"] % (1 << 64) for r in sets.collect()} == dict(enumerate(prints))
+    keys = {int.from_bytes(r["c"], "big"): r["key"] for r in shinglesets.simhash_groups(sets).collect()}
+    parts = lambda names: {frozenset(i for i in range(len(texts)) if names[i] == n) for n in (names[i] for i in range(len(texts)))}
+    assert parts(keys) == parts(label) and 0 < sum(len(p) > 1 for p in parts(label))
