@@ -1,12 +1,18 @@
-"""Counting n-grams by 64-bit hashes, a batch of rows at a time: memory stays linear in the text, no gram becomes a string."""
+"""Counting n-grams by 64-bit hashes, a part of a batch at a time: memory is bounded by the part or its one
+long text, no gram becomes a string."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwright.functions.loops import parts
+
 OVERLAPS = "array<struct<n:int,matched:bigint,hyp:bigint,ref:bigint>>"
 
 
@@ -19,7 +25,7 @@ def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _numbers(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Elements of all lists of numbers in a row, and for each the index of its list."""
-    sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(lists)), sizes)
 
 
@@ -54,12 +60,19 @@ def _overlaps(hyp: tuple, ref: tuple, rows: int, orders: range) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * len(orders)), each)
 
 
+def _by_parts(hyp: pa.Array, ref: pa.Array, values: Callable[[pa.Array], tuple], most: int) -> pa.Array:
+    """_overlaps of the orders up to most of two columns, of which values() takes the elements and their rows."""
+    orders = range(1, most + 1)
+    found = [_overlaps(values(h), values(r), len(h), orders) for h, r in parts(hyp, ref)]
+    return pa.concat_arrays(found) if found else _overlaps(values(hyp), values(ref), 0, orders)
+
+
 def character_overlaps(hyp: Column, ref: Column, most: int) -> Column:
     """Array of (n, matched, hyp, ref) of the character n-grams of two texts, n from 1 to most."""
 
     @F.arrow_udf(OVERLAPS)
     def run(h: pa.Array, r: pa.Array) -> pa.Array:
-        return _overlaps(_points(h), _points(r), len(h), range(1, most + 1))
+        return _by_parts(h, r, _points, most)
 
     return run(hyp, ref)
 
@@ -69,7 +82,7 @@ def word_overlaps(hyp: Column, ref: Column, most: int) -> Column:
 
     @F.arrow_udf(OVERLAPS)
     def run(h: pa.Array, r: pa.Array) -> pa.Array:
-        return _overlaps(_numbers(h), _numbers(r), len(h), range(1, most + 1))
+        return _by_parts(h, r, _numbers, most)
 
     return run(F.transform(hyp, lambda w: F.xxhash64(w)), F.transform(ref, lambda w: F.xxhash64(w)))
 
@@ -80,8 +93,8 @@ def repeated_share(text: Column, n: int) -> Column:
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         shares = np.zeros(len(texts))
-        for i, t in enumerate(texts.to_pylist()):
-            points = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        for i, t in enumerate(texts):
+            points = np.frombuffer((t.as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
             h = np.sort(_windows(points, np.zeros(len(points), np.int64), n)[0])
             shares[i] = np.count_nonzero(h[1:] == h[:-1]) / max(len(h), 1)
         return pa.array(shares, mask=np.array([not t.is_valid for t in texts], bool))
