@@ -2,7 +2,7 @@
 
 Every dictionary word that stands in a text is an edge from its first character to behind its last, with the word's
 cost; a character alone is an edge too, at the cost of the unknown. The cheapest path is found place by place, all texts
-of a batch at once. Of paths of equal cost the one whose last word is longest is taken, and so on from the end. Costs
+of a part of a batch at once. Of paths of equal cost the one whose last word is longest is taken, and so on from the end. Costs
 are whole numbers, so sums are exact.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.functions.automaton import Trie
-from siftwright.functions.loops import chunks, joined_points
+from siftwright.functions.loops import by_parts, chunks, joined_points
 
 #: Runs that are words as they stand. Blanks always part words.
 WHOLE = r"[A-Za-z0-9]+"
@@ -109,6 +109,6 @@ def tokens_lattice(text: Column, segmenter: Segmenter) -> Column:
 
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(segmenter.segment(texts.to_pylist()), pa.list_(pa.string()))
+        return by_parts(segmenter.segment, texts, pa.list_(pa.string()))
 
     return run(text)

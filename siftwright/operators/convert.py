@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siftwright.functions import constants as K
 from siftwright.functions import text as T
 from siftwright.functions.automaton import Replacer
+from siftwright.functions.loops import by_parts
 
 LARGEST_DICTIONARY = 500_000
 
@@ -39,7 +40,7 @@ def converter(characters: dict[str, str], phrases: dict[str, str] | None = None)
     def converted(text: Column) -> Column:
         @F.arrow_udf("string")
         def run(texts: pa.Array) -> pa.Array:
-            return pa.array(replacer.replace(texts.to_pylist()), pa.string())
+            return by_parts(replacer.replace, texts, pa.string())
 
         return run(text)
 

@@ -8,6 +8,8 @@ import tracemalloc
 import pyarrow as pa
 
 from siftwright.functions import grams, loops
+from siftwright.functions.automaton import Replacer
+from siftwright.functions.segment import Segmenter
 
 
 def peak(make, *columns):
@@ -38,3 +40,13 @@ def test_overlaps_of_a_batch_need_the_memory_of_a_part():
         assert most < 60e6, most
         assert got.to_pylist()[:500] == grams._overlaps(values(h.slice(0, 500)), values(r.slice(0, 500)), 500, range(1, 5)).to_pylist()
         assert grams._by_parts(h.slice(0, 0), r.slice(0, 0), values, 4).to_pylist() == []
+
+
+def test_words_of_a_batch_need_the_memory_of_a_part():
+    rng = random.Random(8)
+    costs = {"ab": 3, "abc": 4, "ca": 3, "da": 2}
+    cut, texts = Segmenter(costs, 9), ["".join(rng.choice("abcd ") for _ in range(400)) for _ in range(60)]
+    column = pa.array([None, *[texts[i % 60] for i in range(3000)]])
+    got, most = peak(lambda: loops.by_parts(cut.segment, column, pa.list_(pa.string())))
+    assert most < 60e6, most
+    assert got.to_pylist() == [None, *(cut.segment(texts) * 50)]
