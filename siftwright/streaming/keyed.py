@@ -138,13 +138,16 @@ def line_runs(rows: DataFrame, *keys: str, time_col: str = "ts", delay_ms: int =
 
 
 def replay(batches: list[DataFrame], path: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream gives that reads the batches one after the other and then ends; for tests and for old data."""
+    """What a stream gives that reads the batches one after the other and then ends; for tests and for old data.
+
+    A batch is written by as many tasks as make it. The stream goes on from its checkpoint for each batch and takes all
+    files that are new, so they are one batch of it however many they are.
+    """
     spark = batches[0].sparkSession
     for n, batch in enumerate(batches):
-        batch.coalesce(1).write.mode("append" if n else "overwrite").parquet(f"{path}/in")
-    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    made = work(stream)
-    with keyed_state(spark):
-        run = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-        run.awaitTermination()
+        batch.write.mode("append" if n else "overwrite").parquet(f"{path}/in")
+        made = work(spark.readStream.schema(batches[0].schema).parquet(f"{path}/in"))
+        with keyed_state(spark):
+            run = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+            run.awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{path}/out")

@@ -67,3 +67,11 @@ def test_the_state_setting_is_put_back(spark):
     with keyed.keyed_state(spark):
         assert spark.conf.get(keyed.PROVIDER) == keyed.ROCKSDB
     assert spark.conf.get(keyed.PROVIDER, None) == before
+
+
+def test_a_replayed_batch_is_written_by_many_tasks_and_is_one_batch(spark, tmp_path):
+    data = [b.repartition(4, "lineno") for b in batches(spark, [(n, 60 * n, f"k{i % 50}", 1000 * (2 - n) + i) for n in range(3) for i in range(200)], "k string, lineno long", ("end", 0))]
+    got = keyed.replay(data, str(tmp_path), lambda s: keyed.first_wins(s, "k"))
+    assert sorted(map(tuple, got.filter("k <> 'end'").collect())) == sorted((f"k{i}", i) for i in range(50))
+    files = spark.read.parquet(f"{tmp_path}/in").groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 12 and max(r["count"] for r in files) < 100
