@@ -22,6 +22,8 @@ from siftwright.operators import decide
 BUCKETS = 64
 #: Tasks, and so files, that write one bucket.
 FILES = 8
+#: Groups that the rows of one corpus are dealt to when corpora are looked up.
+SPREAD = 256
 BUCKET = "_bucket"
 
 
@@ -96,6 +98,12 @@ class Store:
                 self._fs.delete(f.getPath(), True)
 
 
+def of_corpora(rows: DataFrame, corpora: DataFrame) -> DataFrame:
+    """The rows (corpus, lineno, ...) of the corpora; those of one corpus are dealt to `SPREAD` groups, so no task takes them all."""
+    groups = corpora.select("corpus", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("_group"))
+    return rows.withColumn("_group", F.pmod(F.xxhash64("lineno"), F.lit(SPREAD).cast("long"))).join(groups, ["corpus", "_group"], "left_semi").select(*rows.columns)
+
+
 def score_once(rows: DataFrame, path: str, score: Column, run: str, *sides: str, force: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """Score the rows (corpus, lineno, sides...) that the store at path does not have with this content, and keep the scores.
 
@@ -111,7 +119,7 @@ def score_once(rows: DataFrame, path: str, score: Column, run: str, *sides: str,
     before = None if force else done.current()
     if before is not None:
         corpora = corpora.join(before.select("corpus", "n", "mark"), ["corpus", "n", "mark"], "left_anti")
-    waiting = marked.join(corpora.select("corpus"), "corpus", "left_semi")
+    waiting = of_corpora(marked, corpora)
     known = None if force else scores.current()
     if known is not None:
         waiting = waiting.join(known.select("corpus", "lineno", "digest"), ["corpus", "lineno", "digest"], "left_anti")

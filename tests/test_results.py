@@ -75,3 +75,18 @@ def test_scores_are_computed_once(spark, tmp_path):
     results.Store(spark, f"{path}/done", "corpus").upsert(spark.createDataFrame([("z", 0, 0, 0, "")], "corpus string, n long, mark long, computed long, run string"))
     assert run(second, "4") == [("z", 1, 0)] and calls.value == 11
     assert run(second, "5", force=True) == [("x", 5, 5), ("y", 4, 4), ("z", 1, 1)] and calls.value == 21
+
+
+def test_no_task_takes_all_rows_of_a_corpus(spark):
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in keys}
+    rows = spark.range(4000).select(F.when(F.col("id") < 3990, "en").when(F.col("id") < 3998, "de").alias("corpus"), F.col("id").alias("lineno"))
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        found = results.of_corpora(rows, spark.createDataFrame([("en",), ("fr",)], "corpus string"))
+        assert found.columns == rows.columns and sorted(r["lineno"] for r in found.collect()) == list(range(3990))
+        assert found.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] < 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
