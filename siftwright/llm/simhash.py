@@ -94,15 +94,13 @@ def _longs(values: list[int]) -> Column:
 
 
 def _first_equal(x: Column, segments: list[tuple[int, int]], many: int) -> Column:
-    """The bits of the first `many` segments in which x is zero."""
-    found, chosen = F.lit(0), F.lit(0).cast("long")
-    for shift, width in segments:
-        bits = ((1 << width) - 1) << shift
-        mask = F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
-        zero = x.bitwiseAND(mask) == 0
-        chosen = F.when(zero & (found < many), chosen.bitwiseOR(mask)).otherwise(chosen)
-        found = found + F.when(zero, 1).otherwise(0)
-    return chosen
+    """The bits of the first `many` segments in which x is zero; of fewer, if x is zero in fewer."""
+    masks, zero = [(1 << width) - 1 << shift for shift, width in segments], F.lit(0)
+    for i, mask in enumerate(masks):
+        zero = zero.bitwiseOR(F.when(x.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")) == 0, 1 << i).otherwise(0))
+    # looked up by which segments are zero: as nested conditions it would stand in the plan once for each pair of segments
+    chosen = [sum([m for i, m in enumerate(masks) if found >> i & 1][:many]) for found in range(1 << len(masks))]
+    return F.element_at(_longs(chosen), zero + 1)
 
 
 def _lookup(table: DataFrame, probes: DataFrame, radius: int, dense: int, also: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -140,8 +138,9 @@ def links(classes: DataFrame, radius: int = 4, parts: int = 3, dense: int = DENS
     table = own.select("fp", each_of(*[entry(i, value(*s)) for i, s in enumerate(segments)])).select("fp", "t.*")
     probes = own.select("fp", each_of(*[F.struct(F.lit(i).alias("seg"), value(*s).alias("value"), _longs(_ball(s[1], each)).alias("ball")) for i, s in enumerate(segments)]))
     probes = probes.select(F.col("fp").alias("other"), "t.seg", "t.value", F.explode("t.ball").alias("mask")).select("other", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("key"))
+    # every table's pairs are written before the next is searched: one plan of all of them fills the driver's heap
     found, crowd = _lookup(table, probes, radius, dense)
-    crowd = stage_table(crowd, "simhash-crowd")
+    found, crowd = stage_table(found, "simhash-pairs"), stage_table(crowd, "simhash-crowd")
     if crowd.isEmpty():
         return found
     sums = [sum((1 << w) - 1 << s for s, w in chosen) for chosen in combinations(_segments(FINE), FINE - radius)]
@@ -149,9 +148,8 @@ def links(classes: DataFrame, radius: int = 4, parts: int = 3, dense: int = DENS
     # a pair counts in the first choice on which it agrees, once; if that bucket is crowded, both go on
     once = (F.col("fp") > F.col("other")) & (F.col("mask") == _first_equal(F.col("fp").bitwiseXOR(F.col("other")), _segments(FINE), FINE - radius))
     more, rest = _lookup(fine, fine.select(F.col("fp").alias("other"), "seg", "key"), radius, dense, once)
-    rest = stage_table(rest, "simhash-rest")
-    found = found.unionByName(more)
-    return found if rest.isEmpty() else found.unionByName(midpoint_stars(rest.repartition(tasks, "fp"), radius))
+    found, rest = found.unionByName(stage_table(more, "simhash-pairs")), stage_table(rest, "simhash-rest")
+    return found if rest.isEmpty() else found.unionByName(stage_table(midpoint_stars(rest.repartition(tasks, "fp"), radius), "simhash-stars"))
 
 
 def connected(edges: DataFrame) -> DataFrame:

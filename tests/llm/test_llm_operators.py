@@ -97,6 +97,23 @@ def test_links_connect_what_lies_within_the_radius(spark, parts, dense):
     assert {p: roots.get(p, p) for p in signed} == expected
 
 
+def test_links_leave_no_search_in_the_plan(spark):
+    """A plan that holds all tables' searches, and the choice of four segments as nested conditions, fills the driver."""
+    from siftwright.llm.simhash import FINE, _first_equal, _segments, links
+
+    rng = random.Random(8)
+    prints = [(rng.getrandbits(4) | rng.getrandbits(3) << 40,) for _ in range(60)]
+    found = links(spark.createDataFrame(sorted(set(prints)), "fp long"), dense=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and found.count()
+    values = [0, -1, 1 << 62, *(rng.getrandbits(63) & sum(255 << 8 * i for i in rng.sample(range(7), 4)) for _ in range(50))]
+    chosen = spark.createDataFrame([(v,) for v in values], "x long").select("x", _first_equal(F.col("x"), _segments(FINE), 4).alias("m"))
+    assert chosen._jdf.queryExecution().analyzed().toString().count("CASE WHEN") == FINE
+    for x, m in chosen.collect():
+        zero = [255 << 8 * i for i in range(8) if not x >> 8 * i & 255]
+        assert m & (1 << 64) - 1 == sum(zero[:4])
+
+
 def test_simhash_of_repeated_and_missing_ids(spark, empty):
     from siftwright.llm.simhash import keep_one_per_group, simhash_components
 
