@@ -84,7 +84,11 @@ class FirstWins(StatefulProcessor):
 
 
 class LineRuns(StatefulProcessor):
-    """Maximal runs of lines whose numbers follow each other; a run ends when neither end of it grew for `delay`."""
+    """Maximal runs of lines whose numbers follow each other; a run ends when neither end of it grew for `delay`.
+
+    Every call of the state is a message to the JVM, so the numbers that a key has are asked for once a batch, and what
+    is due goes all at once.
+    """
 
     def __init__(self, names: list[str], delay: int):
         self.names, self.delay = names, delay
@@ -94,9 +98,10 @@ class LineRuns(StatefulProcessor):
         self.lines = handle.getMapState("lines", StructType([StructField("lineno", LongType())]), StructType([StructField("line", StringType()), StructField("ms", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        wakes = set()
+        wakes, held = set(), {k[0] for k in self.lines.keys()}
         for row in rows:
-            if not self.lines.containsKey((row["lineno"],)):
+            if row["lineno"] not in held:
+                held.add(row["lineno"])
                 self.lines.updateValue((row["lineno"],), (row["line"], row[TIME]))
                 wakes.add(row[TIME] + self.delay)
         for at in wakes:
@@ -105,16 +110,25 @@ class LineRuns(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = sorted((k[0], v[0], v[1]) for k, v in self.lines.iterator())
-        out, run = [], []
+        # all that is due goes with the first timer, so the key's other timers of this batch find nothing
+        now, out, gone, left, run = timerValues.getCurrentWatermarkInMs(), [], [], [], []
         for item in [*held, None]:
             if run and (item is None or item[0] != run[-1][0] + 1):
-                if max(ms for *_, ms in run) + self.delay <= expiredTimerInfo.getExpiryTimeInMs():
+                if max(ms for *_, ms in run) + self.delay <= now:
                     out.append(Row(**dict(zip(self.names, key, strict=True)), first_line=run[0][0], n_lines=len(run), text="\n".join(line for _, line, _ in run)))
-                    for lineno, *_ in run:
-                        self.lines.removeKey((lineno,))
+                    gone += run
+                else:
+                    left += run
                 run = []
             if item is not None:
                 run.append(item)
+        if len(gone) > len(left):
+            self.lines.clear()
+            for lineno, line, ms in left:
+                self.lines.updateValue((lineno,), (line, ms))
+        else:
+            for lineno, *_ in gone:
+                self.lines.removeKey((lineno,))
         return iter(out)
 
     def close(self) -> None:

@@ -75,3 +75,56 @@ def test_a_replayed_batch_is_written_by_many_tasks_and_is_one_batch(spark, tmp_p
     assert sorted(map(tuple, got.filter("k <> 'end'").collect())) == sorted((f"k{i}", i) for i in range(50))
     files = spark.read.parquet(f"{tmp_path}/in").groupBy(F.input_file_name()).count().collect()
     assert len(files) >= 12 and max(r["count"] for r in files) < 100
+
+
+class Held:
+    """The map state of one key in memory, which counts the calls."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = {}, [], 0
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def __getattribute__(self, name):
+        if name in ("keys", "containsKey", "updateValue", "iterator", "removeKey", "clear", "registerTimer"):
+            object.__setattr__(self, "calls", object.__getattribute__(self, "calls") + 1)
+        return object.__getattribute__(self, name)
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+    def clear(self):
+        self.rows.clear()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_a_line_costs_one_call_of_the_state():
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+    runs, held = keyed.LineRuns(["k"], 600), Held()
+    runs.init(held)
+    rows = lambda numbers, ms, t: [Row(lineno=n, line=f"{t}{n}", **{keyed.TIME: ms}) for n in numbers]
+    runs.handleInputRows(("p",), iter(rows(range(0, 300, 2), 0, "a")), TimerValues(0, 0))
+    runs.handleInputRows(("p",), iter([*rows(range(1, 200, 2), 100, "b"), *rows([0, 1], 100, "again")]), TimerValues(0, 0))
+    runs.handleInputRows(("p",), iter(rows([400, 401], 900, "c")), TimerValues(0, 0))
+    got = [r for at in sorted(held.timers) if at <= 800 for r in runs.handleExpiredTimer(("p",), TimerValues(0, 800), ExpiredTimerInfo(at))]
+    text = "\n".join(f"{'b' if n % 2 else 'a'}{n}" for n in range(201))
+    assert sorted(map(tuple, got)) == [("p", 0, 201, text), *[("p", n, 1, f"a{n}") for n in range(202, 300, 2)]]
+    assert sorted(held.rows) == [(400,), (401,)]
+    assert held.calls < 300, held.calls  # 252 different lines
