@@ -12,34 +12,90 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.functions.automaton import Trie
 from siftwright.functions.loops import by_parts, chunks, joined_points
 
 #: Runs that are words as they stand. Blanks always part words.
 WHOLE = r"[A-Za-z0-9]+"
-LARGEST = 500_000
+LARGEST = 2_000_000
 FAR = np.int64(1) << 60
 
 
+def _further(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """64-bit hashes of strings that are longer by one character."""
+    with np.errstate(over="ignore"):
+        h = (h ^ points) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(32))
+
+
+class Words:
+    """The words of one length and their costs, in the order of their hashes, with their characters to tell equal hashes apart."""
+
+    def __init__(self, words: list[str], costs: list[int]):
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+        h = np.zeros(len(words), np.uint64)
+        for i in range(points.shape[1]):
+            h = _further(h, points[:, i])
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.points, self.costs = h[order], points[order], np.array(costs, np.int64)[order]
+        self.same = int(np.unique(h, return_counts=True)[1].max())
+        self.shift = np.uint64(64 - min(24, 3 + len(words).bit_length()))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[h >> self.shift] = True
+
+    def find(self, h: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, costs) of the words in a text with these hashes from each place on."""
+        places = np.flatnonzero(self.seen[h >> self.shift])
+        first, size = np.searchsorted(self.hashes, h[places]), self.points.shape[1]
+        hits, costs = [], []
+        for k in range(self.same):
+            at = np.minimum(first + k, len(self.hashes) - 1)
+            on = self.hashes[at] == h[places]
+            for i in range(size):
+                on[on] = self.points[at[on], i] == points[places[on] + i]
+            hits.append(places[on])
+            costs.append(self.costs[at[on]])
+        return np.concatenate(hits), np.concatenate(costs)
+
+
 class Segmenter:
     """Cuts texts into words by a dictionary {word: cost}."""
 
     def __init__(self, costs: dict[str, int], unknown: int, whole: str | None = WHOLE):
-        self.trie = Trie(costs)
-        self.costs = np.array([costs[e] for e in self.trie.entries], np.int64)
-        self.longest = max(map(len, self.trie.entries), default=1)
+        sizes: dict[int, list[str]] = {}
+        for w in costs:
+            if w:
+                sizes.setdefault(len(w), []).append(w)
+        self.words = {m: Words(ws, [costs[w] for w in ws]) for m, ws in sizes.items()}
+        self.longest = max(sizes, default=1)
         self.unknown, self.whole = unknown, whole
         self.parts = re.compile(rf"\s+|({whole})" if whole else r"\s+")
+        self._shared: tuple[SparkContext, Broadcast] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_shared": None}
+
+    def shared(self) -> Broadcast:
+        """This segmenter once for each Python worker, however many columns it cuts."""
+        context = SparkSession.active().sparkContext
+        if self._shared is None or self._shared[0] is not context:
+            self._shared = context, context.broadcast(self)
+        return self._shared[1]
 
     def edges(self, points: np.ndarray) -> np.ndarray:
         """Cost of the word of m characters at each place, [m, place]; FAR where there is none."""
         out = np.full((self.longest + 1, len(points)), FAR, np.int64)
         out[1] = self.unknown
-        for m, place, entry in self.trie.matches(points):
-            out[m, place] = np.minimum(out[m, place], self.costs[entry]) if m == 1 else self.costs[entry]
+        h = np.zeros(len(points), np.uint64)
+        for m in range(1, min(self.longest, len(points)) + 1):
+            n = len(points) - m + 1
+            h = _further(h[:n], points[m - 1 :])
+            if m in self.words:
+                place, costs = self.words[m].find(h, points)
+                out[m, place] = np.minimum(out[m, place], costs) if m == 1 else costs
         return out
 
     def _paths(self, pieces: list[str]) -> list[list[str]]:
@@ -92,10 +148,10 @@ class Segmenter:
 
 def read_costs(entries: DataFrame, word: str = "word", cost: str = "cost") -> dict[str, int]:
     """{word: cost}; too large a dictionary is an error, of a word given twice the lower cost counts."""
-    rows = entries.groupBy(word).agg(F.min(cost).alias("_cost")).limit(LARGEST + 1).collect()
+    rows = entries.groupBy(word).agg(F.min(cost).cast("long").alias("_cost")).limit(LARGEST + 1).toArrow()
     if len(rows) > LARGEST:
-        raise ValueError("a dictionary for segmentation has at most 500,000 words")
-    return {r[word]: int(r["_cost"]) for r in rows if r[word]}
+        raise ValueError(f"a dictionary for segmentation has at most {LARGEST:,} words")
+    return {w: c for w, c in zip(rows[word].to_pylist(), rows["_cost"].to_pylist(), strict=True) if w}
 
 
 def word_costs(counts: DataFrame, word: str = "word", n: str = "n", scale: int = 1000) -> DataFrame:
@@ -106,9 +162,10 @@ def word_costs(counts: DataFrame, word: str = "word", n: str = "n", scale: int =
 
 def tokens_lattice(text: Column, segmenter: Segmenter) -> Column:
     """Array of the words of a text; null for null."""
+    cut = segmenter.shared()
 
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
-        return by_parts(segmenter.segment, texts, pa.list_(pa.string()))
+        return by_parts(cut.value.segment, texts, pa.list_(pa.string()))
 
     return run(text)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftwright.functions import segment
 from siftwright.functions.segment import Segmenter, read_costs, tokens_lattice, word_costs
 from siftwright.operators import metrics
 
@@ -57,3 +59,16 @@ def test_bleu_over_segments(spark):
     tokens = rows.select(tokens_lattice(F.col("hyp"), cut).alias("hyp_tokens"), tokens_lattice(F.col("ref"), cut).alias("ref_tokens"))
     assert tokens.first()["hyp_tokens"] == ["東京", "に", "行く"]
     assert metrics.bleu(tokens.limit(1).unionByName(tokens.limit(1)), most=3).first()["bleu"] == pytest.approx(100)
+
+
+def test_a_dictionary_of_more_than_half_a_million_words(spark):
+    costs = read_costs(spark.range(600_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"), (F.col("id") % 7 + 1).alias("cost")))
+    assert len(costs) == 600_000 and costs["w599999"] == 599_999 % 7 + 1
+    cut = Segmenter(costs, 100, None)
+    assert cut.segment(["w599999w12w600000"]) == [["w599999", "w12", "w60000", "0"]]
+    assert len(pickle.dumps(cut)) < 60_000_000
+
+
+def test_words_with_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(segment, "_further", lambda h, points: (h + points.astype("uint64")) % 3)
+    test_cheapest_of_all_paths()
