@@ -12,11 +12,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwright.functions.loops import by_parts, chunks, joined_points
+from siftwright.functions.shipped import Shipped
 
 #: Runs that are words as they stand. Blanks always part words.
 WHOLE = r"[A-Za-z0-9]+"
@@ -61,7 +61,7 @@ class Words:
         return np.concatenate(hits), np.concatenate(costs)
 
 
-class Segmenter:
+class Segmenter(Shipped):
     """Cuts texts into words by a dictionary {word: cost}."""
 
     def __init__(self, costs: dict[str, int], unknown: int, whole: str | None = WHOLE):
@@ -73,17 +73,6 @@ class Segmenter:
         self.longest = max(sizes, default=1)
         self.unknown, self.whole = unknown, whole
         self.parts = re.compile(rf"\s+|({whole})" if whole else r"\s+")
-        self._shared: tuple[SparkContext, Broadcast] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_shared": None}
-
-    def shared(self) -> Broadcast:
-        """This segmenter once for each Python worker, however many columns it cuts."""
-        context = SparkSession.active().sparkContext
-        if self._shared is None or self._shared[0] is not context:
-            self._shared = context, context.broadcast(self)
-        return self._shared[1]
 
     def edges(self, points: np.ndarray) -> np.ndarray:
         """Cost of the word of m characters at each place, [m, place]; FAR where there is none."""

@@ -1,6 +1,6 @@
 """Script conversion with dictionaries that are inputs: phrases by longest match, then single characters.
 
-The dictionaries are small by nature (thousands of entries); their size is checked before they are shipped.
+A dictionary goes whole to every Python worker, once; its size is checked before that.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from siftwright.functions import text as T
 from siftwright.functions.automaton import Replacer
 from siftwright.functions.loops import by_parts
 
-LARGEST_DICTIONARY = 500_000
+LARGEST_DICTIONARY = 2_000_000
 
 
 def read_dictionary(entries: DataFrame) -> dict[str, str]:
     """{from: to} from (source, target); too large a dictionary is an error."""
-    rows = entries.select("source", "target").limit(LARGEST_DICTIONARY + 1).collect()
+    rows = entries.select("source", "target").limit(LARGEST_DICTIONARY + 1).toArrow()
     if len(rows) > LARGEST_DICTIONARY:
-        raise ValueError("a conversion dictionary has at most 500,000 entries")
-    return {r["source"]: r["target"] for r in rows if r["source"]}
+        raise ValueError(f"a conversion dictionary has at most {LARGEST_DICTIONARY:,} entries")
+    return {s: t for s, t in zip(rows["source"].to_pylist(), rows["target"].to_pylist(), strict=True) if s}
 
 
 def converter(characters: dict[str, str], phrases: dict[str, str] | None = None) -> Callable[[Column], Column]:
@@ -38,9 +38,11 @@ def converter(characters: dict[str, str], phrases: dict[str, str] | None = None)
     replacer = Replacer({**characters, **phrases})
 
     def converted(text: Column) -> Column:
+        sent = replacer.shared()
+
         @F.arrow_udf("string")
         def run(texts: pa.Array) -> pa.Array:
-            return by_parts(replacer.replace, texts, pa.string())
+            return by_parts(sent.value.replace, texts, pa.string())
 
         return run(text)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 import time
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -76,3 +78,34 @@ def test_converter_on_columns(spark):
     rows = spark.createDataFrame([(0, "国家和国"), (1, None), (2, "none"), (3, "")], "i int, t string").repartition(2)
     run = convert.converter({"国": "國"}, {"国家": "國家了"})
     assert [r["x"] for r in rows.select("i", run(F.col("t")).alias("x")).orderBy("i").collect()] == ["國家了和國", None, "none", ""]
+
+
+def test_a_dictionary_that_grew_with_its_texts(spark):
+    entries = spark.range(500_003).selectExpr("concat('w', lpad(cast(id as string), 7, '0')) AS source", "cast(id as string) AS target")
+    words = convert.read_dictionary(entries)
+    assert len(words) == 500_003
+    rows = spark.createDataFrame([(0, "w0500002 and w0000017w00"), (1, None)], "i int, t string")
+    got = rows.select("i", convert.converter({}, words)(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in got] == ["500002 and 17w00", None]
+
+
+def test_a_large_dictionary_is_built_and_shipped_in_little_memory():
+    rng = random.Random(4)
+    entries = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(50_000)}
+    tracemalloc.start()
+    try:
+        trie = Trie(entries)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 30e6, most  # 173,000 nodes or so
+    assert len(pickle.dumps(trie)) < 24 * len(trie.value)
+
+
+def test_letters_beyond_one_step():
+    rng = random.Random(6)
+    for n in (1, 2, 64, 65, 4096, 4097):
+        letters = [chr(0x4E00 + i) for i in range(n)]
+        words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 3))): rng.choice(["", "x", "yz"]) for _ in range(300)}
+        texts = ["".join(rng.choice(letters[:40] + [letters[-1], "￾", "a"]) for _ in range(80)) + "".join(rng.sample(sorted(words), min(len(words), 5))) for _ in range(30)]
+        assert Replacer(words).replace(texts) == [slow(t, words) for t in texts]
