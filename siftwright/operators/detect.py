@@ -107,7 +107,7 @@ def loop_stats(text: Column, least: int = LEAST_STATS) -> Column:
 
     def report(x):
         short = F.coalesce(F.length(text) < least, F.lit(True))
-        flag = (x["sentence_n"] >= 4) | (x["window_n"] >= 8) | (x["blocks"] > 0) | ((x["sentence_n"] >= 3) & (F.length(x["sentence"]) >= 12))
+        flag = (x["sentence_n"] >= 4) | (x["window_n"] >= 8) | (x["blocks"] > 0) | x["long_sentence"]
         worst = F.when(x["sentence_n"] >= x["window_n"], x["sentence"]).otherwise(x["window"])
         return F.struct(
             F.when(short, 0).otherwise(F.greatest(x["sentence_n"], x["window_n"])).alias("max_phrase_count"),

@@ -88,3 +88,29 @@ def test_time_is_linear():
         loops.loop_facts([text])
         took.append(time.perf_counter() - began)
     assert took[1] < 12 * took[0] + 1
+
+
+def test_flags_of_odd_texts_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from siftwright.plans import loops as plans
+
+    short, long = "nine char.", "a sentence of more than twelve."
+    made = [
+        None,
+        "",
+        f"{short} {long} " * 3,  # the first of two equally frequent sentences is short
+        f"{long} {short} " * 3,
+        f"{short} " * 3,
+        f"{long}　{long}　{long}",  # only ASCII's white space is left out
+        f"seven c . x{long}  y" * 3,
+        f"{long}\x0b{long}\x1c{long}\x85{long}",
+        f"{long[:-1]}\x01" * 3,
+        f"{long}\r\n\f{long}\n\n\t{long}",
+    ]
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(plans.CATALOG.sql["loop_flags"]).fetchall()
+    got = [tuple(r) for r in plans.loop_flags(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {2, 3} <= {r[0] for r in got}
