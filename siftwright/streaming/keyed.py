@@ -2,23 +2,26 @@
 each other become runs in whatever order they come.
 
 Both keep rows in state until the watermark is `delay` beyond the last of them, then give them out and forget them; a
-timer of the event time wakes each key. So state is bounded by what comes within the delay, and for the first of a key
-by a mark of 24 bytes for as long as copies are to be known.
+timer of the event time wakes each key or group of keys. So state is bounded by what comes within the delay, and for the
+first of a key by a mark of its key and a time for as long as copies are to be known.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIME = "_ms"
+#: Groups that the keys of a stream are dealt to.
+GROUPS = 2048
 
 
 @contextmanager
@@ -33,51 +36,65 @@ def keyed_state(spark: SparkSession):
 
 
 class FirstWins(StatefulProcessor):
-    """Of a key's rows the one with the least number, once no row of it came for `delay`; later copies are dropped."""
+    """Of each key's rows the one with the least number, once no row of it came for `delay`; later copies are dropped.
 
-    def __init__(self, fields: StructType, order: str, delay: int, remember: int):
-        self.fields, self.order, self.delay, self.remember = fields, fields.names.index(order), delay, remember
+    Every call of the state is a message to the JVM, so keys are dealt to groups that share a state: a group's waiting
+    rows are one value, its marks another, and one timer wakes it. A batch costs a group a few calls, however many keys.
+    """
+
+    def __init__(self, fields: StructType, keys: list[str], order: str, delay: int, remember: int):
+        self.names, self.order, self.delay, self.remember = fields.names, fields.names.index(order), delay, remember
+        self.keys = [fields.names.index(k) for k in keys]
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", self.fields)
-        self.wake = handle.getValueState("wake", StructType([StructField("at", LongType()), StructField("given", BooleanType())]))
+        kind = StructType([StructField("wake", LongType()), StructField("rows", BinaryType())])
+        self.waiting, self.given = handle.getValueState("waiting", kind), handle.getValueState("given", kind)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        wake = self.wake.get() if self.wake.exists() else None
-        if wake is not None and not wake[1] and wake[0] <= timerValues.getCurrentWatermarkInMs():
-            self.handle.deleteTimer(wake[0])  # it would fire after these rows, which came too late
-            return iter([self._give(wake[0])])
-        if wake is not None and wake[1]:
-            return iter([])
-        best, latest = (self.first.get() if self.first.exists() else None), 0
+        return self._run(rows, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._run(iter([]), timerValues.getCurrentWatermarkInMs())
+
+    def _run(self, rows: Iterator[Row], now: int) -> Iterator[Row]:
+        (next_row, waiting), (next_mark, given) = self._load(self.waiting), self._load(self.given)
+        due = [k for k, (at, _) in waiting.items() if at <= now]  # before the rows of this batch, which came too late for them
+        out = []
+        for k in due:
+            at, row = waiting.pop(k)
+            out.append(Row(**dict(zip(self.names, row, strict=True))))
+            given[k] = at + self.remember
+        old = [k for k, until in given.items() if until <= now]
+        for k in old:
+            del given[k]
+        came = False
         for row in rows:
-            latest = max(latest, row[TIME])
-            own = tuple(row[c] for c in self.fields.names)
-            if best is None or own[self.order] < best[self.order]:
-                best = own
-        self.first.update(tuple(best))
-        at = latest + self.delay
-        if wake is None or wake[0] < at:
-            if wake is not None:
-                self.handle.deleteTimer(wake[0])
-            self.wake.update((at, False))
-            self.handle.registerTimer(at)
-        return iter([])
+            own = tuple(row[c] for c in self.names)
+            k = tuple(own[i] for i in self.keys)
+            if k not in given:
+                at, best = waiting.get(k, (0, own))
+                waiting[k] = max(at, row[TIME] + self.delay), own if own[self.order] < best[self.order] else best
+                came = True
+        row_at = self._store(self.waiting, waiting, min((at for at, _ in waiting.values()), default=None)) if due or came else next_row
+        mark_at = self._store(self.given, given, min(given.values(), default=None)) if due or old else next_mark
+        self._wake(min(filter(None, (next_row, next_mark)), default=None), min(filter(None, (row_at, mark_at)), default=None), now)
+        return iter(out)
 
-    def _give(self, at: int) -> Row:
-        row = Row(**dict(zip(self.fields.names, self.first.get(), strict=True)))
-        self.first.clear()
-        self.wake.update((at + self.remember, True))
-        self.handle.registerTimer(at + self.remember)
-        return row
+    def _load(self, state) -> tuple[int | None, dict]:
+        found = state.get()
+        return (None, {}) if found is None else (found[0], pickle.loads(found[1]))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at, given = self.wake.get()
-        if given:
-            self.wake.clear()
-            return iter([])
-        return iter([self._give(at)])
+    def _store(self, state, rows: dict, wake: int | None) -> int | None:
+        state.update((wake, pickle.dumps(rows, pickle.HIGHEST_PROTOCOL))) if rows else state.clear()
+        return wake
+
+    def _wake(self, before: int | None, at: int | None, now: int) -> None:
+        if before != at:
+            if before is not None and before > now:  # what is due goes by itself
+                self.handle.deleteTimer(before)
+            if at is not None:
+                self.handle.registerTimer(at)
 
     def close(self) -> None:
         pass
@@ -139,10 +156,11 @@ def _timed(rows: DataFrame, time_col: str, delay: str) -> DataFrame:
     return rows.withColumn(TIME, F.unix_millis(time_col)).withWatermark(time_col, delay)
 
 
-def first_wins(rows: DataFrame, *keys: str, order: str = "lineno", time_col: str = "ts", delay_ms: int = 600_000, remember_ms: int = 86_400_000) -> DataFrame:
+def first_wins(rows: DataFrame, *keys: str, order: str = "lineno", time_col: str = "ts", delay_ms: int = 600_000, remember_ms: int = 86_400_000, groups: int = GROUPS) -> DataFrame:
     """The row with the least `order` of every key of a stream, given out when no row of the key came for the delay."""
     fields = StructType([f for f in rows.schema.fields if f.name != time_col])
-    return _timed(rows, time_col, "0 seconds").groupBy(*keys).transformWithState(FirstWins(fields, order, delay_ms, remember_ms), fields, "Append", "EventTime")
+    dealt = _timed(rows.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups))), time_col, "0 seconds")
+    return dealt.groupBy("_group").transformWithState(FirstWins(fields, list(keys), order, delay_ms, remember_ms), fields, "Append", "EventTime")
 
 
 def line_runs(rows: DataFrame, *keys: str, time_col: str = "ts", delay_ms: int = 600_000) -> DataFrame:

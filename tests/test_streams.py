@@ -128,3 +128,61 @@ def test_a_line_costs_one_call_of_the_state():
     assert sorted(map(tuple, got)) == [("p", 0, 201, text), *[("p", n, 1, f"a{n}") for n in range(202, 300, 2)]]
     assert sorted(held.rows) == [(400,), (401,)]
     assert held.calls < 300, held.calls  # 252 different lines
+
+
+class Values:
+    """The value states and timers of one group in memory, which count the calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getValueState(self, name, kind):
+        return Value(self)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Value:
+    def __init__(self, group):
+        self.group, self.value = group, None
+
+    def exists(self):
+        return self.get() is not None
+
+    def get(self):
+        self.group.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.group.calls, self.value = self.group.calls + 1, value
+
+    def clear(self):
+        self.group.calls, self.value = self.group.calls + 1, None
+
+
+def test_a_batch_costs_a_group_of_keys_a_few_calls():
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+    from pyspark.sql.types import StructType
+
+    first, held = keyed.FirstWins(StructType.fromDDL("k string, lineno long"), ["k"], "lineno", 600, 10_000), Values()
+    first.init(held)
+    rows = lambda numbers, n, ms: iter([Row(k=f"k{i}" if i else None, lineno=n + i, **{keyed.TIME: ms}) for i in numbers])
+    assert list(first.handleInputRows((0,), rows(range(1000), 5000, 0), TimerValues(0, 0))) == []
+    assert list(first.handleInputRows((0,), rows(range(500), 2000, 300), TimerValues(0, 0))) == []
+    wake = lambda now: [r for at in sorted(held.timers) if at <= now and not held.timers.remove(at) for r in first.handleExpiredTimer((0,), TimerValues(0, now), ExpiredTimerInfo(at))]
+    assert sorted(r["lineno"] for r in wake(700)) == list(range(5500, 6000))
+    # the second half is due before these rows, the first half is given out
+    late = first.handleInputRows((0,), rows(range(1000), 0, 950), TimerValues(0, 950))
+    assert sorted((r["lineno"], r["k"]) for r in late) == [(2000 + i, f"k{i}" if i else None) for i in range(500)]
+    assert wake(2000) == [] and held.calls < 40, held.calls
+    # what was given out is forgotten, so its keys come anew
+    assert wake(20_000) == [] and first.waiting.value is None and first.given.value is None
+    assert list(first.handleInputRows((0,), rows([3], 0, 20_000), TimerValues(0, 20_000))) == []
+    assert [tuple(r) for r in wake(20_600)] == [("k3", 3)]
