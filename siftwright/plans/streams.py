@@ -35,7 +35,7 @@ def streamed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of following lines of every document, from a stream that brings every third line at a time."""
     lines = _lines(spark, sf_dir).filter(T.terminated(F.col("line"))).select("doc_id", "lineno", "line")
     closing = spark.createDataFrame([(-1, 0, "")], lines.schema)
-    runs = keyed.replay(_batches(lines, closing), new_path(spark, "streamed-runs"), lambda s: keyed.line_runs(s, "doc_id"))
+    runs = keyed.replay(_batches(lines, closing), new_path(spark, "streamed-runs"), lambda s: keyed.line_runs(s, "doc_id", groups=keyed.GROUPS))
     return runs.filter("doc_id >= 0").select("doc_id", "first_line", "n_lines", F.md5("text").alias("digest"))
 
 

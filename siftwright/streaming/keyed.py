@@ -152,6 +152,73 @@ class LineRuns(StatefulProcessor):
         pass
 
 
+class GroupedRuns(StatefulProcessor):
+    """The runs of LineRuns for many keys of few lines each, dealt to groups that share a state.
+
+    What a batch brings to a group is appended to its list as one value; what is due is looked for when a timer of the
+    group fires. So a batch costs a group a few calls, however many keys and lines it has.
+    """
+
+    def __init__(self, names: list[str], delay: int):
+        self.names, self.delay = names, delay
+
+    def init(self, handle) -> None:
+        self.handle, self.done = handle, {}
+        self.parts = handle.getListState("parts", StructType([StructField("lines", BinaryType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came: dict[tuple, list[tuple]] = {}
+        for row in rows:
+            came.setdefault(tuple(row[c] for c in self.names), []).append((row["lineno"], row["line"], row[TIME]))
+        if came:
+            self.parts.appendValue((pickle.dumps(came, pickle.HIGHEST_PROTOCOL),))
+            self.handle.registerTimer(min(ms for lines in came.values() for *_, ms in lines) + self.delay)
+        self.done.pop(key, None)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.done.get(key) == now:  # the group's other timers of this batch find nothing new
+            return iter([])
+        self.done[key] = now
+        held: dict[tuple, dict[int, tuple]] = {}
+        for (part,) in self.parts.get():
+            for k, lines in pickle.loads(part).items():
+                own = held.setdefault(k, {})
+                for item in lines:
+                    own.setdefault(item[0], item)  # of a repeated number the first line stays
+        out, left, wake = [], {}, None
+        for k, own in held.items():
+            for run in self._runs(own):
+                at = max(ms for *_, ms in run) + self.delay
+                if at <= now:
+                    out.append(Row(**dict(zip(self.names, k, strict=True)), first_line=run[0][0], n_lines=len(run), text="\n".join(line for _, line, _ in run)))
+                else:
+                    left.setdefault(k, []).extend(run)
+                    wake = at if wake is None else min(wake, at)
+        if out and left:
+            self.parts.put([(pickle.dumps(left, pickle.HIGHEST_PROTOCOL),)])
+        elif out:
+            self.parts.clear()
+        if wake is not None:
+            self.handle.registerTimer(wake)
+        return iter(out)
+
+    @staticmethod
+    def _runs(lines: dict[int, tuple]) -> Iterator[list[tuple]]:
+        run: list[tuple] = []
+        for n in sorted(lines):
+            if run and n != run[-1][0] + 1:
+                yield run
+                run = []
+            run.append(lines[n])
+        if run:
+            yield run
+
+    def close(self) -> None:
+        pass
+
+
 def _timed(rows: DataFrame, time_col: str, delay: str) -> DataFrame:
     return rows.withColumn(TIME, F.unix_millis(time_col)).withWatermark(time_col, delay)
 
@@ -163,10 +230,17 @@ def first_wins(rows: DataFrame, *keys: str, order: str = "lineno", time_col: str
     return dealt.groupBy("_group").transformWithState(FirstWins(fields, list(keys), order, delay_ms, remember_ms), fields, "Append", "EventTime")
 
 
-def line_runs(rows: DataFrame, *keys: str, time_col: str = "ts", delay_ms: int = 600_000) -> DataFrame:
-    """(keys..., first_line, n_lines, text): runs of following line numbers of a stream (keys..., lineno, line, ts)."""
+def line_runs(rows: DataFrame, *keys: str, time_col: str = "ts", delay_ms: int = 600_000, groups: int | None = None) -> DataFrame:
+    """(keys..., first_line, n_lines, text): runs of following line numbers of a stream (keys..., lineno, line, ts).
+
+    Without groups each key has a state of its own, to which a batch writes single lines: for few keys that get lines for
+    long. With them many keys share a state: for many keys of few lines, such as documents.
+    """
     fields = StructType([*[rows.schema[k] for k in keys], StructField("first_line", LongType()), StructField("n_lines", LongType()), StructField("text", StringType())])
-    return _timed(rows, time_col, "0 seconds").groupBy(*keys).transformWithState(LineRuns(list(keys), delay_ms), fields, "Append", "EventTime")
+    if groups is None:
+        return _timed(rows, time_col, "0 seconds").groupBy(*keys).transformWithState(LineRuns(list(keys), delay_ms), fields, "Append", "EventTime")
+    dealt = _timed(rows.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups))), time_col, "0 seconds")
+    return dealt.groupBy("_group").transformWithState(GroupedRuns(list(keys), delay_ms), fields, "Append", "EventTime")
 
 
 def replay(batches: list[DataFrame], path: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:

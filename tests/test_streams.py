@@ -186,3 +186,47 @@ def test_a_batch_costs_a_group_of_keys_a_few_calls():
     assert wake(20_000) == [] and first.waiting.value is None and first.given.value is None
     assert list(first.handleInputRows((0,), rows([3], 0, 20_000), TimerValues(0, 20_000))) == []
     assert [tuple(r) for r in wake(20_600)] == [("k3", 3)]
+
+
+class Parts(Values):
+    """The list state and timers of one group in memory, which count the calls."""
+
+    def __init__(self):
+        super().__init__()
+        self.values = []
+
+    def getListState(self, name, kind):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.values))
+
+    def appendValue(self, value):
+        self.calls += 1
+        self.values.append(value)
+
+    def put(self, values):
+        self.calls, self.values = self.calls + 1, list(values)
+
+    def clear(self):
+        self.calls, self.values = self.calls + 1, []
+
+
+def test_runs_of_many_keys_cost_a_few_calls():
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+    runs, held = keyed.GroupedRuns(["k"], 600), Parts()
+    runs.init(held)
+    rows = lambda numbers, ms, t: iter([Row(k=k, lineno=n, line=f"{t}{n}", **{keyed.TIME: ms}) for n in numbers for k in ("p", "q")])
+    wake = lambda now: [r for at in sorted(held.timers) if at <= now and not held.timers.remove(at) for r in runs.handleExpiredTimer((0,), TimerValues(0, now), ExpiredTimerInfo(at))]
+    runs.handleInputRows((0,), rows(range(0, 300, 2), 0, "a"), TimerValues(0, 0))
+    runs.handleInputRows((0,), rows([*range(1, 200, 2), 0, 1], 100, "b"), TimerValues(0, 0))
+    runs.handleInputRows((0,), rows([400, 401], 900, "c"), TimerValues(0, 0))
+    text = "\n".join(f"{'b' if n % 2 else 'a'}{n}" for n in range(201))
+    assert sorted(map(tuple, wake(650))) == [(k, n, 1, f"a{n}") for k in ("p", "q") for n in range(202, 300, 2)]
+    runs.handleInputRows((0,), rows([402], 1000, "d"), TimerValues(0, 650))
+    assert sorted(map(tuple, wake(800))) == [(k, 0, 201, text) for k in ("p", "q")]
+    assert wake(1500) == [] and sorted(map(tuple, wake(1600))) == [(k, 400, 3, "c400\nc401\nd402") for k in ("p", "q")]
+    assert held.values == [] and held.timers == [] and held.calls < 40, held.calls
